@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, repetition
+from . import exact_dedup, language_id, mixing, repetition
 from .common import table
 
 
@@ -22,8 +22,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_source_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_exact_dedup, op7_source_mixing, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
