@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, piece_codec, repetition, token_store
+from . import exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store
 from .common import table
 
 
@@ -18,6 +19,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_summary(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), 3, Fraction(90, 100))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(table(spark, sf_dir, "documents"))
 
@@ -35,8 +40,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op6_token_output, op7_source_mixing, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op6_token_output, op7_source_mixing, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op9_quality_rules": repetition.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_quality_rules": repetition.ORACLE}
