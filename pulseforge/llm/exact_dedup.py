@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, stored
@@ -122,10 +122,13 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
     return fps.select("fp").mapInArrow(build, "shard long, filter binary").groupBy("shard").applyInPandas(merge, "fp long, n long")
 
 
+def normalised(text_col: str = "text") -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, fingerprint (xxhash64 of the normalised text)."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     hashed = stored(texts.select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-fingerprints")
     again = stored(repeated_fingerprints(hashed, hashed.count()), "dedup-repeated").select("fp")
     small = again.count() <= BROADCAST_ROWS
@@ -142,9 +145,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("fp").alias("fingerprint"),
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that stay; of rows that repeat a doc_id and its text, one."""
+    made = stored(exact_dedup(docs), "dedup-rows")
+    gone = made.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct()
+    gone = F.broadcast(gone) if made.filter("not kept").count() <= BROADCAST_ROWS else gone
+    stay = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(normalised()) == F.col("_fp")), "left_anti")
+    twice = made.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
+    if not twice:
+        return stay
+    keyed = stay.withColumn("_norm", F.xxhash64(normalised()))
+    return keyed.dropDuplicates(["doc_id", "_norm"]).drop("_norm")
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

@@ -171,3 +171,15 @@ def language_id(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs(doc_id, text, lang)."""
     model = fit(docs, vocabulary or default_vocabulary())
     return identify(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def speakable(docs: DataFrame, vocabulary: str | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) with a predicted language and a score of least or more, as they are."""
+    model = fit(docs, vocabulary or default_vocabulary())
+    at = docs.columns.index(text_col)
+
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = predicted(b.column(at).to_pylist(), model)
+        return b.filter(pa.array((np.array(lang) != "und") & (score >= least)))
+
+    return map_arrow(docs, step, docs.schema)

@@ -313,6 +313,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     return rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
+    """The rows of docs (doc_id, text and others) whose doc_id is the smallest of its component, or null."""
+    made = stored(ngram_jaccard_join(docs, n, threshold), "join-rows")
+    gone = made.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

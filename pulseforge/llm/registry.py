@@ -12,7 +12,7 @@ from .common import table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("fingerprint")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
