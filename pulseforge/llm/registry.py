@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store
+from . import cotraining, exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), 3, Fraction(90, 100))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filtered_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op6_token_output, op7_source_mixing, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op9_quality_rules": repetition.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_url_filters": url_filters.ORACLE, "op9_quality_rules": repetition.ORACLE}
