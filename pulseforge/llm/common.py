@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,8 +126,9 @@ class Growing:
         self.n = need
 
 
-def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
-    """df plus part, pos (a row's place; unique together) and before: the sum of value over the earlier rows of its key.
+def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: str, head: str | None = None) -> DataFrame:
+    """df plus part, pos (a row's place; unique together) and before: the sum of value over the earlier rows of its key; with
+    head also first: the value that head has in the key's first row.
 
     Rows are ordered by key (null last), then order. A key may hold any share of the rows: ranges of rows go to
     different tasks, each sums on its own, and what a key has in earlier ranges is added by a join with one row at most
@@ -137,32 +138,30 @@ def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: st
     sort = [F.col(key).isNull(), F.col(key), *[F.col(c).asc_nulls_first() for c in order]]
     ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *sort).sortWithinPartitions(*sort)
     ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    schema = T.StructType([*ranged.schema.fields, T.StructField("before", T.LongType())])
+    schema = T.StructType([*ranged.schema.fields, T.StructField("before", T.LongType()), T.StructField("first", T.LongType())])
+    heads = head or value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, begun = None, 0, False
+        begun, last, total, first = False, None, 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.asarray(b.column(value).to_numpy(zero_copy_only=False), dtype=np.int64)
+            v = b.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = b.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             new = np.r_[not begun or b.column(key)[0].as_py() != last, keys[1:] != keys[:-1]]
-            sums = np.cumsum(v) - v
+            group = np.cumsum(new)  # 0: goes on from the batch before
             at = np.flatnonzero(new)
-            base = np.zeros(len(v), np.int64)
-            if len(at):
-                base[at[0] :] = np.repeat(sums[at], np.diff(np.r_[at, len(v)]))
-            carried = np.arange(len(v)) < (at[0] if len(at) else len(v))
-            before = sums - base + np.where(carried, total, 0)
-            last, begun, total = b.column(key)[b.num_rows - 1].as_py(), True, int(before[-1] + v[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before)], schema=pa.schema([*b.schema, pa.field("before", pa.int64())]))
-
-    from pyspark.sql import Window
+            sums = np.cumsum(v) - v
+            before = sums - np.r_[-total, sums[at]][group]
+            firsts = np.r_[first, b.column(heads).to_numpy(zero_copy_only=False).astype(np.int64)[at]][group]
+            begun, last, total, first = True, b.column(key)[b.num_rows - 1].as_py(), int(before[-1] + v[-1]), int(firsts[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before), pa.array(firsts)], names=[*b.schema.names, "before", "first"])
 
     local = stored(ranged.mapInArrow(run, schema), name)
-    sums = local.groupBy("part", key).agg(F.sum(value).alias("_sum"))
+    sums = local.groupBy("part", key).agg(F.sum(value).alias("_sum"), F.min_by("first", "pos").alias("_head"))
     earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # A range goes on with one key at most, so this has fewer rows than there are ranges.
-    carry = sums.withColumn("_carry", F.sum("_sum").over(earlier)).filter("_carry is not null").select(F.col("part").alias("_part"), F.col(key).alias("_key"), "_carry")
+    carry = sums.select(F.col("part").alias("_part"), F.col(key).alias("_key"), F.sum("_sum").over(earlier).alias("_carry"), F.first("_head").over(earlier).alias("_first")).filter("_carry is not null")
     joined = local.join(F.broadcast(carry), (local["part"] == F.col("_part")) & local[key].eqNullSafe(F.col("_key")), "left")
-    return joined.withColumn("before", F.col("before") + F.coalesce("_carry", F.lit(0))).drop("_part", "_key", "_carry")
+    joined = joined.withColumn("before", F.col("before") + F.coalesce("_carry", F.lit(0))).withColumn("first", F.coalesce("_first", "first"))
+    return joined.drop("_part", "_key", "_carry", "_first", *([] if head else ["first"]))

@@ -7,10 +7,14 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
+from . import chat_format, cotraining, exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
 from .common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("fingerprint")
 
@@ -48,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
