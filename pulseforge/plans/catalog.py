@@ -6,10 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import rhythm as R
+from ..operators.sql import Plan, SqlOperator
+from ..sources import bindings as B
+
+
+class Folded(Plan):
+    """A step that is a function of DataFrames here and other SQL elsewhere."""
+
+    def __init__(self, function: Callable[..., DataFrame], other: str, inputs: dict):
+        step = SqlOperator(other)
+        step.other = other
+        super().__init__(step, inputs, {})
+        self.function = function
+
+    def frame(self, spark: SparkSession, sf_dir: str, made: dict | None = None) -> DataFrame:
+        made = {} if made is None else made
+        if id(self) not in made:
+            made[id(self)] = self.function(**{k: p.frame(spark, sf_dir, made) for k, p in self.inputs.items()})
+        return made[id(self)]
+
+
+def rhythm_plans() -> dict[str, Plan]:
+    beat, long = B.many_records, B.one_record
+    rr = R.rr.on(beat=beat)
+    nn = R.nn_intervals.on(rr=rr)
+    filtered = Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": nn})
+    long_rr = R.rr.on(beat=long)
+    long_nn = R.nn_intervals.on(rr=long_rr)
+    spine = R.minute_spine.on(span=R.span.on(beat=long))
+    minutes = R.hr_per_minute.on(spine=spine, nn=long_nn)
+    medians = R.sleep_rolling_median.on(minutes=minutes)
+    sleep = R.estimate_sleep.on(medians=medians, min_len=10)
+    asleep = R.minute_in_sleep.on(minutes=minutes, sleep=sleep)
+    windows = R.hr_windows.on(beat=long)
+    return {
+        "rhythm_summary": R.rhythm_summary.on(rr=rr, nn=nn),
+        "rr": rr,
+        "nn_intervals": nn,
+        "rhythm_ref": R.rhythm_ref.on(rr=rr),
+        "rr_context": R.rr_context.on(rr=rr),
+        "malik_filter": filtered,
+        "hrv": R.hrv.on(filtered=filtered),
+        "hr_mean": R.hr_mean.on(filtered=filtered),
+        "hr_pct": R.hr_pct.on(nn=nn),
+        "hr_per_minute": minutes,
+        "per_minute_counts": R.per_minute_counts.on(spine=spine, beat=long),
+        "hr_windows": windows,
+        "hr_extremes": R.hr_extremes.on(windows=R.hr_windows.on(beat=beat)),
+        "sleep_rolling_median": medians,
+        "estimate_sleep": sleep,
+        "minute_in_sleep": asleep,
+        "sleep_wake_hr": R.sleep_wake_hr.on(minutes=asleep),
+        "day_night_hr": R.day_night_hr.on(minutes=minutes),
+        "af_screen": R.af_screen.on(nn=nn),
+    }
+
+
+def plans() -> dict[str, Plan]:
+    return rhythm_plans()
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: p.query() for name, p in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: p.sql() for name, p in plans().items()}
