@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import audit as A
+from ..operators import edits as E
+from ..operators import episodes as X
 from ..operators import rhythm as R
-from ..operators.sql import Plan, SqlOperator
+from ..operators import summary as S
+from ..operators.sql import Plan, SqlOperator, operator
 from ..sources import bindings as B
 
 
@@ -27,6 +31,9 @@ class Folded(Plan):
         return made[id(self)]
 
 
+v_run_beats = operator("SELECT record_id, k, t_ms FROM {beat} WHERE label = 'V'")
+
+
 def rhythm_plans() -> dict[str, Plan]:
     beat, long = B.many_records, B.one_record
     rr = R.rr.on(beat=beat)
@@ -63,8 +70,122 @@ def rhythm_plans() -> dict[str, Plan]:
     }
 
 
+def review_plans() -> dict[str, Plan]:
+    beat, long = B.many_records, B.one_record
+    rr = R.rr.on(beat=beat)
+    features = A.stand_in_features.on(beat=beat, rhythm=R.rhythm_ref.on(rr=rr))
+    audit = A.audit_verdict.on(features=features)
+    family = A.stand_in_families.on(beat=beat)
+    shaped = A.family_evidence.on(audit=audit, family=family)
+    timed = A.on_time.on(rr=rr)
+    # The long record with a reviewer's edits
+    labels = E.latest_labels.on(log=E.stand_in_labels.on(beat=long))
+    inserted = E.stand_in_inserted.on(beat=long)
+    spans = E.live_spans.on(log=E.stand_in_spans.on(beat=long))
+    diary = E.stand_in_diary.on(beat=long)
+    span = R.span.on(beat=long)
+    noise = E.apply_quality.on(noise=E.stand_in_noise.on(span=span, beat=long), spans=spans)
+    long_rr = R.rr.on(beat=long)
+    long_family = A.stand_in_families.on(beat=long)
+    long_audit = A.audit_verdict.on(features=A.stand_in_features.on(beat=long, rhythm=R.rhythm_ref.on(rr=long_rr)))
+    long_shaped = A.family_evidence.on(audit=long_audit, family=long_family)
+    long_timed = A.schedule_evidence.on(audit=long_shaped, on_time=A.on_time.on(rr=long_rr))
+    merged = E.merge_beats.on(device=long, inserted=inserted, labels=labels)
+    effective = E.effective_audits.on(beat=merged, audit=long_timed)
+    merged_rr = R.rr.on(beat=merged)
+    gaps = X.long_intervals.on(rr=merged_rr)
+    missing = X.missed_candidates.on(rr=merged_rr, context=R.rr_context.on(rr=merged_rr))
+    pause = X.ep_pause.on(interval=gaps, noise_at=X.noise_at.on(interval=gaps, noise=noise))
+    v_run, v_bad = X.ep_v_run.on(audit=effective), X.ep_v_run_rejected.on(audit=effective)
+    s_run = X.ep_s_run.on(audit=effective, sinus=X.sinus_before.on(rr=merged_rr))
+    missed = X.ep_missed.on(interval=missing, noise_at=X.noise_at.on(interval=missing, noise=noise))
+    bad = X.ep_noise.on(noise=noise, windows=2)
+    episode = X.ep_order.on(pause=pause, v_run=v_run, v_run_rejected=v_bad, s_run=s_run, missed=missed, noise=bad)
+    windows = X.noise_windows.on(noise=noise)
+    nn = R.nn_intervals.on(rr=long_rr)
+    minutes = R.hr_per_minute.on(spine=R.minute_spine.on(span=span), nn=nn)
+    sleep = R.estimate_sleep.on(medians=R.sleep_rolling_median.on(minutes=minutes), min_len=10)
+    asleep = R.minute_in_sleep.on(minutes=minutes, sleep=sleep)
+    burden = S.v_burden.on(beat=merged, audit=effective)
+    vt = S.vt_runs.on(episode=episode)
+    shapes = S.morphologies.on(audit=shaped)
+    hours = S.hour_spine.on(span=span)
+    per_minute = R.per_minute_counts.on(spine=R.minute_spine.on(span=span), beat=long)
+    counts = S.verdict_counts.on(audit=effective)
+    cards = S.stats_cards.on(counts=counts)
+    score = S.family_score.on(family=long_family, audit=long_shaped)
+    long_shapes = S.morphologies.on(audit=long_shaped)
+    ranked = S.strip_rank.on(audit=long_shaped, morphologies=long_shapes, episode=episode)
+    mean = R.hr_mean.on(filtered=Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": nn}))
+    return {
+        "audit_features": features,
+        "audit_verdict": audit,
+        "audit_all": A.audit_verdict.on(features=features),
+        "family_evidence": shaped,
+        "on_time": timed,
+        "schedule_evidence": A.schedule_evidence.on(audit=shaped, on_time=timed),
+        "latest_labels": labels,
+        "live_spans": spans,
+        "merge_beats": merged,
+        "effective_audits": effective,
+        "apply_quality": noise,
+        "touched_beats": E.touched_beats.on(beat=long, spans=spans),
+        "event_context": E.event_context.on(diary=diary, rr=merged_rr, audit=effective, episode=episode, noise=noise),
+        "insertable": E.insertable.on(wanted=inserted, beat=long),
+        "export_beats": E.export_beats.on(beat=merged),
+        "beat_info": E.beat_info.on(beat=merged, audit=effective),
+        "beats_window": E.beats_window.on(beat=merged),
+        "edit_counts": E.edit_counts.on(labels=labels, inserted=inserted, spans=spans),
+        "noise_at": X.noise_at.on(interval=gaps, noise=noise),
+        "ep_pause": pause,
+        "ep_v_run": v_run,
+        "ep_v_run_rejected": v_bad,
+        "ep_s_run": s_run,
+        "ep_missed": missed,
+        "ep_noise": bad,
+        "ep_order": episode,
+        "noise_runs": X.noise_runs.on(noise=noise),
+        "noise_windows": windows,
+        "merge_noise": X.merge_noise.on(windows=windows),
+        "step_episode": X.step_episode.on(episode=episode),
+        "step_beat": X.step_beat.on(audit=effective),
+        "runs": R.runs.on(picked=v_run_beats.on(beat=beat)),
+        "verdict_counts": counts,
+        "device_counts": S.device_counts.on(beat=beat),
+        "audited_counts": S.audited_counts.on(audit=effective),
+        "clean_pct": S.clean_pct.on(noise=noise),
+        "pauses": S.pauses.on(rr=merged_rr, episode=episode),
+        "v_burden": burden,
+        "morphologies": shapes,
+        "vt_runs": vt,
+        "criteria": S.criteria.on(burden=burden, episode=episode, vt=vt, af=R.af_screen.on(nn=R.nn_intervals.on(rr=merged_rr))),
+        "density_class": S.density_class.on(burden=burden),
+        "circadian_type": S.circadian_type.on(minutes=asleep, audit=effective),
+        "hourly": S.hourly.on(hours=hours, beat=merged, minutes=asleep, audit=effective, episode=episode, noise=noise),
+        "kept_in": S.kept_in.on(episode=episode, audit=effective),
+        "auto_strips": S.auto_strips.on(extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=merged)), episode=episode, ranked=ranked, diary=diary, span=span),
+        "strip_rank": ranked,
+        "strip_sinus": S.strip_sinus.on(minutes=asleep, mean=mean, noise=noise),
+        "templates_list": S.templates_list.on(family=long_family, labels=labels),
+        "template_hours": S.template_hours.on(family=long_family, span=span),
+        "template_beats": S.template_beats.on(family=long_family),
+        "family_summary": S.family_summary.on(family=long_family, audit=long_audit),
+        "family_sample": S.family_sample.on(family=long_family),
+        "family_score": score,
+        "bucket_counts": S.bucket_counts.on(score=score),
+        "in_bucket": S.in_bucket.on(score=score),
+        "bin_sums": S.bin_sums.on(counts=per_minute),
+        "hourly_sums": S.bin_sums.on(counts=per_minute, minutes=60),
+        "hr_bounds": S.hr_bounds.on(minutes=minutes),
+        "night_minutes": S.night_minutes.on(minutes=minutes),
+        "peak_hour": S.peak_hour.on(hours=S.bin_sums.on(counts=per_minute, minutes=60)),
+        "stats_cards": cards,
+        "dumbbell": S.dumbbell.on(cards=cards),
+    }
+
+
 def plans() -> dict[str, Plan]:
-    return rhythm_plans()
+    return rhythm_plans() | review_plans()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
