@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import ragged
+
 SPACE = "▁"
 #: Characters up to which words are worked on together.
 SHORT = 48
@@ -39,6 +41,57 @@ class Pieces:
                 self.prefixes[piece] = i
         #: Score of a byte: below every piece's.
         self.byte_score = float(self.score.min()) - 10.0
+        self.plant()
+
+    def plant(self) -> None:
+        """The prefixes as a trie in arrays: a node per prefix, node * chars + char leads to a child, and a node's piece or -1."""
+        number = {p: k + 1 for k, p in enumerate(self.prefixes)}
+        self.chars = np.array(sorted({ord(c) for p in self.prefixes for c in p}), np.uint32)
+        self.node_piece = np.array([-1, *self.prefixes.values()], np.int64)
+        code = {chr(c): k for k, c in enumerate(self.chars)}
+        self.first = np.zeros(len(self.chars) + 1, np.int64)
+        keys, children = [], []
+        for p, k in number.items():
+            if len(p) == 1:
+                self.first[code[p]] = k
+            else:
+                keys.append(number[p[:-1]] * len(self.chars) + code[p[-1]])
+                children.append(k)
+        order = np.argsort(keys)
+        self.keys, self.children = np.array(keys, np.int64)[order], np.array(children, np.int64)[order]
+
+    def all_edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start, end and piece of all the edges of words; of those that end together, the longest first."""
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = ragged(sizes)
+        room = np.repeat(sizes, sizes) - place
+        at = np.minimum(np.searchsorted(self.chars, text), len(self.chars) - 1)
+        code = np.where(self.chars[at] == text, at, len(self.chars))
+        here = np.arange(len(text))
+        node = self.first[code]
+        alone = np.flatnonzero((node == 0) | (self.node_piece[node] < 0))
+        found = [(alone, 1, np.full(len(alone), -1))]
+        depth = 1
+        here, node = here[node > 0], node[node > 0]
+        while len(here):
+            piece = self.node_piece[node]
+            full = piece >= 0
+            found.append((here[full], depth, piece[full]))
+            more = room[here] > depth
+            here, node = here[more], node[more]
+            following = code[here + depth]
+            known = following < len(self.chars)
+            here, key = here[known], node[known] * len(self.chars) + following[known]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            here, node = here[hit], self.children[at[hit]]
+            depth += 1
+        found.reverse()
+        where = np.concatenate([f[0] for f in found])
+        end = place[where] + np.concatenate([np.full(len(f[0]), f[1]) for f in found])
+        return word[where], place[where], end, np.concatenate([f[2] for f in found])
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, id) by start."""
@@ -72,18 +125,10 @@ class Lattices:
     """Edges of many short words: word, start, end and piece of each, ordered by end; ends[e] is the slice of those that end at e."""
 
     def __init__(self, vocabulary: Pieces, words: list[str]):
-        flat: list[int] = []
-        sizes = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            found = vocabulary.edges(w)
-            sizes[k] = len(found)
-            for edge in found:
-                flat += edge
-        table = np.array(flat, np.int32).reshape(-1, 3)
-        word = np.repeat(np.arange(len(words)), sizes)
-        order = np.argsort(table[:, 1], kind="stable")
+        word, start, end, piece = vocabulary.all_edges(words)
+        order = np.argsort(end.astype(np.int16), kind="stable")
         self.words, self.count = words, len(words)
-        self.word, self.start, self.end, self.piece = word[order], table[order, 0], table[order, 1], table[order, 2]
+        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
         self.length = np.array([len(w) for w in words], np.int64)
         self.longest = int(self.length.max(initial=0))
         bounds = np.searchsorted(self.end, np.arange(self.longest + 2))
@@ -120,9 +165,9 @@ class Lattices:
         for e in range(1, self.longest + 1):
             s = self.ends[e]
             w, value = self.word[s], front[self.start[s], self.word[s]] + score[s]
-            order = np.lexsort((-value, w))  # among equals the longest piece, as edges are ordered by start
-            first = order[np.flatnonzero(np.diff(w[order], prepend=-1))]
-            front[e, w[first]], via[e, w[first]] = value[first], first + s.start
+            np.maximum.at(front[e], w, value)
+            good = np.flatnonzero(value == front[e, w])[::-1]  # of equals the longest piece, which comes first, is written last
+            via[e, w[good]] = good + s.start
         back = np.full((self.longest + 1, self.count), -np.inf)
         back[self.length, rows] = 0.0
         for e in range(self.longest, 0, -1):

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,18 @@ class Encoder:
         self.words = Interned(self.fill, lambda: [x.clear() for x in (self.score, self.loss, self.at, self.size, self.ids)])
         self.listed = lru_cache(maxsize=20_000)(lambda word, n: n_best(self.pieces, word, n))
 
+        self.raw = np.frombuffer(b"".join(self.pieces.spelled), np.uint8)
+        self.raw_size = np.array([len(x) for x in self.pieces.spelled], np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+
+    def spelled(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """What each text's ids spell, with the space before the first word."""
+        sizes = self.raw_size[flat]
+        ends = np.cumsum(sizes)
+        out = self.raw[np.repeat(self.raw_at[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
     def put(self, score, loss, ids, size) -> None:
         size = np.asarray(size, np.int64)
         self.at.extend(self.ids.n + np.cumsum(size) - size)
@@ -191,14 +204,24 @@ def spelling(pieces: Pieces, ids: list[int]) -> bytes:
 
 
 def codec_summary(docs: DataFrame, n: int = N_BEST, model_file: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_tokens, score, scores of the others, ids_hash, round_trip (decoding gives the text, from every segmentation)."""
-    made = decode(encode(docs, ["doc_id", "text"], n, model_file), model_file)
-    expected = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return made.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "score",
-        *[F.try_element_at("others", F.lit(k)).getField("score").alias(f"score_{k + 1}") for k in range(1, n)],
-        F.xxhash64("ids").alias("ids_hash"),
-        ((F.col("decoded") == expected) & F.col("others_agree")).alias("round_trip"),
-    )
+    """Per document: doc_id, n_tokens, score, scores of the others, ids_hash, round_trip (decoding gives the text, from every
+    segmentation). Encoding and decoding share a task, so that ids do not travel in between."""
+    model_file = model_file or default_vocabulary()
+
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(1).to_pylist()
+        encoder = _encoder(model_file)
+        flat, counts, scores, others = encoder.encode(texts, n)
+        spelled = encoder.spelled(flat, counts)
+        first, good, hashes = np.cumsum(counts) - counts, [], []
+        for k, text in enumerate(texts):
+            own = flat[first[k] : first[k] + counts[k]]
+            same = all(spelling(encoder.pieces, own[e["at"] : e["at"] + e["drop"]].tolist()) == spelling(encoder.pieces, e["ids"]) for o in others[k] for e in o["edits"])
+            good.append(same and spelled[k][1:] == (text or "").replace(SPACE, " ").encode("utf-8", "replace"))
+            hashes.append(xxhash.xxh3_64_intdigest(own.astype("<i4").tobytes()) >> 1)
+        more = [pa.array([o[k]["score"] if len(o) > k else None for o in others], pa.float64()) for k in range(n - 1)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(scores), *more, pa.array(hashes, pa.int64()), pa.array(good)], names=names)
+
+    names = ["doc_id", "n_tokens", "score", *(f"score_{k}" for k in range(2, n + 1)), "ids_hash", "round_trip"]
+    kinds = ["long", "long", "double", *["double"] * (n - 1), "long", "boolean"]
+    return map_arrow(docs.select("doc_id", "text"), step, ", ".join(f"{c} {k}" for c, k in zip(names, kinds, strict=True)))
