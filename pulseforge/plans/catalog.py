@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text_sql as T
 from ..operators import audit as A
 from ..operators import edits as E
 from ..operators import episodes as X
+from ..operators import intervals as Q
+from ..operators import morphology as M
 from ..operators import rhythm as R
+from ..operators import signal as G
 from ..operators import summary as S
-from ..operators.sql import Plan, SqlOperator, operator
+from ..operators.sql import Plan, SqlOperator, Table, operator
 from ..sources import bindings as B
+from ..sources import exports, synthetic
+from . import report
+from .record import audited_record
 
 
 class Folded(Plan):
@@ -184,12 +192,98 @@ def review_plans() -> dict[str, Plan]:
     }
 
 
+def signal_plans() -> dict[str, Plan]:
+    samples = B.samples
+    windows = G.qwin_metrics.on(samples=samples)
+    points = M.shape_points.on(embeddings=Table("embeddings"))
+    centres = M.centres.on(points=points)
+    text = T.report_numbers.on(beat=B.one_record)
+    return {
+        "samples": samples,
+        "sig_running_sum": G.sig_running_sum.on(samples=samples),
+        "sig_box": G.sig_box.on(samples=samples),
+        "sig_hf_residual": G.sig_hf_residual.on(samples=samples),
+        "sig_baseline": G.sig_baseline.on(samples=samples),
+        "qwin_metrics": windows,
+        "noise_score": G.noise_score.on(windows=windows, wander_min="30e0", wander_ratio="1.2e0"),
+        "gain_pick": G.gain_pick.on(samples=samples),
+        "row_minmax": G.row_minmax.on(samples=samples),
+        "row_median": G.row_median.on(samples=samples),
+        "mv_window": G.mv_window.on(samples=samples),
+        "sinus_sample": G.sinus_sample.on(beat=B.one_record, stride=20, per_hour=15),
+        "qt_sinus_beats": Q.sinus_beats.on(beat=B.one_record, least=20, per_hour=10),
+        "shape_points": points,
+        "norm_window": M.norm_window.on(points=points),
+        "shape_centres": centres,
+        "nearest_centre": M.nearest_centre.on(points=points, centres=centres),
+        "report_numbers": text,
+    }
+
+
+FS, MV = 125, 0.001747
+
+
+def _record(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """The long record's beats, its made signal, and its length in samples."""
+    beats = B.one_record.frame(spark, sf_dir).select("record_id", "k", "t_ms", "label")
+    total = beats.agg(F.max("t_ms")).first()[0] or 0
+    return beats, synthetic.signal_of(beats, FS, MV), (total + 1000) * FS // 1000
+
+
+def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.window_metrics(_record(spark, sf_dir)[1], FS, MV)
+
+
+def heavy_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that depends on a record alone, up to audited labels: windows, noise, measures, families, evidence."""
+    beats, signal, n = _record(spark, sf_dir)
+    return audited_record(beats, signal, FS, MV, n)
+
+
+def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats, signal, n = _record(spark, sf_dir)
+    return M.cluster(M.beat_windows(signal, beats, FS, MV, n))
+
+
+def qt_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats, signal, n = _record(spark, sf_dir)
+    return Q.qt_hours(signal, Q.sinus_beats(beat=beats), FS, MV, n)
+
+
+def interval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats, signal, _ = _record(spark, sf_dir)
+    long = R.rr(beat=beats).filter("rr > 2000").select("record_id", "k", "t_ms", "rr")
+    return G.interval_checks(signal, long, FS, MV, 1.2, 0.012)
+
+
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, made = review_plans(), {}
+    get = lambda name: p[name].frame(spark, sf_dir, made)
+    return exports.export_json(get("export_beats"), get("ep_order"), get("verdict_counts"), get("criteria"))
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = review_plans() | rhythm_plans()
+    get = lambda name: p[name].frame(spark, sf_dir)
+    long = B.one_record
+    nn = R.nn_intervals.on(rr=R.rr.on(beat=long))
+    filtered = R.malik_filter(nn.frame(spark, sf_dir))
+    return report.sections(
+        span=R.span.on(beat=long).frame(spark, sf_dir), device=S.device_counts.on(beat=long).frame(spark, sf_dir), audited=get("audited_counts"), burden=get("v_burden"), episodes=get("ep_order"), hrv=R.hrv(filtered=filtered), mean=R.hr_mean(filtered=filtered),
+        extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=long)).frame(spark, sf_dir), pct=R.hr_pct.on(nn=nn).frame(spark, sf_dir), pauses=get("pauses"),
+    )
+
+
+#: Queries that no SQL form is given for
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, interval_checks, export_json, sections)}
+
+
 def plans() -> dict[str, Plan]:
-    return rhythm_plans() | review_plans()
+    return rhythm_plans() | review_plans() | signal_plans()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: p.query() for name, p in plans().items()}
+    return {name: p.query() for name, p in plans().items()} | KERNELS
 
 
 def oracle_sql() -> dict[str, str]:
