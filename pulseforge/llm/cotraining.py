@@ -65,10 +65,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Logistic:
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2: float = 1e-4) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, l2: float = 1e-3) -> Logistic:
         """Full-batch Adam on standardised columns, classes weighed alike."""
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = (x - self.mean) / self.scale
+        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 5e-3)
+        z = self.standard(x)
         w = weight * np.where(y > 0, 0.5 / max(1e-9, (weight * y).sum()), 0.5 / max(1e-9, (weight * (1 - y)).sum()))
         self.coef, self.bias = np.zeros(x.shape[1]), 0.0
         m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
@@ -80,8 +80,12 @@ class Logistic:
             self.coef, self.bias = self.coef - move[:-1], self.bias - move[-1]
         return self
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Columns in units of their spread; what is rare in the sample counts for 4 of these at most."""
+        return np.clip((x - self.mean) / self.scale, -4, 4)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.coef + self.bias
+        return np.clip(self.standard(x) @ self.coef + self.bias, -20, 20)
 
 
 class Calibration:
@@ -89,14 +93,12 @@ class Calibration:
 
     def fit(self, logit: np.ndarray, y: np.ndarray) -> Calibration:
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        self.a, self.b = 1.0, 0.0
-        for _ in range(50):  # Newton
-            p = sigmoid(self.a * logit + self.b)
-            d, h = p - target, np.maximum(p * (1 - p), 1e-9)
-            grad = np.array([(d * logit).sum(), d.sum()])
-            hess = np.array([[(h * logit * logit).sum() + 1e-3, (h * logit).sum()], [(h * logit).sum(), h.sum() + 1e-3]])
-            step = np.linalg.solve(hess, grad)
-            self.a, self.b = self.a - step[0], self.b - step[1]
+        line, x = np.zeros(2), np.c_[logit, np.ones(len(logit))]
+        for _ in range(200):  # Newton steps of bounded length
+            p = sigmoid(x @ line)
+            step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), x.T @ (p - target))
+            line = line - step * min(1.0, 0.5 / max(1e-12, np.abs(step).max()))
+        self.a, self.b = float(line[0]), float(line[1])
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
