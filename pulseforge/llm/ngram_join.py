@@ -7,8 +7,8 @@ and linked sets agree in some whole segment. A tile holds the sets of one band t
 Empty segments agree too easily. A band has x more segments than D + 1; a set with up to x empty ones shares a non-empty one
 with every partner, and only a set with more also enters tiles of its empty segments.
 
-In a tile, each set is first compared with the tile's smallest document alone. Where that leaves a tile in several
-components, all its pairs across components are compared. A comparison first bounds the overlap from above by the number of
+In a tile, each set is first compared with the tile's smallest document alone. Where that leaves a tile of three or more in
+several components, all its pairs across components are compared. A comparison first bounds the overlap from above by the number of
 differing bits of two parity bitmaps (8 bits or more for each element), and only what passes is intersected exactly.
 
 Equal sets within a task fold into one before anything is shuffled, and each task sends one row per tile, so that a group of
@@ -93,10 +93,13 @@ class Bands:
             self.spare.append(spare)
 
     def of(self, size: int) -> list[int]:
-        """The band of the size, and the one below if that has partners of it."""
+        """The band of the size, and those below that have partners of it."""
         self.grow(size)
         own = int(np.searchsorted(self.least, size, side="right")) - 1
-        return [own, own - 1] if own and self.least[own] - 1 >= self.threshold * size else [own]
+        out = [own]
+        while out[-1] and self.least[out[-1]] - 1 >= self.threshold * size:
+            out.append(out[-1] - 1)
+        return out
 
     def tiles(self, hashes: np.ndarray) -> np.ndarray:
         """Names of the tiles that a set is in."""
@@ -260,25 +263,77 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     return stored(map_arrow(with_both(near, "hashes"), exact, "lo long, hi long").distinct(), "join-links")
 
 
-def across(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (lo, hi) of a tile's members (tile, doc_id, component, size, bits) in different components that the bitmaps allow."""
+def allowed(a: int, others: np.ndarray, size: np.ndarray, table: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Those of others whose sizes and bitmaps let them be linked with a."""
+    others = others[enough(np.minimum(size[others], size[a]), size[others], size[a], threshold)]
+    if len(others):
+        differ = np.bitwise_count(table[others] ^ table[a]).sum(axis=1, dtype=np.int64)
+        others = others[enough((size[others] + size[a] - differ) // 2, size[others], size[a], threshold)]
+    return others
 
-    def compare(frame):
-        import pandas as pd
 
-        out = []
-        doc, comp, size, side = (frame[c].to_numpy() for c in ("doc_id", "component", "size", "side"))
-        maps = [np.frombuffer(x, "<u8") for x in frame["bits"]]
+def by_group(df: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
+    """work(rows of a group as lists by column) for every group of keys; a task streams over its sorted groups, one in memory at a time."""
+    order, n = [*keys, *columns], len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = {"long": pa.int64(), "int": pa.int32()}
+        kinds = [types[c.split()[1]] for c in schema.split(", ")]
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != now:
+                    if held:
+                        out += work(now, list(zip(*held, strict=True)))
+                    now, held = row[:n], []
+                held.append(row[n:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out = work(now, list(zip(*held, strict=True))) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return df.select(order).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def across(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (lo, hi) between members (tile, doc_id, component) of a tile in different components: enough of them to connect all that are linked.
+
+    Bitmaps first tell which members could have such a link at all; only for those are the sets brought into the tile.
+    """
+
+    def arrays(rows: list, side_at: int) -> tuple:
+        maps = [np.frombuffer(x, "<u8") for x in rows[3]]
         least = min(len(m) for m in maps)
-        table = np.stack([folded(m, least) for m in maps])
+        return np.array(rows[0]), np.array(rows[1]), np.array(rows[2]), np.stack([folded(m, least) for m in maps]), np.array(rows[side_at])
+
+    def others_of(a: int, comp: np.ndarray, doc: np.ndarray, side: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((comp != comp[a]) & ((side == 1) if side[a] == 0 else (doc > doc[a])))
+
+    def near(key: tuple, rows: list) -> list:
+        doc, comp, size, table, side = arrays(rows, 4)
+        open_ = np.zeros(len(doc), bool)
+        for a in np.flatnonzero(side != 1):
+            found = allowed(a, others_of(a, comp, doc, side), size, table, threshold)
+            open_[found] = True
+            open_[a] |= len(found) > 0
+        return [(*key, int(doc[k]), int(side[k])) for k in np.flatnonzero(open_)]
+
+    def join(key: tuple, rows: list) -> list:
+        doc, comp, size, table, side = arrays(rows, 5)
+        held = [np.frombuffer(x, "<u8") for x in rows[4]]
+        out, comp = [], comp.copy()
         for a in np.flatnonzero(side != 1):
-            other = np.flatnonzero((comp != comp[a]) & ((side == 1) if side[a] == 0 else (doc > doc[a])))
-            other = other[enough(np.minimum(size[other], size[a]), size[other], size[a], threshold)]
-            if len(other):
-                differ = np.bitwise_count(table[other] ^ table[a]).sum(axis=1, dtype=np.int64)
-                other = other[enough((size[other] + size[a] - differ) // 2, size[other], size[a], threshold)]
-                out += [(min(doc[a], x), max(doc[a], x)) for x in doc[other]]
-        return pd.DataFrame(out, columns=["lo", "hi"], dtype=np.int64)
+            for b in allowed(a, others_of(a, comp, doc, side), size, table, threshold):
+                if comp[a] != comp[b]:
+                    both = np.concatenate([held[a], held[b]])
+                    both.sort(kind="stable")
+                    if enough(int((both[1:] == both[:-1]).sum()), int(size[a]), int(size[b]), threshold):
+                        out.append((int(min(doc[a], doc[b])), int(max(doc[a], doc[b]))))
+                        comp[comp == comp[b]] = comp[a]
+        return out
 
     # Large tiles are dealt out as pairs of blocks; side says which block of the pair a member is of (2: both are one).
     blocks = members.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
@@ -286,7 +341,11 @@ def across(members: DataFrame, threshold: Fraction) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    return dealt.groupBy("tile", "x", "y").applyInPandas(compare, "lo long, hi long").distinct()
+    keys = ["tile", "x", "y"]
+    mapped = dealt.join(sets.select("doc_id", "size", "bits"), "doc_id")
+    open_ = by_group(mapped, keys, ["doc_id", "component", "size", "bits", "side"], near, "tile long, x int, y int, doc_id long, side int")
+    open_ = stored(open_, "join-open").join(members.select("doc_id", "component").distinct(), "doc_id").join(sets, "doc_id")
+    return by_group(open_, keys, ["doc_id", "component", "size", "bits", "hashes", "side"], join, "lo long, hi long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,16 +357,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     ids = stored(pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct(), "join-ids")
     sets = stored(sets_of(narrowed(texts, ids, ids.count(), "doc_id"), n), "join-sets")
     links = linked(pairs, sets, threshold).unionByName(same)
-    # Tiles that these links leave in several components
+    # Tiles that these links leave in several components. A tile of two has had its pair compared; tiles of the same members count once.
     parts = components(links)
     members = tiles.select("tile", F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
     members = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = members.groupBy("tile").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b and (a is not null)").select("tile")
+    alike = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")]
+    split = members.groupBy("tile").agg(*alike, F.min("component").alias("least"), F.max("component").alias("most")).filter("n > 2 and least < most")
+    split = split.groupBy("n", "a", "b").agg(F.min("tile").alias("tile")).select("tile")
     members = stored(members.join(split, "tile", "left_semi"), "join-members")
     if members.count():
-        more = stored(across(members.join(sets.select("doc_id", "size", "bits"), "doc_id"), threshold), "join-across")
-        more = more.join(pairs, ["lo", "hi"], "left_anti")
-        links = links.unionByName(linked(more, sets, threshold))
+        links = links.unionByName(stored(across(members, sets, threshold), "join-across"))
         parts = components(links)
     rows = found.filter("kind = 0").selectExpr("lo as doc_id", "hi as n_shingles")
     return rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
