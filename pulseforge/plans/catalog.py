@@ -16,6 +16,7 @@ from ..operators import morphology as M
 from ..operators import rhythm as R
 from ..operators import signal as G
 from ..operators import summary as S
+from ..operators import views as V
 from ..operators.sql import Plan, SqlOperator, Table, operator
 from ..sources import bindings as B
 from ..sources import exports, synthetic
@@ -189,6 +190,17 @@ def review_plans() -> dict[str, Plan]:
         "peak_hour": S.peak_hour.on(hours=S.bin_sums.on(counts=per_minute, minutes=60)),
         "stats_cards": cards,
         "dumbbell": S.dumbbell.on(cards=cards),
+        "overview": V.overview.on(minutes=minutes, counts=per_minute, audit=effective),
+        "summary": V.summary.on(
+            span=R.span.on(beat=merged), device=S.device_counts.on(beat=merged), audited=S.audited_counts.on(audit=effective), clean=S.clean_pct.on(noise=noise), pauses=S.pauses.on(rr=merged_rr, episode=episode), burden=burden,
+            extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=merged)), day_night=R.day_night_hr.on(minutes=minutes), sleep_wake=R.sleep_wake_hr.on(minutes=asleep), pct=R.hr_pct.on(nn=R.nn_intervals.on(rr=merged_rr)),
+        ),
+        "hours_note": V.hours_note.on(hours=S.template_hours.on(family=long_family, span=span)),
+        "top_reason": V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_audit)),
+        "verdict_text": V.verdict_text.on(score=score, reasons=V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_shaped))),
+        "feat_rows": V.feat_rows.on(features=features),
+        "hr_ticks": V.hr_ticks.on(bounds=S.hr_bounds.on(minutes=minutes)),
+        "clamp_range": V.clamp_range.on(episode=episode, span=span),
     }
 
 
@@ -217,6 +229,7 @@ def signal_plans() -> dict[str, Plan]:
         "shape_centres": centres,
         "nearest_centre": M.nearest_centre.on(points=points, centres=centres),
         "report_numbers": text,
+        "mean_wave": M.mean_wave.on(family=V.wave_family.on(points=points), points=V.wave_points.on(points=points)),
     }
 
 
@@ -256,6 +269,14 @@ def interval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.interval_checks(signal, long, FS, MV, 1.2, 0.012)
 
 
+def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.raw_window(_record(spark, sf_dir)[1], 1, 60 * FS, 70 * FS, FS)
+
+
+def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.ecg_window(_record(spark, sf_dir)[1], [0, 1, 6], 60, 10, FS, MV, 0.012, 0.1)
+
+
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, made = review_plans(), {}
     get = lambda name: p[name].frame(spark, sf_dir, made)
@@ -275,7 +296,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that no SQL form is given for
-KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, interval_checks, export_json, sections)}
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, interval_checks, raw_window, ecg_window, export_json, sections)}
 
 
 def plans() -> dict[str, Plan]:
