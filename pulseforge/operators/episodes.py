@@ -17,14 +17,20 @@ noise_at = operator(
 
 long_intervals = operator("SELECT record_id, k, t_ms, rr FROM {rr} WHERE rr > 2000")
 
+#: checks: (record_id, k, gap_bad, gap_reason, missed), what the signal says of intervals (see signal.interval_checks)
 ep_pause = operator(
     """
-    SELECT p.record_id, 'pause' AS kind, 0 AS kind_seq, p.t_ms, p.rr AS dur_ms, p.k AS k0, p.k + 1 AS k1, CASE WHEN n.noise >= 0.5e0 THEN 'artifact' ELSE 'review' END AS verdict,
-           CASE WHEN n.noise >= 0.5e0 THEN 0.9e0 ELSE 0.6e0 END AS confidence, concat(CASE WHEN n.noise >= 0.5e0 THEN '«Пауза» ' ELSE 'Пауза ' END, cast(round(p.rr / 1000e0, 1) as string), ' с') AS title
-    FROM {interval} p JOIN {noise_at} n ON p.record_id = n.record_id AND p.k = n.k
+    SELECT record_id, 'pause' AS kind, 0 AS kind_seq, t_ms, rr AS dur_ms, k AS k0, k + 1 AS k1, CASE WHEN bad THEN 'artifact' ELSE 'review' END AS verdict, CASE WHEN bad THEN 0.9e0 ELSE 0.6e0 END AS confidence,
+           concat(CASE WHEN bad THEN '«Пауза» ' ELSE 'Пауза ' END, cast(round(rr / 1000e0, 1) as string), ' с') AS title,
+           CASE WHEN gap_bad OR NOT bad THEN gap_reason ELSE concat('помеха в окне ', cast(cast(bround(noise * 100, 0) as bigint) as string), '%') END AS reason
+    FROM (SELECT p.record_id, p.k, p.t_ms, p.rr, n.noise, c.gap_reason, coalesce(c.gap_bad, false) AS gap_bad, coalesce(c.gap_bad, false) OR n.noise >= 0.5e0 AS bad
+          FROM {interval} p JOIN {noise_at} n ON p.record_id = n.record_id AND p.k = n.k LEFT JOIN {checks} c ON p.record_id = c.record_id AND p.k = c.k) x
     """
 )
 
+#: Stands in for checks where only beats are given
+stand_in_checks = operator("SELECT record_id, k, k % 17 = 0 AS gap_bad, CASE WHEN k % 17 = 0 THEN 'зашкал АЦП' ELSE 'изолиния' END AS gap_reason, k % 3 > 0 AS missed FROM {interval}")
+
 ep_v_run = operator(
     """
     SELECT record_id, 'v-run' AS kind, 1 AS kind_seq, min(t_ms) AS t_ms, max(t_ms) - min(t_ms) AS dur_ms, min(k) AS k0, max(k) AS k1, CASE WHEN avg(confidence) >= 0.7e0 - 1e-9 THEN 'likely' ELSE 'review' END AS verdict,
@@ -73,7 +79,7 @@ missed_candidates = operator(
 ep_missed = operator(
     """
     SELECT p.record_id, 'missed' AS kind, 4 AS kind_seq, p.t_ms, p.rr AS dur_ms, p.k AS k0, p.k + 1 AS k1, 'review' AS verdict, 0.6e0 AS confidence, concat('Пропущен комплекс? RR ', cast(p.rr as string), ' мс') AS title
-    FROM {interval} p JOIN {noise_at} n ON p.record_id = n.record_id AND p.k = n.k WHERE n.noise < 0.35e0
+    FROM {interval} p JOIN {noise_at} n ON p.record_id = n.record_id AND p.k = n.k JOIN {checks} c ON p.record_id = c.record_id AND p.k = c.k WHERE n.noise < 0.35e0 AND c.missed
     """
 )
 

@@ -104,10 +104,10 @@ def review_plans() -> dict[str, Plan]:
     merged_rr = R.rr.on(beat=merged)
     gaps = X.long_intervals.on(rr=merged_rr)
     missing = X.missed_candidates.on(rr=merged_rr, context=R.rr_context.on(rr=merged_rr))
-    pause = X.ep_pause.on(interval=gaps, noise_at=X.noise_at.on(interval=gaps, noise=noise))
+    pause = X.ep_pause.on(interval=gaps, noise_at=X.noise_at.on(interval=gaps, noise=noise), checks=X.stand_in_checks.on(interval=gaps))
     v_run, v_bad = X.ep_v_run.on(audit=effective), X.ep_v_run_rejected.on(audit=effective)
     s_run = X.ep_s_run.on(audit=effective, sinus=X.sinus_before.on(rr=merged_rr))
-    missed = X.ep_missed.on(interval=missing, noise_at=X.noise_at.on(interval=missing, noise=noise))
+    missed = X.ep_missed.on(interval=missing, noise_at=X.noise_at.on(interval=missing, noise=noise), checks=X.stand_in_checks.on(interval=missing))
     bad = X.ep_noise.on(noise=noise, windows=2)
     episode = X.ep_order.on(pause=pause, v_run=v_run, v_run_rejected=v_bad, s_run=s_run, missed=missed, noise=bad)
     windows = X.noise_windows.on(noise=noise)
