@@ -82,22 +82,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Interned(dict):
-    """Numbers for words, given on first sight. fill(new words) is told of new ones; what it keeps per word is cleared together with the numbers once there are more than limit."""
+    """Numbers for words, given on first sight. fill(new words) is told of new ones, once each.
 
-    def __init__(self, fill: Callable[[list], None], clear: Callable[[], None], limit: int = 400_000):
+    Words that were not met for some time lose their number: once there are limit, they become the old generation, from which
+    those that are met again move on, and the generation before is forgotten. What fill has kept of all words is cleared,
+    and the numbers begin anew, after six times as many.
+    """
+
+    def __init__(self, fill: Callable[[list], None], clear: Callable[[], None], limit: int = 250_000):
         super().__init__()
         self.fresh: list = []
-        self.fill, self.forget, self.limit = fill, clear, limit
+        self.old: dict = {}
+        self.total, self.fill, self.forget, self.limit = 0, fill, clear, limit
 
     def __missing__(self, word):
-        self[word] = n = len(self)
-        self.fresh.append(word)
+        n = self.old.get(word)
+        if n is None:
+            n = self.total
+            self.total += 1
+            self.fresh.append(word)
+        self[word] = n
         return n
 
     def numbers(self, words: list) -> np.ndarray:
-        if len(self) > self.limit:
+        if self.total > 6 * self.limit:
             self.clear()
+            self.old, self.total = {}, 0
             self.forget()
+        elif len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
         out = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         if self.fresh:
             self.fill(self.fresh)

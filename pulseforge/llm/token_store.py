@@ -58,12 +58,21 @@ class WordEncoder:
         self.words = Interned(self.fill, lambda: [x.clear() for x in (self.at, self.size, self.ids)])
 
     def fill(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[a : a + 4096]], add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
+        """Words go to the tokenizer as texts of many words; where an id comes from tells whose it is."""
+        for a in range(0, len(words), 20_000):
+            plain = [w.decode("utf-8", "replace") for w in words[a : a + 20_000]]
+            parts = [plain[b : b + 200] for b in range(0, len(plain), 200)]
+            ids, owner = [], []
+            for k, (part, made) in enumerate(zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True)):
+                sizes = np.array([len(w) + 1 for w in part])
+                starts = np.cumsum(sizes) - sizes
+                ids.append(np.array(made.ids, np.uint32))
+                at = np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0]
+                owner.append(200 * k + np.searchsorted(starts, at, side="right") - 1)
+            size = np.bincount(np.concatenate(owner), minlength=len(plain))
             self.at.extend(self.ids.n + np.cumsum(size) - size)
             self.size.extend(size)
-            self.ids.extend(np.array([i for x in ids for i in x], np.uint32))
+            self.ids.extend(np.concatenate(ids))
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with end_id after each text, and how many each text has."""
