@@ -250,7 +250,7 @@ def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heavy_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that depends on a record alone, up to audited labels: windows, noise, measures, families, evidence."""
     beats, signal, n = _record(spark, sf_dir)
-    return audited_record(beats, signal, FS, MV, n)
+    return audited_record(beats, signal.persist(), FS, MV, n)  # made once for three kernels
 
 
 def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ def audit_features(beats: DataFrame, measures: DataFrame, sampled: DataFrame, no
 
 
 def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, n_samples: int) -> DataFrame:
-    signal = signal.persist(StorageLevel.MEMORY_AND_DISK)  # read by three kernels
     windows = G.window_metrics(signal, fs, mv)
     noise = G.noise_score(windows=windows)
     base = windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
