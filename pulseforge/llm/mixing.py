@@ -117,8 +117,9 @@ def mixed_slots(draws: DataFrame, blocks: DataFrame, seed: int, max_epochs: int
     numbered = draws.withColumn("first", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))).join(F.broadcast(blocks), "rank")
     room = F.col("blocks") * max_epochs - F.col("first")
     numbered = numbered.withColumn("drawn", F.least("drawn", room)).filter("drawn > 0")
-    # Pieces of at most 4096 slots, so that a task's rows grow evenly.
-    pieces = numbered.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1, F.lit(4096)))).repartition("shard", "rank", "at")
+    # Pieces of at most 4096 slots, dealt to a set number of tasks: the few rows before they unfold would else go to one.
+    tasks = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = numbered.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1, F.lit(4096)))).repartition(tasks, "shard", "rank", "at")
     slots = pieces.withColumn("slot", F.explode(F.sequence("at", F.least(F.col("at") + 4095, F.col("drawn") - 1))))
 
     @F.pandas_udf("long")
@@ -140,12 +141,13 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """The mix itself: (shard, slot, part, pos, word0, words), the words of each slot."""
-        return self.slots.join(self.blocks, ["rank", "block"])
+        return self.slots.join(self.blocks.hint("merge"), ["rank", "block"])
 
     def taken(self) -> DataFrame:
         """(part, pos, word0, words, times): how often the mix takes each piece of a document."""
         times = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-        return times.join(self.blocks, ["rank", "block"]).select("part", "pos", "word0", "words", "times")
+        # Numbers compress so well that their shuffled size would suggest a broadcast.
+        return times.join(self.blocks.hint("merge"), ["rank", "block"]).select("part", "pos", "word0", "words", "times")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, seed: int = 17) -> Mix:

@@ -43,10 +43,26 @@ class Plan:
     def __init__(self, operator: SqlOperator, inputs: dict, values: dict):
         self.operator, self.inputs, self.values = operator, inputs, values
 
-    def frame(self, spark: SparkSession, sf_dir: str, made: dict | None = None) -> DataFrame:
-        made = {} if made is None else made
+    def readers(self, found: dict[int, int]) -> dict[int, int]:
+        """How many steps of the plan read each step."""
+        for p in self.inputs.values():
+            if isinstance(p, Plan):
+                found[id(p)] = found.get(id(p), 0) + 1
+                if found[id(p)] == 1:
+                    p.readers(found)
+        return found
+
+    def made(self, frames: dict[str, DataFrame]) -> DataFrame:
+        return self.operator(**frames, **self.values)
+
+    def frame(self, spark: SparkSession, sf_dir: str, made: dict | None = None, readers: dict | None = None) -> DataFrame:
+        """Lazy; a step that three or more others read is persisted, as it would be computed for each (clearCache frees it)."""
+        made, readers = {} if made is None else made, self.readers({}) if readers is None else readers
         if id(self) not in made:
-            made[id(self)] = self.operator(**{k: p.frame(spark, sf_dir, made) for k, p in self.inputs.items()}, **self.values)
+            inputs = {k: p.frame(spark, sf_dir, made, readers) if isinstance(p, Plan) else p.frame(spark, sf_dir, made) for k, p in self.inputs.items()}
+            made[id(self)] = self.made(inputs)
+            if readers.get(id(self), 0) >= 3:
+                made[id(self)] = made[id(self)].persist()
         return made[id(self)]
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:

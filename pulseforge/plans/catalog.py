@@ -33,11 +33,8 @@ class Folded(Plan):
         super().__init__(step, inputs, {})
         self.function = function
 
-    def frame(self, spark: SparkSession, sf_dir: str, made: dict | None = None) -> DataFrame:
-        made = {} if made is None else made
-        if id(self) not in made:
-            made[id(self)] = self.function(**{k: p.frame(spark, sf_dir, made) for k, p in self.inputs.items()})
-        return made[id(self)]
+    def made(self, frames: dict[str, DataFrame]) -> DataFrame:
+        return self.function(**frames)
 
 
 v_run_beats = operator("SELECT record_id, k, t_ms FROM {beat} WHERE label = 'V'")
