@@ -49,6 +49,7 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -86,9 +87,12 @@ class Interned(dict):
 
     Words that were not met for some time lose their number: once there are limit, they become the old generation, from which
     those that are met again move on, and the generation before is forgotten. What fill has kept of all words is cleared,
-    and the numbers begin anew, after six times as many.
+    and the numbers begin anew, after six times as many. A Python worker serves one operator after another: it holds the words of
+    the last one only.
     """
 
+    active: Interned | None = None
+
     def __init__(self, fill: Callable[[list], None], clear: Callable[[], None], limit: int = 250_000):
         super().__init__()
         self.fresh: list = []
@@ -104,11 +108,18 @@ class Interned(dict):
         self[word] = n
         return n
 
+    def reset(self) -> None:
+        self.clear()
+        self.old, self.total = {}, 0
+        self.forget()
+
     def numbers(self, words: list) -> np.ndarray:
+        if Interned.active is not self:
+            if Interned.active is not None:
+                Interned.active.reset()
+            Interned.active = self
         if self.total > 6 * self.limit:
-            self.clear()
-            self.old, self.total = {}, 0
-            self.forget()
+            self.reset()
         elif len(self) > self.limit:
             self.old = dict(self)
             self.clear()
