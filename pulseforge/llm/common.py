@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step inside a task works on; bounds the temporary arrays of a step, not the task.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+
+#: Words of a generation (see Interned) where much is kept of each word.
+CACHE_WORDS = 100_000
 
 #: Rows up to which a side that grows with the data is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 300_000
@@ -49,11 +53,18 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns what is free in this worker's heaps to the system: the worker stays for other tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     per_row = max(1, batch.nbytes // max(1, batch.num_rows))
     rows = max(1, STEP_BYTES // per_row)
@@ -117,6 +128,7 @@ class Interned(dict):
         if Interned.active is not self:
             if Interned.active is not None:
                 Interned.active.reset()
+                give_back()
             Interned.active = self
         if self.total > 6 * self.limit:
             self.reset()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Growing, Interned, map_arrow, slices
+from .common import CACHE_WORDS, Growing, Interned, map_arrow, slices
 from .lattice import SPACE, Lattices, pieces_of
 
 FIT_DOCS = 400
@@ -110,7 +110,7 @@ class _Scorer:
     def __init__(self, model: Model):
         self.model, self.pieces = model, pieces_of(model.vocabulary)
         self.values = Growing(np.float64, len(model.langs) + 1)
-        self.words = Interned(self.fill, self.values.clear)
+        self.words = Interned(self.fill, self.values.clear, CACHE_WORDS)
 
     def fill(self, words: list[str]) -> None:
         for a in range(0, len(words), 4096):

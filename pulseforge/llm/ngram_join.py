@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Growing, Interned, map_arrow, mix64, slices, stored, utf8
+from .common import BROADCAST_ROWS, CACHE_WORDS, Growing, Interned, map_arrow, mix64, slices, stored, utf8
 from .components import components
 
 BAND_RATIO = Fraction(4, 3)
@@ -42,7 +42,7 @@ TILE_BLOCK = 2048
 
 _base = np.uint64(0x9E3779B97F4A7C15)
 _hashes = Growing(np.uint64)
-_words = Interned(lambda new: _hashes.extend(mix64(np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64))), _hashes.clear)
+_words = Interned(lambda new: _hashes.extend(mix64(np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64))), _hashes.clear, CACHE_WORDS)
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Growing, Interned, map_arrow
+from .common import CACHE_WORDS, Growing, Interned, map_arrow
 from .language_id import default_vocabulary
 from .lattice import SHORT, SPACE, Lattices, Pieces, n_best, pieces_of
 
@@ -42,7 +42,7 @@ class Encoder:
         self.pieces = pieces_of(model_file)
         self.score, self.loss = Growing(np.float64), Growing(np.float64)
         self.at, self.size, self.ids = Growing(np.int64), Growing(np.int64), Growing(np.int32)
-        self.words = Interned(self.fill, lambda: [x.clear() for x in (self.score, self.loss, self.at, self.size, self.ids)])
+        self.words = Interned(self.fill, lambda: [x.clear() for x in (self.score, self.loss, self.at, self.size, self.ids)], CACHE_WORDS)
         self.listed = lru_cache(maxsize=20_000)(lambda word, n: n_best(self.pieces, word, n))
 
         self.raw = np.frombuffer(b"".join(self.pieces.spelled), np.uint8)
