@@ -6,7 +6,7 @@ samples of a record with a lead per event type. B5: events with certain numbers
 
 from __future__ import annotations
 
-from ..operators.sql import Table, operator
+from ..operators.sql import Table, operator, spelled
 
 EVENTS = Table("events")
 
@@ -26,14 +26,28 @@ many_records = operator(
     divisor=B1_DIVISOR,
 ).on(raw=_raw)
 
-one_record = operator(
-    """
+#: The SQL of other engines, which has no times once events are closer than 800 ms on average: its divisor is then 0.
+_ONE_RECORD = """
     SELECT cast(0 as bigint) AS record_id, cast(row_number() OVER (ORDER BY t_ms) - 1 as bigint) AS k, t_ms,
            CASE event_type WHEN 'purchase' THEN 'V' WHEN 'error' THEN 'S' ELSE 'N' END AS label, event_id, value, pk
     FROM (SELECT *, row_number() OVER (PARTITION BY t_ms ORDER BY event_id) AS first
           FROM (SELECT r.*, (ms - lo) div ((hi - lo) div (n * 800)) AS t_ms FROM {raw} r CROSS JOIN (SELECT min(ms) AS lo, max(ms) AS hi, count(*) AS n FROM {raw}) b) a) b
     WHERE first = 1
+"""
+
+# Where that divisor is 0, times are stretched to 800 ms a beat on average, and an event whose time is taken moves to the next
+# free one: every event is a beat.
+one_record = operator(
     """
+    SELECT cast(0 as bigint) AS record_id, k, CASE WHEN q > 0 THEN slot ELSE k + max(slot - k) OVER (ORDER BY slot, ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS t_ms,
+           CASE event_type WHEN 'purchase' THEN 'V' WHEN 'error' THEN 'S' ELSE 'N' END AS label, event_id, value, pk
+    FROM (SELECT *, cast(row_number() OVER (ORDER BY slot, ms, event_id) - 1 as bigint) AS k
+          FROM (SELECT *, CASE WHEN q = 0 THEN 1 ELSE row_number() OVER (PARTITION BY slot ORDER BY event_id) END AS first
+                FROM (SELECT r.*, q, CASE WHEN q > 0 THEN (ms - lo) div greatest(q, 1) ELSE cast(floor((ms - lo) * (n * 800e0 / greatest(hi - lo, 1))) as bigint) END AS slot
+                      FROM {raw} r CROSS JOIN (SELECT *, (hi - lo) div (n * 800) AS q FROM (SELECT min(ms) AS lo, max(ms) AS hi, count(*) AS n FROM {raw}) s) b) a) c
+          WHERE first = 1) d
+    """,
+    spelled(_ONE_RECORD),
 ).on(raw=_raw)
 
 samples = operator(
