@@ -18,23 +18,21 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, stored
 
-#: Directories of a path that make keys.
-PATH_DEPTH = 3
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
 
 
-def keys_of(url: Column) -> Column:
-    """The keys of a URL, e.g. a.example.com/x/y.html: a.example.com, example.com, com, a.example.com/x/."""
+def keys_of(url: Column, depth: int) -> Column:
+    """The keys of a URL, e.g. a.example.com/x/y.html: a.example.com, example.com, com, a.example.com/x/. Those of more than
+    depth directories are left out."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
-    steps = F.slice(F.split(path, "/"), 2, PATH_DEPTH + 1)  # without what stands before the first slash
+    steps = F.slice(F.split(path, "/"), 2, depth + 1)  # without what stands before the first slash
     whole = F.size(F.split(path, "/")) - 2
-    count = F.least(F.greatest(whole, F.lit(0)), F.lit(PATH_DEPTH))
+    count = F.least(F.greatest(whole, F.lit(0)), F.lit(depth))
     prefixes = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
     return F.when(host != "", F.array_distinct(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>")))))
 
@@ -50,11 +48,13 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched) with host, decision, decided_by, active_from and kept.
 
     A broadcast join where the list is small, else one by key: rows are narrow, and AQE splits what a hot host brings.
+    Captures get keys of as many directories as the list's deepest key has: a longer one could not meet any.
     """
     lists = stored(validity(entries), "url-lists")
-    lists = F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists
+    seen = lists.agg(F.count("*").alias("n"), F.max(F.size(F.split("key", "/")) - 2).alias("depth")).first()
+    lists = F.broadcast(lists) if seen["n"] <= BROADCAST_ROWS else lists
     rows = captures.select(F.monotonically_increasing_id().alias("_row"), "page_id", "url", "fetched").withColumn("host", host_of(F.col("url")))
-    rows = rows.withColumn("_key", F.explode_outer(keys_of(F.col("url"))))
+    rows = rows.withColumn("_key", F.explode_outer(keys_of(F.col("url"), max(0, seen["depth"] or 0))))
     active = (F.col("_key") == F.col("key")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     met = rows.join(lists, active, "left")
     # One row per capture again; a capture has few keys, so groups are small however hot its host.

@@ -155,6 +155,15 @@ def test_url_filters(spark, monkeypatch):
     assert {x["decision"] for x in url_filters.evaluate(pages, entries.limit(0)).collect()} == {"allow", "invalid"}
 
 
+def test_url_filters_of_deep_paths(spark):
+    entries = spark.createDataFrame([("h.org/a/b/c/d/e/", "block"), ("h.org/a/b/c/d/", "allow"), ("h.org", "block"), ("g.org/1/2/3/4/", "block")], "key string, action string").selectExpr("*", "date'2024-01-01' AS day")
+    cases = {"http://h.org/a/b/c/d/e/f/g.html": "h.org/a/b/c/d/e/", "http://h.org/a/b/c/d/x/": "h.org/a/b/c/d/", "http://h.org/a/b/c/d": "h.org", "http://g.org/1/2/3/4/?q=/5/": "g.org/1/2/3/4/", "http://g.org/1/2/3/5/": None}
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").selectExpr("*", "date'2024-02-01' AS fetched")
+    got = url_filters.evaluate(pages, entries).orderBy("page_id").collect()
+    assert [x["decided_by"] for x in got] == list(cases.values())
+    assert [x["decision"] for x in got] == ["block", "allow", "block", "block", "allow"]
+
+
 def test_cotraining(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
