@@ -5,8 +5,8 @@ other sees what is known about the page besides: source, language, length. Each
 labels the unlabelled rows that it is most sure of, for the other to learn from; after the rounds each view is calibrated on
 labelled rows it never learned from, and the mean of both calibrated log odds scores every document.
 
-Fitting uses bounded samples, chosen by a hash of doc_id: about FIT_LABELLED labelled and FIT_POOL unlabelled rows (the
-documented bounds); every row is scored. Null text counts as empty; null source and language are values of their own. Rows
+Fitting uses bounded samples, chosen by a hash of the row: about FIT_LABELLED labelled and FIT_POOL unlabelled rows (the
+documented bounds), whatever ids are null or repeated; rows that repeat are drawn as often as their share says. Every row is scored. Null text counts as empty; null source and language are values of their own. Rows
 that repeat a doc_id are scored each on its own. Without labels of both kinds all scores are 0.5. An empty table gives an
 empty table; further columns are ignored.
 """
@@ -18,10 +18,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8
+from .common import BROADCAST_ROWS, map_arrow, stored, utf8
 
 FIT_LABELLED, FIT_POOL, ROUNDS, PER_ROUND = 6000, 3000, 4, 150
 PAIRS = 512
@@ -147,24 +147,36 @@ def _features(b: pa.RecordBatch, text_at: int, source_at: int, lang_at: int) ->
     return content_features(texts), meta_features(b.column(source_at).to_pylist(), b.column(lang_at).to_pylist(), chars)
 
 
+def row_hash(*columns: str) -> Column:
+    """Equal for rows that are equal in these columns; nulls differ from values and by their column."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_labelled: int = FIT_LABELLED, fit_pool: int = FIT_POOL) -> CoTrained:
     """docs: doc_id, text, source, lang; labels: doc_id and label_col (0 or 1)."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    per = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rows = docs.count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(10_000_000)) / 1e7
-    chosen = F.lit(False)
+    rows = docs.select("doc_id", "text", "source", "lang", row_hash("doc_id", "text", "source", "lang").alias("row"))
+    # Null ids meet no label: they are spread, so that no task gets them all.
+    spread = lambda c: F.when(F.col("doc_id").isNull(), F.pmod(c, F.lit(4096))).otherwise(F.lit(0)).alias("spread")
+    named = known.select("doc_id", F.lit(0).cast("long").alias("spread"), "label")
+    named = F.broadcast(named) if known.count() <= BROADCAST_ROWS else named
+    kinds = rows.select("doc_id", "row", spread(F.col("row"))).join(named, ["doc_id", "spread"], "left").select(F.coalesce("label", F.lit(-1)).alias("label"), "row")
+    kinds = stored(kinds.groupBy("label", "row").agg(F.count("*").alias("n")), "quality-rows")
+    per = {r["label"]: r["n"] for r in kinds.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    share = F.lit(0.0)
     for label, n in per.items():
-        chosen = chosen | ((F.col("label") == label) & (draw < fit_labelled / 2 / max(1, n)))
-    labelled = docs.join(F.broadcast(known.filter(chosen)), "doc_id").select("doc_id", "text", "source", "lang", "label")
-    pool = docs.filter(draw < fit_pool / max(1, rows)).join(known, "doc_id", "left_anti").select("doc_id", "text", "source", "lang", F.lit(-1).alias("label"))
+        share = F.when(F.col("label") == label, min(1.0, (fit_pool if label < 0 else fit_labelled / 2) / n)).otherwise(share)
+    # Of n equal rows n * share are drawn, rounded up or down by their hash: about as many rows as the bounds say, whatever repeats.
+    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = kinds.withColumn("times", F.floor(F.col("n") * share + draw)).filter("times > 0").select("row", "label", "times")
+    texts = rows.join(F.broadcast(drawn), "row").groupBy("row", "label", "times").agg(F.first("text").alias("text"), F.first("source").alias("source"), F.first("lang").alias("lang"))
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
         content, meta = _features(b, 1, 2, 3)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in meta], pa.binary())], names=["doc_id", "label", "content", "meta"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(5), pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in meta], pa.binary())], names=["row", "label", "times", "content", "meta"])
 
-    sample = map_arrow(labelled.unionByName(pool), step, "doc_id long, label int, content binary, meta binary").toPandas()
-    sample = sample.sort_values("doc_id", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
+    sample = map_arrow(texts.select("row", "text", "source", "lang", "label", "times"), step, "row long, label int, times long, content binary, meta binary").toPandas()
+    sample = sample.loc[sample.index.repeat(sample["times"])].sort_values("row", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
     wide = lambda c, n: np.frombuffer(b"".join(sample[c]), np.float16).reshape(-1, n).astype(np.float32)
     return CoTrained(wide("content", CONTENT), wide("meta", META), sample["label"].to_numpy(dtype=int))
 

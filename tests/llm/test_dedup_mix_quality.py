@@ -179,6 +179,26 @@ def test_cotraining(spark):
     assert cotraining.quality_scores(empty(spark), labels).collect() == []
 
 
+def test_cotraining_samples_are_bounded(spark, monkeypatch):
+    """A third of the rows has no id, a third one and the same labelled id, and some rows are equal."""
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(3000)]
+    rows = [(i, "equal rows" if k % 10 == 0 else f"text {k} of many", "en", f"s{k % 4}") for k, i in enumerate(ids)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, 1 if i == 7 else 0) for i in sorted({i for i in ids if i} - set(range(1500, 3000)))], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(cotraining, "CoTrained", lambda content, meta, label: seen.append((label, meta)))
+    for bound in (10**6, 0):
+        monkeypatch.setattr(cotraining, "BROADCAST_ROWS", bound)
+        cotraining.fit(docs, labels, fit_labelled=300, fit_pool=200)
+    cotraining.fit(docs.repartition(9), labels, fit_labelled=300, fit_pool=200)
+    for label, meta in seen:
+        n = Counter(label.tolist())
+        assert 100 < n[1] < 200 and 100 < n[0] < 200 and 140 < n[-1] < 260
+        assert (label == seen[0][0]).all() and (meta == seen[0][1]).all()
+    cotraining.fit(docs, labels, fit_labelled=10**6, fit_pool=10**6)
+    assert Counter(seen[-1][0].tolist()) == {1: 1000, 0: 500, -1: 1500}
+
+
 def test_thresholds_are_fractions():
     from pulseforge.llm.ngram_join import enough
 
