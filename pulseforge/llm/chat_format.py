@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, running_sums, stored
+from .common import in_batches, map_arrow, running_sums, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 192
@@ -185,7 +185,7 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
 
     rows = map_arrow(windows, read, "conv_id long, window long, turns binary, targets binary, n long, chars long, length long")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return rows.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return in_batches(rows, digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step inside a task works on; bounds the temporary arrays of a step, not the task.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 #: Words of a generation (see Interned) where much is kept of each word.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 20_000
+
+#: Bytes of a batch that travels to a Python worker, where the user has set no limit of their own.
+BATCH_BYTES = 4 << 20
 
 #: Rows up to which a side that grows with the data is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 300_000
@@ -28,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset, and only for a local master: elsewhere a
+    folder of this machine would not be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='pulseforge-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,6 +50,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded bytes, after which a worker keeps no words and no free memory."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(limit):
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
+
+    def ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            Interned.release()
+            give_back()
+
+    return df.mapInArrow(ending, schema)
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """df's partitions through step, a slice of at most about STEP_BYTES (or one row) at a time."""
 
@@ -53,9 +75,8 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
-        give_back()
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def give_back() -> None:
@@ -65,9 +86,9 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     per_row = max(1, batch.nbytes // max(1, batch.num_rows))
-    rows = max(1, STEP_BYTES // per_row)
+    rows = max(1, step_bytes // per_row)
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -98,26 +119,22 @@ class Interned(dict):
 
     Words that were not met for some time lose their number: once there are limit, they become the old generation, from which
     those that are met again move on, and the generation before is forgotten. What fill has kept of all words is cleared,
-    and the numbers begin anew, after six times as many. A Python worker serves one operator after another: it holds the words of
-    the last one only.
+    and the numbers begin anew, after six times as many. A Python worker serves one task after another: it holds the words of
+    one operator at a time, and of none between tasks (see in_batches).
     """
 
     active: Interned | None = None
 
     def __init__(self, fill: Callable[[list], None], clear: Callable[[], None], limit: int = 250_000):
         super().__init__()
-        self.fresh: list = []
         self.old: dict = {}
         self.total, self.fill, self.forget, self.limit = 0, fill, clear, limit
 
-    def __missing__(self, word):
-        n = self.old.get(word)
-        if n is None:
-            n = self.total
-            self.total += 1
-            self.fresh.append(word)
-        self[word] = n
-        return n
+    @classmethod
+    def release(cls) -> None:
+        if cls.active is not None:
+            cls.active.reset()
+            cls.active = None
 
     def reset(self) -> None:
         self.clear()
@@ -126,20 +143,28 @@ class Interned(dict):
 
     def numbers(self, words: list) -> np.ndarray:
         if Interned.active is not self:
-            if Interned.active is not None:
-                Interned.active.reset()
-                give_back()
+            Interned.release()
             Interned.active = self
         if self.total > 6 * self.limit:
             self.reset()
         elif len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        out = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        if self.fresh:
-            self.fill(self.fresh)
-            self.fresh = []
-        return out
+        if not words:
+            return np.empty(0, np.int64)
+        coded = pa.array(words).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        unknown = [w for w in distinct if w not in self]
+        if self.old:
+            again = [w for w in unknown if w in self.old]
+            self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            unknown = [w for w in unknown if w not in self.old]
+        if unknown:
+            self.update(zip(unknown, range(self.total, self.total + len(unknown)), strict=True))
+            self.total += len(unknown)
+            self.fill(unknown)
+        number = np.fromiter(map(self.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return number[coded.indices.to_numpy()]
 
 
 class Growing:
@@ -194,7 +219,7 @@ def running_sums(df: DataFrame, key: str, order: list[str], value: str, name: st
             begun, last, total, first = True, b.column(key)[b.num_rows - 1].as_py(), int(before[-1] + v[-1]), int(firsts[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before), pa.array(firsts)], names=[*b.schema.names, "before", "first"])
 
-    local = stored(ranged.mapInArrow(run, schema), name)
+    local = stored(in_batches(ranged, run, schema), name)
     sums = local.groupBy("part", key).agg(F.sum(value).alias("_sum"), F.min_by("first", "pos").alias("_head"))
     earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # A range goes on with one key at most, so this has fewer rows than there are ranges.

@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import BROADCAST_ROWS, in_batches, stored
 
 #: Bits of a quotient; a fingerprint's other bits are its shard (high) and remainder (low).
 QUOTIENT_BITS = 16
-#: Fingerprints aimed at in the merged filter of one shard.
+#: Fingerprints aimed at in the merged filter of one shard, and most that a partition gathers before it builds its filters.
 SHARD_ROWS = 250_000
+FILTER_ROWS = 4_000_000
 
 
 class QuotientFilter:
@@ -103,14 +104,23 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
     remainder_bits = 64 - shard_bits - QUOTIENT_BITS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            fp, counts = np.unique(fp, return_counts=True)
+        held: list[np.ndarray] = []
+
+        def filters() -> pa.RecordBatch:
+            fp, counts = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+            held.clear()
             shard = (fp >> below).astype(np.int64)
             at = np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1))
             low = fp & np.uint64((1 << int(below)) - 1)
             made = [QuotientFilter.build(low[a:b], counts[a:b], remainder_bits).to_bytes() for a, b in zip(at, np.r_[at[1:], len(fp)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int64()), pa.array(made, pa.binary())], names=["shard", "filter"])
+            return pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int64()), pa.array(made, pa.binary())], names=["shard", "filter"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            if sum(map(len, held)) >= FILTER_ROWS:
+                yield filters()
+        if held:
+            yield filters()
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         whole = QuotientFilter.merge([QuotientFilter.from_bytes(b) for b in frame["filter"]])
@@ -119,7 +129,7 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
         fp = low[again] | (np.uint64(int(frame["shard"].iloc[0])) << below)
         return pd.DataFrame({"fp": fp.view(np.int64), "n": counts[again]})
 
-    return fps.select("fp").mapInArrow(build, "shard long, filter binary").groupBy("shard").applyInPandas(merge, "fp long, n long")
+    return in_batches(fps.select("fp"), build, "shard long, filter binary").groupBy("shard").applyInPandas(merge, "fp long, n long")
 
 
 def normalised(text_col: str = "text") -> Column:
