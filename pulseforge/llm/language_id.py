@@ -1,9 +1,10 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's probability is the sum over all its
-segmentations into pieces, by the forward algorithm; a text's is the product over its words (runs of letters, lower case,
-cut every 32 characters). Expectation maximisation over the same lattices fits the probabilities to the word counts of
-about FIT_DOCS labelled documents per language (chosen by a hash of doc_id; the only sample), never of held-out ones.
+segmentations into pieces, by the forward algorithm; a text's is the product over its words (runs of letters of any length,
+lower case). Expectation maximisation over the same lattices fits the probabilities to the word counts of about FIT_DOCS
+labelled documents per language (chosen by a hash of doc_id; the only sample), never of held-out ones; it learns from words of
+up to FIT_UNIT letters.
 
 A text without a letter, or null, is `und` with score 0. Among equal languages the first in code point order is predicted.
 Without anything to learn from, all is `und`. doc_id may be null (then held out) or repeat; further columns are ignored.
@@ -21,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Growing, Interned, map_arrow, slices
-from .lattice import SPACE, Lattices, pieces_of
+from .common import CACHE_WORDS, Growing, Interned, in_batches, map_arrow, slices
+from .lattice import SHORT, SPACE, Lattices, pieces_of, scaled_sums
 
 FIT_DOCS = 400
 ROUNDS = 3
 #: Words that a score speaks for: it is the posterior of as many average words of the text.
 SCORE_WORDS = 20
-UNIT = 32
+FIT_UNIT = 47
 UNKNOWN = 1e-9
 
-_letters = re.compile(r"[^\W\d_]{1,%d}" % UNIT)
+_letters = re.compile(r"[^\W\d_]+")
 
 
 def default_vocabulary() -> str:
@@ -61,11 +62,11 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             for b in slices(batch):
                 seen: Counter = Counter()
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    seen.update((lang, u) for u in units(text))
+                    seen.update((lang, u) for u in units(text) if len(u) <= FIT_UNIT)
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    return docs.select(lang_col, text_col).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select(lang_col, text_col), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model:
@@ -115,9 +116,12 @@ class _Scorer:
     def fill(self, words: list[str]) -> None:
         for a in range(0, len(words), 4096):
             part = words[a : a + 4096]
-            x = Lattices(self.pieces, [SPACE + w for w in part])
+            long = [k for k, w in enumerate(part) if len(w) >= SHORT]
+            x = Lattices(self.pieces, [SPACE + w if len(w) < SHORT else SPACE for w in part])
             alpha = x.forward_sums(self.model.probs[x.piece])
             logs = np.log(np.maximum(alpha[x.length, :, np.arange(x.count)], 1e-300))
+            for k in long:
+                logs[k] = scaled_sums(self.pieces, SPACE + part[k], self.model.probs)
             letter = np.array([any(map(str.isalpha, w)) for w in part], float)
             self.values.extend(np.c_[logs * letter[:, None], letter])
 

@@ -14,7 +14,7 @@ import numpy as np
 from .common import ragged
 
 SPACE = "▁"
-#: Characters up to which words are worked on together.
+#: Characters up to which words are worked on together, in arrays; longer ones go one by one, to the same results.
 SHORT = 48
 
 
@@ -186,19 +186,51 @@ class Lattices:
         return front[self.length, rows], second, np.array(paths).T.reshape(self.count, -1) if paths else np.empty((self.count, 0), np.int64)
 
 
+def scaled_sums(vocabulary: Pieces, word: str, probs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of a word of any length, by column of probs[piece, column].
+
+    Sums of long words leave the range of floats: what is known of the last places is scaled by a common factor as it shrinks.
+    """
+    edges = vocabulary.edges(word)
+    reach = max(b - a for a, b, _ in edges)
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
+    for a, b, piece in edges:
+        ends[b].append((a, piece))
+    recent, logs = np.zeros((reach, probs.shape[1])), np.zeros(probs.shape[1])  # recent: a ring of the last places' sums
+    recent[0] = 1.0
+    for place in range(1, len(word) + 1):
+        starts, pieces = zip(*ends[place], strict=True) if ends[place] else ((), ())
+        here = (recent[np.array(starts, np.int64) % reach] * probs[np.array(pieces, np.int64)]).sum(axis=0)
+        recent[place % reach] = here
+        if place % 8 == 0:
+            scale = np.maximum(recent.max(axis=0), 1e-300)
+            recent /= scale
+            logs += np.log(scale)
+    return np.log(np.maximum(recent[len(word) % reach], 1e-300)) + logs
+
+
 def n_best(vocabulary: Pieces, word: str, n: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations of word, best first: (score, ids).
+    """The n best segmentations of word, best first: (score, ids), all of them different.
 
     The forward Viterbi score of a place is exactly the best that the rest of a path can bring when it is built from the end
-    to the beginning; with it as heuristic, A-star pops whole paths in the order of their scores.
+    to the beginning; with it as heuristic, A-star pops whole paths in the order of their scores. The first is Viterbi's own
+    path, which of equal ones takes the longest last piece at each place (as Lattices.best does).
     """
     by_end: list[list] = [[] for _ in range(len(word) + 1)]
-    front = [-np.inf] * (len(word) + 1)
+    front, via = [-np.inf] * (len(word) + 1), [None] * (len(word) + 1)
     front[0] = 0.0
-    for edge in vocabulary.edges(word):
+    for edge in vocabulary.edges(word):  # by start: of the edges to one place, the longest comes first
         cost = vocabulary.edge_score(word, edge)
         by_end[edge[1]].append((edge, cost))
-        front[edge[1]] = max(front[edge[1]], front[edge[0]] + cost)
+        if front[edge[0]] + cost > front[edge[1]]:
+            front[edge[1]], via[edge[1]] = front[edge[0]] + cost, edge
+    steps, place = [], len(word)
+    while place:
+        steps.append(via[place])
+        place = via[place][0]
+    best = [i for edge in reversed(steps) for i in vocabulary.spell(word, edge)]
+    if n == 1:
+        return [(front[-1], best)]
     agenda: list = [(-front[-1], 0, len(word), 0.0, None)]
     found, ticket = [], 0
     while agenda and len(found) < n:
@@ -213,4 +245,4 @@ def n_best(vocabulary: Pieces, word: str, n: int) -> list[tuple[float, list[int]
         for edge, cost in by_end[place]:
             ticket -= 1  # among equals the latest: a path is followed to its end before another is begun
             heapq.heappush(agenda, (-(so_far + cost + front[edge[0]]), ticket, edge[0], so_far + cost, (edge, path)))
-    return found
+    return [(front[-1], best), *(x for x in found if x[1] != best)][:n]

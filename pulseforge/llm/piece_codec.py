@@ -5,8 +5,9 @@ else, and around line feeds. So a text's n best are made of its words' best: the
 change at most n - 1 words, those with the smallest loss to their second best. Viterbi runs over many words at once and is
 kept for words met before; A-star (see lattice.n_best) lists the segmentations of the few words that others need.
 
-Scores are the model's; a character that no piece covers becomes its bytes, each with a score below all pieces'. Equal
-scores keep the order of the search, which depends on the text alone. Null and empty texts have no ids and no other
+Scores are the model's; a character that no piece covers becomes its bytes, each with a score below all pieces'. Of equal
+best paths the one with the longest last piece at each place is the first, whatever a word's length; further equal ones keep
+the order of the search, which depends on the text alone. No segmentation is listed twice. Null and empty texts have no ids and no other
 segmentations. U+2581 in a text comes back as a space, for which it stands. Rows that repeat a doc_id are rows of their own.
 """
 
@@ -42,13 +43,17 @@ class Encoder:
         self.pieces = pieces_of(model_file)
         self.score, self.loss = Growing(np.float64), Growing(np.float64)
         self.at, self.size, self.ids = Growing(np.int64), Growing(np.int64), Growing(np.int32)
-        self.words = Interned(self.fill, lambda: [x.clear() for x in (self.score, self.loss, self.at, self.size, self.ids)], CACHE_WORDS)
-        self.listed = lru_cache(maxsize=20_000)(lambda word, n: n_best(self.pieces, word, n))
-
+        self.listed = lru_cache(maxsize=5_000)(lambda word, n: n_best(self.pieces, word, n))
+        self.words = Interned(self.fill, self.forget, CACHE_WORDS)
         self.raw = np.frombuffer(b"".join(self.pieces.spelled), np.uint8)
         self.raw_size = np.array([len(x) for x in self.pieces.spelled], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
 
+    def forget(self) -> None:
+        for kept in (self.score, self.loss, self.at, self.size, self.ids):
+            kept.clear()
+        self.listed.cache_clear()
+
     def spelled(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """What each text's ids spell, with the space before the first word."""
         sizes = self.raw_size[flat]
@@ -126,7 +131,7 @@ class Encoder:
             others.append(
                 [
                     {"score": float(scores[k] - lost), "edits": [{"at": int(token[a + i] - token[a]), "drop": int(lengths[a + i]), "ids": lists[j][c][1]} for j, (i, c) in enumerate(zip(near, choice, strict=True)) if c]}
-                    for lost, choice in smallest_losses([[x[0][0] - y[0] for y in x] for x in lists], n)[1:]
+                    for lost, choice in smallest_losses([[max(0.0, x[0][0] - y[0]) for y in x] for x in lists], n)[1:]
                 ]
             )
         return flat, counts, scores, others
