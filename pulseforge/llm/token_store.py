@@ -10,8 +10,8 @@ doc_id, n_tokens, names, sizes, root), manifest(part, docs, tokens, first, root)
 roots and never brings a document's ids together: the checksums of its chunks combine.
 
 Null text counts as empty: such a document has the end id alone. Rows that repeat a doc_id are documents of their own, in
-the order of their roots. An empty table makes an empty store. Whole texts are encoded word by word (words between ASCII
-white space, at which the vocabulary's own rules cut too), each distinct word once.
+the order of their roots. An empty table makes an empty store. Whole texts are encoded word by word (words between places at
+which the vocabulary's own rules cut too: ASCII white space, and before marks that end a word), each distinct word once.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Growing, Interned, map_arrow, mix64, running_sums, shared_folder, slices, stored, utf8
+from .common import BROADCAST_ROWS, Growing, Interned, in_batches, map_arrow, mix64, running_sums, shared_folder, slices, stored, utf8
 
 END_ID = 1
+#: Bytes of text that are encoded in one step: the more, the fewer words are looked up twice.
+ENCODE_BYTES = 4 << 20
 #: Ids that the rolling hash looks at, fewest and most ids of a chunk, and the chance of a cut.
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 2048, 8
 DIGEST = 16
@@ -46,6 +48,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words that the tokenizer gets as one text.
+TEXT_WORDS = 200
+
+
+def plain_letters(word: str) -> bool:
+    """Whether the tokenizer's rules take word as one word for certain: Latin letters, in lower case too."""
+    return word.isascii() and word.isalpha() or max(word) < "\u0250" and word.isalpha() and word.lower().isalpha()
+
+
+#: 1: a letter a-z, 2: a character whose runs the tokenizer's rules take as one word, 4: white space; apostrophes are of none, nor
+#: the characters of the vocabulary's special tokens.
+_kinds = np.zeros(256, np.uint8)
+_kinds[97:123] = 1
+_kinds[[*b'!"#$%&()*+,-./:;=?@[]^_`{}~']] = 2
+_kinds[[*b" \t\n\v\f\r"]] = 4
+
+
+def apart(texts: list[bytes | None]) -> list[bytes]:
+    """texts with other ids for none: A-Z in lower case, and a space before a run of marks between a letter and white space, where
+    the tokenizer cuts anyway. So far fewer words are different."""
+    joined = np.frombuffer(b"".join((t or b"") + b"\n" for t in texts).lower(), np.uint8)
+    kind = _kinds[joined]
+    begin = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+    others = np.flatnonzero(kind != 2)
+    begin = begin[kind[others[np.searchsorted(others, begin)]] == 4]
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    ends = (ends + np.searchsorted(begin, ends)).tolist()
+    spaced = np.insert(joined, begin, 32).tobytes()
+    return [spaced[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class WordEncoder:
     """Ids of words by the tokenizers library."""
 
@@ -58,25 +91,43 @@ class WordEncoder:
         self.words = Interned(self.fill, lambda: [x.clear() for x in (self.at, self.size, self.ids)])
 
     def fill(self, words: list[bytes]) -> None:
-        """Words go to the tokenizer as texts of many words; where an id comes from tells whose it is."""
+        """Words go to the tokenizer as texts of many words. A word of plain letters is one word to the tokenizer too, which numbers
+        them; of the other words, where an id comes from tells whose it is."""
         for a in range(0, len(words), 20_000):
             plain = [w.decode("utf-8", "replace") for w in words[a : a + 20_000]]
-            parts = [plain[b : b + 200] for b in range(0, len(plain), 200)]
-            ids, owner = [], []
-            for k, (part, made) in enumerate(zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True)):
-                sizes = np.array([len(w) + 1 for w in part])
-                starts = np.cumsum(sizes) - sizes
-                ids.append(np.array(made.ids, np.uint32))
-                at = np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0]
-                owner.append(200 * k + np.searchsorted(starts, at, side="right") - 1)
-            size = np.bincount(np.concatenate(owner), minlength=len(plain))
-            self.at.extend(self.ids.n + np.cumsum(size) - size)
-            self.size.extend(size)
-            self.ids.extend(np.concatenate(ids))
+            single = np.fromiter(map(plain_letters, plain), bool, len(plain))
+            kinds = [(np.flatnonzero(single), self.numbered), (np.flatnonzero(~single), self.located)]
+            order, sizes = np.concatenate([rows for rows, _ in kinds]), np.zeros(len(plain), np.int64)
+            flat: list[np.ndarray] = []
+            for rows, owners in kinds:
+                for at in range(0, len(rows), TEXT_WORDS):
+                    part = rows[at : at + TEXT_WORDS]
+                    flat.append(np.array(self.tokens(owners, [plain[k] for k in part], part, sizes), np.uint32))
+            ends = self.ids.n + np.cumsum(sizes[order])
+            places = np.empty(len(plain), np.int64)
+            places[order] = ends - sizes[order]
+            self.at.extend(places)
+            self.size.extend(sizes)
+            self.ids.extend(np.concatenate(flat))
+
+    def tokens(self, owners, words: list[str], rows: np.ndarray, sizes: np.ndarray) -> list[int]:
+        """The ids of words; sizes[rows] becomes how many each has."""
+        made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        sizes[rows] = np.bincount(owners(made, words), minlength=len(words))
+        return made.ids
+
+    @staticmethod
+    def numbered(made, words: list[str]) -> np.ndarray:
+        return np.array(made.word_ids, np.int64)
+
+    @staticmethod
+    def located(made, words: list[str]) -> np.ndarray:
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        return np.searchsorted(starts, np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0], side="right") - 1
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with end_id after each text, and how many each text has."""
-        found = [t.split() if t else [] for t in texts]
+        found = [t.split() for t in apart(texts)]
         words = self.words.numbers([w for f in found for w in f])
         sizes = np.array([len(f) for f in found], np.int64)
         lengths, at = self.size.data[words], self.at.data[words]
@@ -164,7 +215,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, width: int =
 
         task, known = TaskContext.get().partitionId(), set()
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, ENCODE_BYTES):
                 flat, counts = _encoder(tokenizer).encode(utf8(b.column(1)), end_id)
                 if int(flat.max(initial=0)) >= 1 << 8 * width:
                     raise ValueError(f"an id does not fit {width} bytes")
@@ -187,7 +238,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, width: int =
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*rows, [task] * len(rows[0])], _RECORD, strict=True)], schema=_RECORD)
 
     made = f"{path}/parts"
-    docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, _RECORD_DDL).write.partitionBy("kind").parquet(made)
+    in_batches(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, _RECORD_DDL).write.partitionBy("kind").parquet(made)
     both = spark.read.schema(_RECORD_DDL.replace("kind string, ", "") + ", kind string").parquet(made)
     chunks = both.filter("kind = 'chunk'").select("digest", "n", "data", "task")
     # A chunk that several tasks met is kept from the first of them.
