@@ -3,7 +3,8 @@
 Each source's words, in the order of its documents, are packed into blocks of a fixed length. An output shard draws how many
 of its slots go to each source: the whole parts of their expected counts, and a multinomial draw for the rest. The slots of a
 source, numbered over all shards, map through a pseudorandom permutation of its block numbers, epoch by epoch, and slots meet
-blocks in a join by number. No block is taken more than max_epochs times.
+blocks in a join by number. No block is taken more than max_epochs times: slots drawn for a source beyond that go, in one more
+shard, to the sources that are furthest below their targets and have blocks left.
 
 Sources weigh by rank in code point order, null last. Null text has size 0; documents of size 0 are never taken. Rows that
 repeat a doc_id are rows of their own. An empty table gives an empty mix; further columns are ignored.
@@ -111,10 +112,37 @@ def shard_draws(spark: SparkSession, targets: list[tuple[int, float]], block_wor
     return spark.range(shards).mapInPandas(draw, "shard long, rank int, drawn long")
 
 
+def with_room(draws: DataFrame, targets: list[tuple[int, float, int]], block_words: int, max_epochs: int) -> DataFrame:
+    """draws and one more shard: as many slots as draws has beyond max_epochs times the blocks of their sources, for sources that have room.
+
+    targets: rank, words and blocks of each source. One row per source reaches the driver.
+    """
+    drawn = {r["rank"]: int(r["drawn"]) for r in draws.groupBy("rank").agg(F.sum("drawn").alias("drawn")).collect()}
+    got = np.array([drawn.get(r, 0) for r, _, _ in targets], np.int64)
+    room = np.array([max_epochs * b for _, _, b in targets], np.int64) - got
+    again = int(np.maximum(-room, 0).sum())
+    if not again:
+        return draws
+    want = np.array([w / block_words for _, w, _ in targets]) - got
+    extra, left = np.zeros(len(got), np.int64), again
+    for k in np.argsort(-want, kind="stable"):  # first what their targets lack, then whatever has room
+        extra[k] = min(max(0, round(want[k])), max(0, room[k]), left)
+        left -= extra[k]
+    for k in np.argsort(-want, kind="stable"):
+        more = min(max(0, room[k] - extra[k]), left)
+        extra[k] += more
+        left -= more
+    rows = [(int(r), int(n)) for (r, _, _), n in zip(targets, extra, strict=True) if n]
+    last = draws.agg((F.max("shard") + 1).alias("shard"))  # one row
+    added = draws.sparkSession.createDataFrame(rows, "rank int, drawn long").crossJoin(F.broadcast(last))
+    return draws.unionByName(added.select("shard", "rank", "drawn"))
+
+
 def mixed_slots(draws: DataFrame, blocks: DataFrame, seed: int, max_epochs: int = 2) -> DataFrame:
     """(shard, slot, rank, block): each slot's block. blocks: (rank, blocks) with how many each source has."""
     earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = draws.withColumn("first", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))).join(F.broadcast(blocks), "rank")
+    # What is cut off here has been drawn again by with_room.
     room = F.col("blocks") * max_epochs - F.col("first")
     numbered = numbered.withColumn("drawn", F.least("drawn", room)).filter("drawn > 0")
     # Pieces of at most 4096 slots, dealt to a set number of tasks: the few rows before they unfold would else go to one.
@@ -152,13 +180,14 @@ class Mix:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, seed: int = 17) -> Mix:
     spark = docs.sparkSession
-    sized = stored(word_counts(docs.select("doc_id", "source", *(["key"] if "key" in docs.columns else []), "text")), "mix-sizes")
+    sized = stored(word_counts(docs.select("doc_id", "source", *[c for c in ("key", "key2") if c in docs.columns], "text")), "mix-sizes")
     targets = stored(source_targets(sized, share, max_epochs, weights), "mix-targets")
     rows = stored(running_sums(sized, "source", ["doc_id", "size"], "size", "mix-order"), "mix-rows")
-    blocks = targets.select("rank", F.ceil(F.col("source_size") / block_words).alias("blocks")).filter("blocks > 0")
+    blocks = targets.select("rank", "target", F.ceil(F.col("source_size") / block_words).alias("blocks")).filter("blocks > 0")
     # One row per source reaches the driver, and each task that draws.
-    known = [(int(r["rank"]), float(r["target"])) for r in targets.filter("target > 0").select("rank", "target").orderBy("rank").collect()]
-    slots = mixed_slots(shard_draws(spark, known, block_words, seed), blocks, seed, max_epochs)
+    known = [(int(r["rank"]), float(r["target"]), int(r["blocks"])) for r in blocks.filter("target > 0").orderBy("rank").collect()]
+    draws = stored(shard_draws(spark, [k[:2] for k in known], block_words, seed), "mix-draws")
+    slots = mixed_slots(with_room(draws, known, block_words, max_epochs), blocks.select("rank", "blocks"), seed, max_epochs)
     named = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     placed = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     first, last = F.expr(f"before div {block_words}"), F.expr(f"(before + size - 1) div {block_words}")
@@ -176,15 +205,24 @@ def mix_summary(docs: DataFrame) -> DataFrame:
     return made.rows.join(taken, ["part", "pos"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it."""
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(((raw == 32) | (raw >= 9) & (raw <= 13)).astype(np.int8), prepend=1, append=1))
+    return edge[::2], edge[1::2]
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix seen by document, in the columns of documents: row c of a document (c = 1, 2) has, in order, the words that the
-    mix takes at least c times; a whole text stays as it is. Rows that are equal in all columns are mixed each on its own."""
-    keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("doc_id", "text", "lang", "source").alias("key"))
+    mix takes at least c times, each run of words with the white space inside it and runs apart by a line feed; a whole text
+    stays as it is. Rows that are equal in all columns are mixed each on its own; rows are known by 128 bits of hash."""
+    columns = ["doc_id", "text", "lang", "source"]
+    keyed = docs.select(*columns, F.xxhash64(*columns).alias("key"), F.xxhash64(F.lit("second"), *columns).alias("key2"))
     made = mix(keyed)
     spans = made.taken().withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     spans = spans.groupBy("part", "pos", "copy").agg(F.sort_array(F.collect_list(F.struct("word0", "words"))).alias("spans"))
-    spans = made.rows.select("part", "pos", "key", "size").join(spans, ["part", "pos"]).select("key", "size", "spans")
-    held = keyed.dropDuplicates(["key"]).join(spans, "key").select("doc_id", "text", "lang", "source", "size", "spans")
+    spans = made.rows.select("part", "pos", "key", "key2", "size").join(spans, ["part", "pos"]).select("key", "key2", "size", "spans")
+    held = keyed.dropDuplicates(["key", "key2"]).join(spans, ["key", "key2"]).select("doc_id", "text", "lang", "source", "size", "spans")
 
     def step(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -192,8 +230,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             if sum(s["words"] for s in spans) == size:
                 out.append(text.decode())
                 continue
-            words = text.split()
-            out.append(b" ".join(b" ".join(words[s["word0"] : s["word0"] + s["words"]]) for s in spans).decode())
+            starts, ends = word_bounds(text)
+            first = np.array([s["word0"] for s in spans])
+            last = first + np.array([s["words"] for s in spans])
+            new = np.r_[True, first[1:] != last[:-1]]
+            runs = zip(starts[first[new]].tolist(), ends[last[np.r_[new[1:], True]] - 1].tolist(), strict=True)
+            out.append(b"\n".join(text[a:b] for a, b in runs).decode())
         text = pa.array(out, pa.string())
         return pa.RecordBatch.from_arrays([b.column(0), text, b.column(2), b.column(3), pa.array([len(x) for x in out], pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
 
