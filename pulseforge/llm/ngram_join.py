@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, CACHE_WORDS, Growing, Interned, map_arrow, mix64, slices, stored, utf8
+from .common import BROADCAST_ROWS, CACHE_WORDS, Growing, Interned, in_batches, map_arrow, mix64, slices, stored, utf8
 from .components import components
 
 BAND_RATIO = Fraction(4, 3)
 #: Rows that a task gathers before it folds them tile by tile.
 FOLD_ROWS = 1_000_000
 #: Members of a tile that are compared in one piece.
-TILE_BLOCK = 2048
+TILE_BLOCK = 512
 
 _base = np.uint64(0x9E3779B97F4A7C15)
 _hashes = Growing(np.uint64)
@@ -211,9 +211,10 @@ def shared_tiles(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             if rest.any():
                 yield _rows(2, tile[rest], pivots[rest], lo[rest])
 
-    made = docs.mapInArrow(cut, _ROWS)
-    key = F.coalesce("tile", F.xxhash64("lo", "hi"))
-    return made.repartition(key).sortWithinPartitions("tile", "lo").mapInArrow(star, _ROWS)
+    made = in_batches(docs, cut, _ROWS)
+    # Only the members of tiles have to meet; rows that star passes on go anywhere.
+    key = F.when(F.col("kind") == 3, F.col("tile")).otherwise(F.xxhash64("lo", "hi", "tile"))
+    return in_batches(made.repartition(key).sortWithinPartitions("tile", "lo"), star, _ROWS)
 
 
 def narrowed(df: DataFrame, ids: DataFrame, rows: int, column: str) -> DataFrame:
@@ -295,7 +296,7 @@ def by_group(df: DataFrame, keys: list[str], columns: list[str], work, schema: s
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return df.select(order).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return in_batches(df.select(order).repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def across(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -336,8 +337,11 @@ def across(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
         return out
 
     # Large tiles are dealt out as pairs of blocks; side says which block of the pair a member is of (2: both are one).
-    blocks = members.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "tile").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # Only tiles of more than a block are named, so that no tile's members have to meet in a join by tile.
+    large = members.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = stored(large, "join-blocks")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    dealt = members.join(large, "tile", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
