@@ -105,7 +105,7 @@ e AS (SELECT key, ['block', 'remove', 'allow'][((s + t) % 3)::INTEGER + 1] AS ac
 v AS (SELECT * FROM (SELECT key, action, day AS valid_from, lead(day) OVER (PARTITION BY key ORDER BY day) AS valid_to FROM e) WHERE action <> 'remove'),
 l AS (SELECT r, host, path, string_split(host, '.') AS d, string_split(path, '/') AS p FROM c WHERE host <> ''),
 ck AS (SELECT r, array_to_string(d[i:], '.') AS key FROM l, unnest(range(1, len(d) + 1)) AS s(i)
-       UNION SELECT r, host || '/' || array_to_string(p[2:i + 1], '/') || '/' FROM l, unnest(range(1, least(len(p) - 2, 3) + 1)) AS s(i)),
+       UNION SELECT r, host || '/' || array_to_string(p[2:i + 1], '/') || '/' FROM l, unnest(range(1, greatest(len(p) - 2, 0) + 1)) AS s(i)),
 m AS (SELECT ck.r, v.*, row_number() OVER (PARTITION BY ck.r ORDER BY length(v.key) DESC, v.key DESC) AS k
       FROM ck JOIN c USING (r) JOIN v ON v.key = ck.key AND c.fetched >= valid_from AND (valid_to IS NULL OR c.fetched < valid_to))
 SELECT page_id, nullif(host, '') AS host, c.fetched, CASE WHEN coalesce(host, '') = '' THEN 'invalid' ELSE coalesce(action, 'allow') END AS decision,
