@@ -84,8 +84,8 @@ auto_strips = operator(
 #: Kept beats by their worth for print: outside runs first, then manual, least noise, most confidence
 strip_rank = operator(
     f"""
-    SELECT a.record_id, a.k, a.t_ms, a.label, a.family, m.place AS family_place, row_number() OVER (PARTITION BY a.record_id, a.label, a.family ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, confidence DESC, a.k) AS place,
-           row_number() OVER (PARTITION BY a.record_id, a.label ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, confidence DESC, a.k) AS label_place
+    SELECT a.record_id, a.k, a.t_ms, a.label, a.family, m.place AS family_place, row_number() OVER (PARTITION BY a.record_id, a.label, a.family ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(noise_ratio, 0e0), confidence DESC, a.k) AS place,
+           row_number() OVER (PARTITION BY a.record_id, a.label ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(noise_ratio, 0e0), confidence DESC, a.k) AS label_place
     FROM {{audit}} a LEFT JOIN {{morphologies}} m ON a.record_id = m.record_id AND a.family = m.family
     LEFT JOIN (SELECT DISTINCT x.record_id, x.k FROM {{audit}} x JOIN {{episode}} e ON x.record_id = e.record_id AND x.k >= e.k0 AND x.k <= e.k1 WHERE e.kind IN ('v-run', 's-run') AND e.verdict <> 'artifact') r ON a.record_id = r.record_id AND a.k = r.k
     WHERE {KEPT}
@@ -130,12 +130,15 @@ family_summary = operator(
 family_sample = operator(
     "SELECT record_id, family, k FROM (SELECT record_id, family, k, row_number() OVER (PARTITION BY record_id, family ORDER BY k) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY record_id, family) div 40) AS step FROM {family} WHERE family >= 0) a WHERE r % step = 0 AND r div step < 40"
 )
-#: Which drawer a family belongs to, by what audit and reviewer made of its V labels
+#: Which drawer a family belongs to: by the label that most of its labels by hand have (of equal ones the first by name), or by what the audit made of its V labels
 family_score = operator(
     f"""
-    SELECT record_id, family, n, v, kept_v, uncertain_v, CASE WHEN v >= 3 AND (uncertain_v >= 3 OR (kept_v >= 0.2e0 * v AND kept_v <= 0.8e0 * v)) THEN 'decide' WHEN v >= 3 AND kept_v > 0.8e0 * v THEN 'v' WHEN v > 0.5e0 * n THEN 'v' WHEN s > 0.5e0 * n THEN 's' ELSE 'n' END AS bucket
+    SELECT x.record_id, x.family, n, v, kept_v, uncertain_v, CASE WHEN h.label = 'V' THEN 'v' WHEN h.label = 'S' THEN 's' WHEN h.label IS NOT NULL THEN 'n' WHEN v >= 3 AND (uncertain_v >= 3 OR (kept_v >= 0.2e0 * v AND kept_v <= 0.8e0 * v)) THEN 'decide' WHEN v >= 3 AND kept_v > 0.8e0 * v THEN 'v' WHEN v > 0.5e0 * n THEN 'v' WHEN s > 0.5e0 * n THEN 's' ELSE 'n' END AS bucket
     FROM (SELECT f.record_id, f.family, count(*) AS n, count_if(f.label = 'V') AS v, count_if(f.label = 'S') AS s, count_if(f.label = 'V' AND a.{KEPT}) AS kept_v, count_if(f.label = 'V' AND a.verdict = 'uncertain') AS uncertain_v
           FROM {{family}} f LEFT JOIN {{audit}} a ON f.record_id = a.record_id AND f.k = a.k WHERE f.family >= 0 GROUP BY f.record_id, f.family) x
+    LEFT JOIN (SELECT record_id, family, label FROM (SELECT f.record_id, f.family, a.label, row_number() OVER (PARTITION BY f.record_id, f.family ORDER BY count(*) DESC, a.label) AS r
+                    FROM {{family}} f JOIN {{audit}} a ON f.record_id = a.record_id AND f.k = a.k WHERE a.verdict IN ('manual', 'manual-N') GROUP BY f.record_id, f.family, a.label) y WHERE r = 1) h
+    ON x.record_id = h.record_id AND x.family = h.family
     """
 )
 bucket_counts = operator("SELECT record_id, bucket, count(*) AS n FROM {score} GROUP BY record_id, bucket")

@@ -12,8 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def live_intervals(beats: DataFrame) -> DataFrame:
     """(record_id, t_ms, nn, kept) of a stream of beats (record_id, t_ms, label), in order of arrival within a record: N-N
-    intervals, and whether they are within a fifth of the last kept one. Per record the last beat and interval are state;
-    beats that come late, before the last one, are left to the batch query."""
+    intervals, and whether they are within a fifth of the last kept one. Per record the last beat and interval are state; a beat
+    that comes late, at or before the last one, has a row of its time with null nn and kept, for the batch query to place."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_t, last_label, last_nn = state.get if state.exists else (None, None, None)
@@ -21,6 +21,7 @@ def live_intervals(beats: DataFrame) -> DataFrame:
         for frame in frames:
             for t, label in frame.sort_values("t_ms")[["t_ms", "label"]].itertuples(index=False):
                 if last_t is not None and t <= last_t:
+                    rows.append((key[0], int(t), None, None))
                     continue
                 gap = None if last_t is None else t - last_t
                 if gap is not None and label == last_label == "N" and 300 < gap < 2000:
@@ -29,7 +30,7 @@ def live_intervals(beats: DataFrame) -> DataFrame:
                     last_nn = gap if kept else last_nn
                 last_t, last_label = int(t), label
         state.update((last_t, last_label, last_nn))
-        yield pd.DataFrame(rows, columns=["record_id", "t_ms", "nn", "kept"])
+        yield pd.DataFrame(rows, columns=["record_id", "t_ms", "nn", "kept"]).astype({"nn": "Int64", "kept": "boolean"})
 
     return beats.groupBy("record_id").applyInPandasWithState(
         fold, "record_id long, t_ms long, nn long, kept boolean", "last_t long, last_label string, last_nn long", "append", GroupStateTimeout.NoTimeout
