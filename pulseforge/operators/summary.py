@@ -84,9 +84,9 @@ auto_strips = operator(
 #: Kept beats by their worth for print: outside runs first, then manual, least noise, most confidence
 strip_rank = operator(
     f"""
-    SELECT a.record_id, a.k, a.t_ms, a.label, a.family, m.place AS family_place, row_number() OVER (PARTITION BY a.record_id, a.label, a.family ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(noise_ratio, 0e0), confidence DESC, a.k) AS place,
-           row_number() OVER (PARTITION BY a.record_id, a.label ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(noise_ratio, 0e0), confidence DESC, a.k) AS label_place
-    FROM {{audit}} a LEFT JOIN {{morphologies}} m ON a.record_id = m.record_id AND a.family = m.family
+    SELECT a.record_id, a.k, a.t_ms, a.label, a.family, m.place AS family_place, row_number() OVER (PARTITION BY a.record_id, a.label, a.family ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(q.noise_ratio, 0e0), confidence DESC, a.k) AS place,
+           row_number() OVER (PARTITION BY a.record_id, a.label ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(q.noise_ratio, 0e0), confidence DESC, a.k) AS label_place
+    FROM {{audit}} a LEFT JOIN {{features}} q ON a.record_id = q.record_id AND a.k = q.k LEFT JOIN {{morphologies}} m ON a.record_id = m.record_id AND a.family = m.family
     LEFT JOIN (SELECT DISTINCT x.record_id, x.k FROM {{audit}} x JOIN {{episode}} e ON x.record_id = e.record_id AND x.k >= e.k0 AND x.k <= e.k1 WHERE e.kind IN ('v-run', 's-run') AND e.verdict <> 'artifact') r ON a.record_id = r.record_id AND a.k = r.k
     WHERE {KEPT}
     """

@@ -93,7 +93,8 @@ def review_plans() -> dict[str, Plan]:
     noise = E.apply_quality.on(noise=E.stand_in_noise.on(span=span, beat=long), spans=spans)
     long_rr = R.rr.on(beat=long)
     long_family = A.stand_in_families.on(beat=long)
-    long_audit = A.audit_verdict.on(features=A.stand_in_features.on(beat=long, rhythm=R.rhythm_ref.on(rr=long_rr)))
+    long_features = A.stand_in_features.on(beat=long, rhythm=R.rhythm_ref.on(rr=long_rr))
+    long_audit = A.audit_verdict.on(features=long_features)
     long_shaped = A.family_evidence.on(audit=long_audit, family=long_family)
     long_timed = A.schedule_evidence.on(audit=long_shaped, on_time=A.on_time.on(rr=long_rr))
     merged = E.merge_beats.on(device=long, inserted=inserted, labels=labels)
@@ -121,7 +122,7 @@ def review_plans() -> dict[str, Plan]:
     cards = S.stats_cards.on(counts=counts)
     score = S.family_score.on(family=long_family, audit=long_shaped)
     long_shapes = S.morphologies.on(audit=long_shaped)
-    ranked = S.strip_rank.on(audit=long_shaped, morphologies=long_shapes, episode=episode)
+    ranked = S.strip_rank.on(audit=long_shaped, features=long_features, morphologies=long_shapes, episode=episode)
     mean = R.hr_mean.on(filtered=Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": nn}))
     return {
         "audit_features": features,
