@@ -203,3 +203,39 @@ def test_thresholds_are_fractions():
     from pulseforge.llm.ngram_join import enough
 
     assert enough(90, 100, 90, Fraction(9, 10)) and not enough(89, 100, 90, Fraction(9, 10))
+
+
+def test_slots_beyond_a_sources_room_are_drawn_again(spark):
+    draws = spark.createDataFrame([(0, 0, 30), (0, 1, 10), (1, 0, 25), (1, 1, 15)], "shard long, rank int, drawn long")
+    targets = [(0, 1600.0, 25), (1, 900.0, 100)]  # words and blocks: source 0 has room for 50 slots
+    got = mixing.with_room(draws, targets, 32, 2).collect()
+    assert sorted((r["shard"], r["rank"], r["drawn"]) for r in got)[4:] == [(2, 1, 5)]
+    blocks = spark.createDataFrame([(0, 25), (1, 100)], "rank int, blocks long")
+    slots = mixing.mixed_slots(mixing.with_room(draws, targets, 32, 2), blocks, 1).collect()
+    assert len(slots) == 80 and max(Counter((s["rank"], s["block"]) for s in slots).values()) <= 2
+
+
+def test_repetition_of_very_long_texts():
+    """Counts of a text of two million characters, whose repeats are known."""
+    line = " ".join(f"w{k}" for k in range(200_000))
+    found = repetition.repetition([f"{line}\nunlike all\n{line}".encode()])[0]
+    assert found[0] == 400_002 and found[3] == 1 and found[4] == 400_000
+
+
+def test_cotraining_scores_against_plain_code():
+    """Scores of the fitted views against the sums that define them, and rounds that only add rows of the pool."""
+    r = np.random.default_rng(2)
+    label = np.where(np.arange(400) < 200, r.integers(0, 2, 400), -1)
+    truth = np.where(label >= 0, label, r.integers(0, 2, 400))
+    content, meta = r.normal(truth[:, None], 1.0, (400, 5)), r.normal(truth[:, None], 1.2, (400, 3))
+    model = cotraining.CoTrained(content, meta, label, rounds=2, per_round=20)
+    logits = []
+    for (view, line), x in zip(model.views, (content, meta), strict=True):
+        own = []
+        for row in x:
+            z = [min(4.0, max(-4.0, (v - m) / s)) for v, m, s in zip(row, view.mean, view.scale, strict=True)]
+            own.append(line.a * min(20.0, max(-20.0, sum(a * b for a, b in zip(z, view.coef, strict=True)) + view.bias)) + line.b)
+        logits.append(np.array(own))
+    for got, want in zip(model.scores(content, meta), (logits[0], logits[1], (logits[0] + logits[1]) / 2), strict=True):
+        assert np.allclose(got, 1 / (1 + np.exp(-want)), atol=1e-6)
+    assert ((model.scores(content, meta)[2] > 0.5) == (truth > 0)).mean() > 0.85

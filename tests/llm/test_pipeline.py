@@ -45,3 +45,11 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) > 100 and all(r["ids"] for r in rows)
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == corpus_pipeline.COLUMNS and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0

@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 from pulseforge.llm import language_id, piece_codec, token_store
-from pulseforge.llm.lattice import SPACE, Lattices, n_best, pieces_of
+from pulseforge.llm.lattice import SPACE, Lattices, n_best, pieces_of, scaled_sums
 
 from .shared import AWKWARD, documents, empty
 
@@ -117,3 +118,44 @@ def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred <> 'und'").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_no_segmentation_is_listed_twice():
+    """Whole table: all segmentations differ, none is better than one before, and long and short words follow one rule."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() + ["x" * 300, "ab%%%%% ci%%%", "y" * 49 + " " + "y" * 48]
+    encoder = piece_codec.Encoder(VOCABULARY)
+    flat, counts, scores, others = encoder.encode(texts, 4)
+    first = np.cumsum(counts) - counts
+    for k in range(len(texts)):
+        best = flat[first[k] : first[k] + counts[k]].tolist()
+        listed = [best, *(piece_codec.with_edits(best, o["edits"]) for o in others[k])]
+        assert len({tuple(x) for x in listed}) == len(listed)
+        order = [scores[k], *(o["score"] for o in others[k])]
+        assert order == sorted(order, reverse=True)
+    words = sorted({w for t in texts if t for w in piece_codec.words_of(t)}, key=len)[-400:]
+    for word, number in zip(words, encoder.words.numbers(words), strict=True):
+        at = encoder.at.data[number]
+        assert n_best(encoder.pieces, word, 4)[0][1] == encoder.ids.data[at : at + encoder.size.data[number]].tolist()
+
+
+def test_sums_of_long_words():
+    pieces = pieces_of(VOCABULARY)
+    probs = np.random.default_rng(4).random((pieces.size + 1, 3)) * 1e-3
+    words = [SPACE + w for w in ("a", "internationalisierung", "straßenbahn汉字" * 3)]
+    x = Lattices(pieces, words)
+    sums = x.forward_sums(probs[x.piece])
+    for k, w in enumerate(words):
+        assert np.allclose(np.log(sums[len(w), :, k]), scaled_sums(pieces, w, probs))
+    assert np.isfinite(scaled_sums(pieces, SPACE + "wort" * 5000, probs)).all()
+
+
+def test_token_ids_are_the_tokenizers():
+    """Words set apart, lower-cased and joined anew give the ids that the whole text gives."""
+    rng = np.random.default_rng(8)
+    marks = list("aB z'.,;!?%#&<|>é\n\t-_ 1²ß´`~İ”…ſ")
+    texts = ["".join(rng.choice(marks, 200)) for _ in range(150)] + ["x<|endoftext|> y, don't'. 'll, a's. ok<|startoftext|>. end|> a.<|endoftext|> z", ""]
+    encoder = token_store.WordEncoder(token_store.default_tokenizer())
+    flat, counts = encoder.encode([t.encode() for t in texts] + [None], 1)
+    parts = np.split(flat, np.cumsum(counts)[:-1])
+    for text, ids in zip([*texts, ""], parts, strict=True):
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
