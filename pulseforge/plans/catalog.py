@@ -41,7 +41,7 @@ v_run_beats = operator("SELECT record_id, k, t_ms FROM {beat} WHERE label = 'V'"
 
 
 def rhythm_plans() -> dict[str, Plan]:
-    beat, long = B.many_records, B.one_record
+    beat, long = B.many_records, B.long_records
     rr = R.rr.on(beat=beat)
     nn = R.nn_intervals.on(rr=rr)
     filtered = Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": nn})
@@ -66,18 +66,18 @@ def rhythm_plans() -> dict[str, Plan]:
         "hr_per_minute": minutes,
         "per_minute_counts": R.per_minute_counts.on(spine=spine, beat=long),
         "hr_windows": windows,
-        "hr_extremes": R.hr_extremes.on(windows=R.hr_windows.on(beat=beat)),
+        "hr_extremes": R.hr_extremes.on(windows=windows),
         "sleep_rolling_median": medians,
         "estimate_sleep": sleep,
         "minute_in_sleep": asleep,
         "sleep_wake_hr": R.sleep_wake_hr.on(minutes=asleep),
         "day_night_hr": R.day_night_hr.on(minutes=minutes),
-        "af_screen": R.af_screen.on(nn=nn),
+        "af_screen": R.af_screen.on(nn=long_nn),
     }
 
 
 def review_plans() -> dict[str, Plan]:
-    beat, long = B.many_records, B.one_record
+    beat, long = B.many_records, B.long_records
     rr = R.rr.on(beat=beat)
     features = A.stand_in_features.on(beat=beat, rhythm=R.rhythm_ref.on(rr=rr))
     audit = A.audit_verdict.on(features=features)
@@ -115,7 +115,6 @@ def review_plans() -> dict[str, Plan]:
     asleep = R.minute_in_sleep.on(minutes=minutes, sleep=sleep)
     burden = S.v_burden.on(beat=merged, audit=effective)
     vt = S.vt_runs.on(episode=episode)
-    shapes = S.morphologies.on(audit=shaped)
     hours = S.hour_spine.on(span=span)
     per_minute = R.per_minute_counts.on(spine=R.minute_spine.on(span=span), beat=long)
     counts = S.verdict_counts.on(audit=effective)
@@ -163,7 +162,7 @@ def review_plans() -> dict[str, Plan]:
         "clean_pct": S.clean_pct.on(noise=noise),
         "pauses": S.pauses.on(rr=merged_rr, episode=episode),
         "v_burden": burden,
-        "morphologies": shapes,
+        "morphologies": long_shapes,
         "vt_runs": vt,
         "criteria": S.criteria.on(burden=burden, episode=episode, vt=vt, af=R.af_screen.on(nn=R.nn_intervals.on(rr=merged_rr))),
         "density_class": S.density_class.on(burden=burden),
@@ -207,7 +206,7 @@ def signal_plans() -> dict[str, Plan]:
     windows = G.qwin_metrics.on(samples=samples)
     points = M.shape_points.on(embeddings=Table("embeddings"))
     centres = M.centres.on(points=points)
-    text = T.report_numbers.on(beat=B.one_record)
+    text = T.report_numbers.on(beat=B.long_records)
     return {
         "samples": samples,
         "sig_running_sum": G.sig_running_sum.on(samples=samples),
@@ -220,8 +219,8 @@ def signal_plans() -> dict[str, Plan]:
         "row_minmax": G.row_minmax.on(samples=samples),
         "row_median": G.row_median.on(samples=samples),
         "mv_window": G.mv_window.on(samples=samples),
-        "sinus_sample": G.sinus_sample.on(beat=B.one_record, stride=20, per_hour=15),
-        "qt_sinus_beats": Q.sinus_beats.on(beat=B.one_record, least=20, per_hour=10),
+        "sinus_sample": G.sinus_sample.on(beat=B.long_records, stride=20, per_hour=15),
+        "qt_sinus_beats": Q.sinus_beats.on(beat=B.long_records, least=20, per_hour=10),
         "shape_points": points,
         "norm_window": M.norm_window.on(points=points),
         "shape_centres": centres,
@@ -234,11 +233,11 @@ def signal_plans() -> dict[str, Plan]:
 FS, MV = 125, 0.001747
 
 
-def _record(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    """The long record's beats, its made signal, and its length in samples."""
-    beats = B.one_record.frame(spark, sf_dir).select("record_id", "k", "t_ms", "label")
-    total = beats.agg(F.max("t_ms")).first()[0] or 0
-    return beats, synthetic.signal_of(beats, FS, MV), (total + 1000) * FS // 1000
+def _record(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The long records' beats, their made signal, and their lengths in samples."""
+    beats = B.long_records.frame(spark, sf_dir).select("record_id", "k", "t_ms", "label")
+    lengths = beats.groupBy("record_id").agg(F.expr(f"(max(t_ms) + 1000) * {FS} div 1000").alias("n_samples"))
+    return beats, synthetic.signal_of(beats, FS, MV), lengths
 
 
 def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +283,7 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = review_plans() | rhythm_plans()
     get = lambda name: p[name].frame(spark, sf_dir)
-    long = B.one_record
+    long = B.long_records
     nn = R.nn_intervals.on(rr=R.rr.on(beat=long))
     filtered = R.malik_filter(nn.frame(spark, sf_dir))
     return report.sections(

@@ -31,15 +31,15 @@ def audit_features(beats: DataFrame, measures: DataFrame, sampled: DataFrame, no
     return x.select("record_id", "k", "t_ms", "label", "rr_pre", "rr_post", "edge", "amp_ratio", "noise_ratio", "noise_mv", "ref_amp", "win_noise", "width_ms", "sinus_width", "width_ratio", "prematurity")
 
 
-def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, n_samples: int) -> DataFrame:
+def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> DataFrame:
     windows = G.window_metrics(signal, fs, mv)
     noise = G.noise_score(windows=windows)
     base = windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
     amplitude = G.sinus_sample(beat=beats, stride=200, per_hour=150).withColumn("amplitude", F.lit(True))
     sampled = amplitude.unionByName(G.sinus_sample(beat=beats, stride=400, per_hour=40).withColumn("amplitude", F.lit(False)))
     wanted = beats.filter("label <> 'N'").select("record_id", "k", "t_ms").unionByName(sampled.select("record_id", "k", "t_ms")).distinct()
-    measures = G.beat_measures(signal, wanted, fs, mv, n_samples)
+    measures = G.beat_measures(signal, wanted, fs, mv, lengths)
     features = audit_features(beats, measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=R.rr(beat=beats)))
-    family = M.cluster(M.beat_windows(signal, beats, fs, mv, n_samples))
+    family = M.cluster(M.beat_windows(signal, beats, fs, mv, lengths))
     shaped = A.family_evidence(audit=A.audit_verdict(features=features), family=family)
     return A.schedule_evidence(audit=shaped, on_time=A.on_time(rr=R.rr(beat=beats)))

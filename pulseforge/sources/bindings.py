@@ -1,58 +1,48 @@
 """Records made of the tables of the data folder, which hold no ECG of their own.
 
-B1: every user of `events` is a record, whose events are beats. B2: all events are one long record. B3: event values are the
-samples of a record with a lead per event type. B5: events with certain numbers in props are reviewer's edits of B2.
+B1: every user of `events` is a record, whose events are beats. B2: stretches of events by event_id are long records, of four
+lengths, so that more data means more records, not longer ones. B3: event values are the samples of a B2 record, with a lead
+per event type. B5: events with certain numbers in props are reviewer's edits of B2. Every event is a beat of one record.
 """
 
 from __future__ import annotations
 
-from ..operators.sql import Table, operator, spelled
+from ..operators.sql import Table, operator
 
 EVENTS = Table("events")
 
 #: Milliseconds of event time that make one of record time in B1; the median interval is then about 800 ms.
 B1_DIVISOR = 33000
 
-_raw = operator("SELECT event_id, user_id, event_type, value, prop(props) AS pk, millis(ts) AS ms FROM {events}").on(events=EVENTS)
+#: Of each 10 000 events, the first 7500 are a record (over two hours), the next 1500, 700 and 300 are others.
+LONG_RECORD = "event_id div 10000 * 4 + CASE WHEN event_id % 10000 < 7500 THEN 0 WHEN event_id % 10000 < 9000 THEN 1 WHEN event_id % 10000 < 9700 THEN 2 ELSE 3 END"
 
-many_records = operator(
-    """
-    SELECT record_id, cast(row_number() OVER (PARTITION BY record_id ORDER BY t_ms) - 1 as bigint) AS k, t_ms,
-           CASE event_type WHEN 'purchase' THEN 'V' WHEN 'error' THEN 'S' ELSE 'N' END AS label, event_id, value, pk
-    FROM (SELECT *, row_number() OVER (PARTITION BY record_id, t_ms ORDER BY event_id) AS first
-          FROM (SELECT user_id AS record_id, event_id, event_type, value, pk, (ms - min(ms) OVER (PARTITION BY user_id)) div {divisor} AS t_ms FROM {raw}) a) b
-    WHERE first = 1
-    """,
-    divisor=B1_DIVISOR,
-).on(raw=_raw)
+_raw = operator(f"SELECT event_id, user_id, event_type, value, prop(props) AS pk, millis(ts) AS ms, {LONG_RECORD} AS long_id FROM {{events}}").on(events=EVENTS)
 
-#: The SQL of other engines, which has no times once events are closer than 800 ms on average: its divisor is then 0.
-_ONE_RECORD = """
-    SELECT cast(0 as bigint) AS record_id, cast(row_number() OVER (ORDER BY t_ms) - 1 as bigint) AS k, t_ms,
+# Events (record_id, slot, event_id, regular, ...) as beats: an event whose slot is taken moves to the next free ms, and
+# regular ms are added from beat to beat.
+_BEATS = """
+    SELECT record_id, k, k * (1 + regular) + max(slot - k) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t_ms,
            CASE event_type WHEN 'purchase' THEN 'V' WHEN 'error' THEN 'S' ELSE 'N' END AS label, event_id, value, pk
-    FROM (SELECT *, row_number() OVER (PARTITION BY t_ms ORDER BY event_id) AS first
-          FROM (SELECT r.*, (ms - lo) div ((hi - lo) div (n * 800)) AS t_ms FROM {raw} r CROSS JOIN (SELECT min(ms) AS lo, max(ms) AS hi, count(*) AS n FROM {raw}) b) a) b
-    WHERE first = 1
+    FROM (SELECT *, cast(row_number() OVER (PARTITION BY record_id ORDER BY slot, event_id) - 1 as bigint) AS k FROM ({slots}) a) b
 """
 
-# Where that divisor is 0, times are stretched to 800 ms a beat on average, and an event whose time is taken moves to the next
-# free one: every event is a beat.
-one_record = operator(
-    """
-    SELECT cast(0 as bigint) AS record_id, k, CASE WHEN q > 0 THEN slot ELSE k + max(slot - k) OVER (ORDER BY slot, ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS t_ms,
-           CASE event_type WHEN 'purchase' THEN 'V' WHEN 'error' THEN 'S' ELSE 'N' END AS label, event_id, value, pk
-    FROM (SELECT *, cast(row_number() OVER (ORDER BY slot, ms, event_id) - 1 as bigint) AS k
-          FROM (SELECT *, CASE WHEN q = 0 THEN 1 ELSE row_number() OVER (PARTITION BY slot ORDER BY event_id) END AS first
-                FROM (SELECT r.*, q, CASE WHEN q > 0 THEN (ms - lo) div greatest(q, 1) ELSE cast(floor((ms - lo) * (n * 800e0 / greatest(hi - lo, 1))) as bigint) END AS slot
-                      FROM {raw} r CROSS JOIN (SELECT *, (hi - lo) div (n * 800) AS q FROM (SELECT min(ms) AS lo, max(ms) AS hi, count(*) AS n FROM {raw}) s) b) a) c
-          WHERE first = 1) d
-    """,
-    spelled(_ONE_RECORD),
+many_records = operator(_BEATS.replace("{slots}", "SELECT user_id AS record_id, event_id, event_type, value, pk, 0 AS regular, (ms - min(ms) OVER (PARTITION BY user_id)) div {divisor} AS slot FROM {raw}"), divisor=B1_DIVISOR).on(raw=_raw)
+
+#: A second a beat on average: irregular throughout, or in records of odd number 700 ms and an irregular rest of 300.
+long_records = operator(
+    _BEATS.replace(
+        "{slots}",
+        """
+        SELECT long_id AS record_id, event_id, event_type, value, pk, long_id % 2 * 700 AS regular, (ms - lo) * n * (1000 - long_id % 2 * 700) div greatest(hi - lo, 1) AS slot
+        FROM (SELECT *, min(ms) OVER (PARTITION BY long_id) AS lo, max(ms) OVER (PARTITION BY long_id) AS hi, count(*) OVER (PARTITION BY long_id) AS n FROM {raw}) r
+        """,
+    )
 ).on(raw=_raw)
 
 samples = operator(
     """
-    SELECT cast(0 as bigint) AS record_id, event_type AS lead, cast(row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) - 1 as bigint) AS i, value AS x
+    SELECT long_id AS record_id, event_type AS lead, cast(row_number() OVER (PARTITION BY long_id, event_type ORDER BY ms, event_id) - 1 as bigint) AS i, value AS x
     FROM {raw}
     """
 ).on(raw=_raw)
