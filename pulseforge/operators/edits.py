@@ -60,23 +60,29 @@ apply_quality = operator(
 touched_beats = operator(
     """
     SELECT DISTINCT b.record_id, b.k FROM {beat} b
-    JOIN (SELECT d.record_id, explode(sequence(d.k - 1, d.k + 1)) AS k FROM {beat} d JOIN {spans} s ON d.record_id = s.record_id AND d.t_ms >= s.t0_ms AND d.t_ms < s.t1_ms WHERE d.label <> 'N') t
+    JOIN (SELECT d.record_id, explode(sequence(d.k - 1, d.k + 1)) AS k FROM {beat} d JOIN (SELECT record_id, t0_ms, t1_ms, explode(sequence(t0_ms div 2000, (t1_ms - 1) div 2000)) AS w FROM {spans} WHERE t1_ms > t0_ms) s
+          ON d.record_id = s.record_id AND d.t_ms div 2000 = s.w AND d.t_ms >= s.t0_ms AND d.t_ms < s.t1_ms WHERE d.label <> 'N') t
     ON b.record_id = t.record_id AND b.k = t.k WHERE b.label <> 'N'
     """
 )
 
-#: What the rhythm did within 120 s of each diary entry. The intervals that enter and leave the band count too.
+#: What the rhythm did within 120 s of each diary entry. The intervals that enter and leave the band count too. Entries and what
+#: is near them meet in stretches b of 120 s, counted from 120 s before the record; what lies in several counts in the first that both are in.
 event_context = operator(
     """
     SELECT e.record_id, e.id, e.t_ms, e.text, h.hr, h.hr_min, h.hr_max, coalesce(v, 0) AS v, coalesce(s, 0) AS s, coalesce(p.episodes, 0) AS episodes, coalesce(n.noise, 0e0) AS noise
     FROM {diary} e
     LEFT JOIN (SELECT record_id, id, bround(60000 / avg(rr), 0) AS hr, bround(60000 / cast(max(rr) as double), 0) AS hr_min, bround(60000 / cast(min(rr) as double), 0) AS hr_max
                FROM (SELECT d.record_id, d.id, r.rr, count_if(r.t_ms >= d.t_ms - 120000 AND r.t_ms < d.t_ms + 120000) OVER (PARTITION BY d.record_id, d.id) AS inside
-                     FROM {diary} d JOIN {rr} r ON d.record_id = r.record_id AND r.t_ms < d.t_ms + 120000 AND r.t_ms + coalesce(r.rr, 0) >= d.t_ms - 120000) x
+                     FROM (SELECT record_id, id, t_ms, explode(sequence(t_ms div 120000, t_ms div 120000 + 2)) AS b FROM {diary}) d
+                     JOIN (SELECT record_id, t_ms, rr, explode(sequence((t_ms + 120000) div 120000, (t_ms + coalesce(rr, 0) + 120000) div 120000)) AS b FROM {rr}) r
+                     ON d.record_id = r.record_id AND d.b = r.b AND d.b = greatest(d.t_ms div 120000, (r.t_ms + 120000) div 120000) AND r.t_ms < d.t_ms + 120000 AND r.t_ms + coalesce(r.rr, 0) >= d.t_ms - 120000) x
                WHERE inside > 0 AND rr > 300 AND rr < 2000 GROUP BY record_id, id) h ON e.record_id = h.record_id AND e.id = h.id
-    LEFT JOIN (SELECT d.record_id, d.id, count_if(a.label = 'V') AS v, count_if(a.label = 'S') AS s FROM {diary} d JOIN {audit} a
-               ON d.record_id = a.record_id AND a.t_ms >= d.t_ms - 120000 AND a.t_ms < d.t_ms + 120000 WHERE a.verdict IN ('likely', 'uncertain', 'manual') GROUP BY d.record_id, d.id) c ON e.record_id = c.record_id AND e.id = c.id
-    LEFT JOIN (SELECT d.record_id, d.id, count(*) AS episodes FROM {diary} d JOIN {episode} x ON d.record_id = x.record_id AND x.t_ms <= d.t_ms + 120000 AND x.t_ms + x.dur_ms >= d.t_ms - 120000
+    LEFT JOIN (SELECT d.record_id, d.id, count_if(a.label = 'V') AS v, count_if(a.label = 'S') AS s FROM (SELECT record_id, id, t_ms, explode(sequence(t_ms div 120000, t_ms div 120000 + 2)) AS b FROM {diary}) d JOIN {audit} a
+               ON d.record_id = a.record_id AND d.b = (a.t_ms + 120000) div 120000 AND a.t_ms >= d.t_ms - 120000 AND a.t_ms < d.t_ms + 120000 WHERE a.verdict IN ('likely', 'uncertain', 'manual') GROUP BY d.record_id, d.id) c ON e.record_id = c.record_id AND e.id = c.id
+    LEFT JOIN (SELECT d.record_id, d.id, count(*) AS episodes FROM (SELECT record_id, id, t_ms, explode(sequence(t_ms div 120000, t_ms div 120000 + 2)) AS b FROM {diary}) d
+               JOIN (SELECT record_id, t_ms, dur_ms, verdict, explode(sequence((t_ms + 120000) div 120000, (t_ms + dur_ms + 120000) div 120000)) AS b FROM {episode}) x
+               ON d.record_id = x.record_id AND d.b = x.b AND d.b = greatest(d.t_ms div 120000, (x.t_ms + 120000) div 120000) AND x.t_ms <= d.t_ms + 120000 AND x.t_ms + x.dur_ms >= d.t_ms - 120000
                WHERE x.verdict <> 'artifact' GROUP BY d.record_id, d.id) p ON e.record_id = p.record_id AND e.id = p.id
     LEFT JOIN {noise} n ON e.record_id = n.record_id AND n.w = e.t_ms div 2000
     """
@@ -85,7 +91,7 @@ event_context = operator(
 #: Whether a beat may be inserted at a time: none within 120 ms
 insertable = operator(
     """
-    SELECT i.record_id, i.t_ms, i.label, count(b.k) = 0 AS allowed FROM {wanted} i LEFT JOIN {beat} b ON i.record_id = b.record_id AND b.t_ms > i.t_ms - 120 AND b.t_ms < i.t_ms + 120
+    SELECT i.record_id, i.t_ms, i.label, count(b.k) = 0 AS allowed FROM (SELECT *, explode(sequence(t_ms div 120 - 1, t_ms div 120 + 1)) AS b FROM {wanted}) i LEFT JOIN {beat} b ON i.record_id = b.record_id AND i.b = b.t_ms div 120 AND b.t_ms > i.t_ms - 120 AND b.t_ms < i.t_ms + 120
     GROUP BY i.record_id, i.t_ms, i.label
     """
 )

@@ -10,8 +10,8 @@ COLUMNS = "record_id, kind, kind_seq, t_ms, dur_ms, k0, k1, verdict, confidence,
 #: The highest noise among the windows that an interval touches
 noise_at = operator(
     """
-    SELECT p.record_id, p.k, coalesce(max(n.noise), 0e0) AS noise FROM {interval} p
-    LEFT JOIN {noise} n ON p.record_id = n.record_id AND n.w >= p.t_ms div 2000 AND n.w <= (p.t_ms + p.rr) div 2000 GROUP BY p.record_id, p.k
+    SELECT p.record_id, p.k, coalesce(max(n.noise), 0e0) AS noise FROM (SELECT record_id, k, explode(sequence(t_ms div 2000, (t_ms + rr) div 2000)) AS w FROM {interval}) p
+    LEFT JOIN {noise} n ON p.record_id = n.record_id AND p.w = n.w GROUP BY p.record_id, p.k
     """
 )
 

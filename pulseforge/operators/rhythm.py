@@ -121,7 +121,7 @@ estimate_sleep = operator(
 minute_in_sleep = operator(
     """
     SELECT m.record_id, m.m, m.hr, s.m0 IS NOT NULL AS asleep
-    FROM {minutes} m LEFT JOIN {sleep} s ON m.record_id = s.record_id AND m.m >= s.m0 AND m.m < s.m1
+    FROM {minutes} m LEFT JOIN (SELECT record_id, m0, explode(sequence(m0, m1 - 1)) AS m FROM {sleep}) s ON m.record_id = s.record_id AND m.m = s.m
     """
 )
 

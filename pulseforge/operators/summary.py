@@ -50,21 +50,23 @@ hour_spine = operator(
     """,
     start_ms=29700000,
 )
+#: hours: those of hour_spine with the same start_ms
 hourly = operator(
     f"""
     SELECT h.record_id, h.i, h.hi - h.lo < 3540000 AS partial, cast(bround((h.hi - h.lo) / 60000e0, 0) as bigint) AS minutes, coalesce(b.beats, 0) AS beats, m.hr_min, m.hr_mean, m.hr_max, coalesce(a.v, 0) AS v, coalesce(a.s, 0) AS s,
            coalesce(e.pairs, 0) AS pairs, coalesce(e.runs, 0) AS runs, coalesce(e.s_runs, 0) AS s_runs, coalesce(e.pauses, 0) AS pauses, coalesce(n.noise_pct, 0e0) AS noise_pct, coalesce(m.asleep > 0.5e0, false) AS sleep
     FROM {{hours}} h
-    LEFT JOIN (SELECT h.record_id, h.i, count(*) AS beats FROM {{hours}} h JOIN {{beat}} b ON h.record_id = b.record_id AND b.t_ms >= h.lo AND b.t_ms < h.hi GROUP BY h.record_id, h.i) b ON h.record_id = b.record_id AND h.i = b.i
+    LEFT JOIN (SELECT record_id, (t_ms + {{start_ms}} % 3600000) div 3600000 AS i, count(*) AS beats FROM {{beat}} GROUP BY record_id, (t_ms + {{start_ms}} % 3600000) div 3600000) b ON h.record_id = b.record_id AND h.i = b.i
     LEFT JOIN (SELECT h.record_id, h.i, bround(min(m.hr), 0) AS hr_min, bround(round(avg(m.hr), 6), 0) AS hr_mean, bround(max(m.hr), 0) AS hr_max, avg(CASE WHEN m.asleep THEN 1e0 ELSE 0e0 END) AS asleep
-               FROM {{hours}} h JOIN {{minutes}} m ON h.record_id = m.record_id AND m.m >= h.lo div 60000 AND m.m < (h.hi + 59999) div 60000 GROUP BY h.record_id, h.i) m ON h.record_id = m.record_id AND h.i = m.i
-    LEFT JOIN (SELECT h.record_id, h.i, count_if(label = 'V') AS v, count_if(label = 'S') AS s FROM {{hours}} h JOIN {{audit}} a ON h.record_id = a.record_id AND a.t_ms >= h.lo AND a.t_ms < h.hi WHERE {KEPT} GROUP BY h.record_id, h.i) a ON h.record_id = a.record_id AND h.i = a.i
-    LEFT JOIN (SELECT h.record_id, h.i, count_if(kind = 'v-run' AND k1 - k0 = 1) AS pairs, count_if(kind = 'v-run' AND k1 - k0 >= 2) AS runs, count_if(kind = 's-run') AS s_runs, count_if(kind = 'pause') AS pauses
-               FROM {{hours}} h JOIN {{episode}} e ON h.record_id = e.record_id AND e.t_ms >= h.lo AND e.t_ms < h.hi WHERE verdict <> 'artifact' GROUP BY h.record_id, h.i) e ON h.record_id = e.record_id AND h.i = e.i
-    LEFT JOIN (SELECT h.record_id, h.i, round(avg(CASE WHEN noise >= 0.5e0 THEN 100e0 ELSE 0e0 END), 1) AS noise_pct FROM {{hours}} h JOIN {{noise}} n ON h.record_id = n.record_id AND n.w >= h.lo div 2000 AND n.w < h.hi div 2000 GROUP BY h.record_id, h.i) n ON h.record_id = n.record_id AND h.i = n.i
-    """
+               FROM (SELECT record_id, i, explode(sequence(lo div 60000, (hi + 59999) div 60000 - 1)) AS m FROM {{hours}}) h JOIN {{minutes}} m ON h.record_id = m.record_id AND h.m = m.m GROUP BY h.record_id, h.i) m ON h.record_id = m.record_id AND h.i = m.i
+    LEFT JOIN (SELECT record_id, (t_ms + {{start_ms}} % 3600000) div 3600000 AS i, count_if(label = 'V') AS v, count_if(label = 'S') AS s FROM {{audit}} WHERE {KEPT} GROUP BY record_id, (t_ms + {{start_ms}} % 3600000) div 3600000) a ON h.record_id = a.record_id AND h.i = a.i
+    LEFT JOIN (SELECT record_id, (t_ms + {{start_ms}} % 3600000) div 3600000 AS i, count_if(kind = 'v-run' AND k1 - k0 = 1) AS pairs, count_if(kind = 'v-run' AND k1 - k0 >= 2) AS runs, count_if(kind = 's-run') AS s_runs, count_if(kind = 'pause') AS pauses
+               FROM {{episode}} WHERE verdict <> 'artifact' GROUP BY record_id, (t_ms + {{start_ms}} % 3600000) div 3600000) e ON h.record_id = e.record_id AND h.i = e.i
+    LEFT JOIN (SELECT h.record_id, h.i, round(avg(CASE WHEN noise >= 0.5e0 THEN 100e0 ELSE 0e0 END), 1) AS noise_pct FROM (SELECT record_id, i, explode(sequence(lo div 2000, hi div 2000 - 1)) AS w FROM {{hours}}) h JOIN {{noise}} n ON h.record_id = n.record_id AND h.w = n.w GROUP BY h.record_id, h.i) n ON h.record_id = n.record_id AND h.i = n.i
+    """,
+    start_ms=29700000,
 )
-kept_in = operator(f"SELECT e.record_id, e.kind, count(*) AS n FROM {{episode}} e JOIN {{audit}} a ON e.record_id = a.record_id AND a.k >= e.k0 AND a.k <= e.k1 WHERE e.verdict <> 'artifact' AND e.kind IN ('v-run', 's-run') AND a.{KEPT} GROUP BY e.record_id, e.kind")
+kept_in = operator(f"SELECT e.record_id, e.kind, count(*) AS n FROM (SELECT record_id, kind, explode(sequence(k0, k1)) AS k FROM {{episode}} WHERE verdict <> 'artifact' AND kind IN ('v-run', 's-run')) e JOIN {{audit}} a ON e.record_id = a.record_id AND e.k = a.k WHERE a.{KEPT} GROUP BY e.record_id, e.kind")
 
 #: Strips to print: extremes of the rate, the longest pause, the first runs, one beat of each shape, diary entries
 auto_strips = operator(
@@ -87,7 +89,7 @@ strip_rank = operator(
     SELECT a.record_id, a.k, a.t_ms, a.label, a.family, m.place AS family_place, row_number() OVER (PARTITION BY a.record_id, a.label, a.family ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(q.noise_ratio, 0e0), confidence DESC, a.k) AS place,
            row_number() OVER (PARTITION BY a.record_id, a.label ORDER BY CASE WHEN r.k IS NULL THEN 0 ELSE 1 END, CASE WHEN verdict = 'manual' THEN 0 ELSE 1 END, coalesce(q.noise_ratio, 0e0), confidence DESC, a.k) AS label_place
     FROM {{audit}} a LEFT JOIN {{features}} q ON a.record_id = q.record_id AND a.k = q.k LEFT JOIN {{morphologies}} m ON a.record_id = m.record_id AND a.family = m.family
-    LEFT JOIN (SELECT DISTINCT x.record_id, x.k FROM {{audit}} x JOIN {{episode}} e ON x.record_id = e.record_id AND x.k >= e.k0 AND x.k <= e.k1 WHERE e.kind IN ('v-run', 's-run') AND e.verdict <> 'artifact') r ON a.record_id = r.record_id AND a.k = r.k
+    LEFT JOIN (SELECT DISTINCT record_id, k FROM (SELECT record_id, explode(sequence(k0, k1)) AS k FROM {{episode}} WHERE kind IN ('v-run', 's-run') AND verdict <> 'artifact') e) r ON a.record_id = r.record_id AND a.k = r.k
     WHERE {KEPT}
     """
 )
