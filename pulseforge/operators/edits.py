@@ -144,6 +144,22 @@ def set_quality(log: DataFrame, record_id: int, t0_ms: int, t1_ms: int, value: s
     return log.unionByName(entry.crossJoin(log.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))).select(log.columns))
 
 
+def add_beat(inserted: DataFrame, beats: DataFrame, record_id: int, t_ms: int, label: str = "N") -> DataFrame:
+    """inserted with one more beat, unless one of beats (device and inserted ones) is within 120 ms of it."""
+    if label not in LABELS:
+        raise ValueError(f"label must be one of {sorted(LABELS)}")
+    wanted = beats.sparkSession.createDataFrame([(record_id, t_ms, label)], "record_id long, t_ms long, label string")
+    if not insertable(wanted=wanted, beat=beats.filter(F.col("t_ms").between(t_ms - 120, t_ms + 120))).first()["allowed"]:
+        raise ValueError("a beat is within 120 ms of that time: set its label instead")
+    return inserted.unionByName(wanted.select(inserted.columns))
+
+
+def set_report(reports: DataFrame, record_id: int, report: str | None) -> DataFrame:
+    """reports (record_id, report) with one record's text in JSON in place of what it had; None clears."""
+    kept = reports.filter(F.col("record_id") != record_id)
+    return kept if report is None else kept.unionByName(reports.sparkSession.createDataFrame([(record_id, report)], "record_id long, report string"))
+
+
 def add_event(diary: DataFrame, record_id: int, t_ms: int, text: str) -> DataFrame:
     entry = diary.sparkSession.createDataFrame([(record_id, t_ms, text.strip()[:200])], "record_id long, t_ms long, text string")
     return diary.unionByName(entry.crossJoin(diary.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))).select(diary.columns))

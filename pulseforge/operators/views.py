@@ -43,6 +43,24 @@ top_reason = operator(
     """
 )
 
+#: Verdicts as the report names them
+VERDICTS = {
+    "likely": "вероятная",
+    "uncertain": "спорная",
+    "double-count": "двойной счёт",
+    "on-wave": "не на QRS",
+    "noisy": "в помехе",
+    "narrow": "узкий QRS",
+    "too-wide": "ширина вне физиологичной",
+    "not-premature": "не преждевременная",
+    "on-schedule": "по синусовому графику",
+    "sinus-shape": "синусовая морфология",
+    "manual": "ручная",
+    "manual-N": "ручная: N",
+    "manual-X": "ручная: артефакт",
+}
+verdict_ru = operator(f"SELECT record_id, k, verdict, CASE verdict {' '.join(f"WHEN '{v}' THEN '{text}'" for v, text in VERDICTS.items())} END AS verdict_ru FROM {{audit}}")
+
 verdict_text = operator(
     """
     SELECT s.record_id, s.family, CASE WHEN v = 0 THEN 'синусовая форма' WHEN kept_v = v THEN concat('ЖЭС: аудит подтверждает все ', cast(v as string)) WHEN kept_v = 0 THEN concat('не ЖЭС: все ', cast(v as string), ' метки V отклонены (', coalesce(reason, ''), ')')

@@ -21,7 +21,7 @@ from ..operators.sql import Plan, SqlOperator, Table, operator
 from ..sources import bindings as B
 from ..sources import exports, synthetic
 from . import report
-from .record import audited_record
+from .record import audited_record, calibrated
 
 
 class Folded(Plan):
@@ -194,6 +194,7 @@ def review_plans() -> dict[str, Plan]:
         ),
         "hours_note": V.hours_note.on(hours=S.template_hours.on(family=long_family, span=span)),
         "top_reason": V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_audit)),
+        "verdict_ru": V.verdict_ru.on(audit=effective),
         "verdict_text": V.verdict_text.on(score=score, reasons=V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_shaped))),
         "feat_rows": V.feat_rows.on(features=features),
         "hr_ticks": V.hr_ticks.on(bounds=S.hr_bounds.on(minutes=minutes)),
@@ -260,10 +261,27 @@ def qt_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.qt_hours(signal, Q.sinus_beats(beat=beats), FS, MV, n)
 
 
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats, signal, n = _record(spark, sf_dir)
+    return calibrated(beats, signal.persist(), FS, MV, n)
+
+
 def interval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beats, signal, _ = _record(spark, sf_dir)
-    long = R.rr(beat=beats).filter("rr > 2000").select("record_id", "k", "t_ms", "rr")
-    return G.interval_checks(signal, long, FS, MV, 1.2, 0.012)
+    """What the signal says of long intervals, held against each record's own calibration."""
+    beats, signal, n = _record(spark, sf_dir)
+    signal = signal.persist()
+    long = R.rr(beat=beats).filter("rr > 2000").select("record_id", "k", "t_ms", "rr").join(calibrated(beats, signal, FS, MV, n), "record_id")
+    return G.interval_checks(signal, long, FS, MV, "qrs_amp_mv", "noise_base_ii_mv")
+
+
+def record_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pauses from samples: calibration, noise of windows and checks of the signal, with no stand-in."""
+    beats, signal, n = _record(spark, sf_dir)
+    signal = signal.persist()
+    gaps = X.long_intervals(rr=R.rr(beat=beats))
+    noise = G.noise_score(windows=G.window_metrics(signal, FS, MV))
+    checks = G.interval_checks(signal, gaps.join(calibrated(beats, signal, FS, MV, n), "record_id"), FS, MV, "qrs_amp_mv", "noise_base_ii_mv")
+    return X.ep_pause(interval=gaps, noise_at=X.noise_at(interval=gaps, noise=noise), checks=checks)
 
 
 def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +289,9 @@ def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.ecg_window(_record(spark, sf_dir)[1], [0, 1, 6], 60, 10, FS, MV, 0.012, 0.1)
+    beats, signal, n = _record(spark, sf_dir)
+    signal = signal.persist()
+    return G.ecg_window(signal, [0, 1, 6], 60, 10, FS, MV, calibrated(beats, signal, FS, MV, n))
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +313,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that no SQL form is given for
-KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, interval_checks, raw_window, ecg_window, export_json, sections)}
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections)}
 
 
 def plans() -> dict[str, Plan]:

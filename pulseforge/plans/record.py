@@ -21,22 +21,46 @@ def audit_features(beats: DataFrame, measures: DataFrame, sampled: DataFrame, no
     last = hours.groupBy("record_id").agg(F.max("h").alias("last_h"))
     rr = R.rr(beat=beats)
     near = rr.selectExpr("record_id", "k", "t_ms", "label", "rr as rr_post", "lag(rr) over (partition by record_id order by k) as rr_pre").filter("label <> 'N'")
-    near = near.join(F.broadcast(last), "record_id", "left").withColumn("h", F.least(F.expr("t_ms div 3600000"), F.col("last_h")))
+    near = near.join(last, "record_id", "left").withColumn("h", F.least(F.expr("t_ms div 3600000"), F.col("last_h")))
     x = near.join(measures, ["record_id", "k"]).join(hours, ["record_id", "h"], "left").join(widths, "record_id", "left").join(noise_base, "record_id", "left").join(rhythm, ["record_id", "k"], "left")
     windows = noise.groupBy("record_id").agg(F.max("w").alias("last_w"))
-    x = x.join(F.broadcast(windows), "record_id").withColumn("w", F.least(F.expr("t_ms div 2000"), F.col("last_w"))).join(noise.select("record_id", "w", F.col("sharp").alias("win_noise")), ["record_id", "w"], "left")
+    x = x.join(windows, "record_id").withColumn("w", F.least(F.expr("t_ms div 2000"), F.col("last_w"))).join(noise.select("record_id", "w", F.col("sharp").alias("win_noise")), ["record_id", "w"], "left")
     x = x.withColumn("width_ms", python_round(F.col("width"), 1)).withColumn("amp_ratio", python_round(F.try_divide("amp", "ref_amp"), 3))
     x = x.withColumn("noise_ratio", python_round(F.try_divide("noise_mv", "noise_base"), 2)).withColumn("width_ratio", python_round(F.try_divide("width_ms", "sinus_width"), 2))
     x = x.withColumn("prematurity", python_round(F.try_divide(F.col("rr_pre"), F.col("rhythm")), 2))
     return x.select("record_id", "k", "t_ms", "label", "rr_pre", "rr_post", "edge", "amp_ratio", "noise_ratio", "noise_mv", "ref_amp", "win_noise", "width_ms", "sinus_width", "width_ratio", "prematurity")
 
 
+def sinus_sampled(beats: DataFrame) -> DataFrame:
+    """Sinus beats (record_id, k, t_ms, h, amplitude) that references are measured on: of amplitude by hour, or of width."""
+    of = lambda stride, per_hour, amplitude: G.sinus_sample(beat=beats, stride=stride, per_hour=per_hour).withColumn("amplitude", F.lit(amplitude))
+    return of(200, 150, True).unionByName(of(400, 40, False))
+
+
+def calibration(measures: DataFrame, sampled: DataFrame, windows: DataFrame) -> DataFrame:
+    """(record_id, sinus_width_ms, noise_base_ii_mv, wander_base_ii_mv, qrs_amp_mv): what of a record the checks of its signal are held
+    against. Medians, of amplitude over the medians of hours; null where no sinus beat was measured."""
+    known = sampled.join(measures.filter("not edge"), ["record_id", "k"])
+    median = lambda c: F.percentile(F.col(c).cast("double"), 0.5)
+    heights = known.filter("amplitude").groupBy("record_id", "h").agg(median("amp").alias("amp")).groupBy("record_id").agg(median("amp").alias("height"))
+    widths = known.filter("not amplitude").groupBy("record_id").agg(median("width").alias("width"))
+    bases = windows.filter("ch = 1").groupBy("record_id").agg((median("hf") + 1e-6).alias("hf"), median("wander").alias("wander"))
+    x = bases.join(heights, "record_id", "left").join(widths, "record_id", "left")
+    return x.select("record_id", python_round(F.col("width"), 1).alias("sinus_width_ms"), python_round(F.col("hf"), 3).alias("noise_base_ii_mv"), python_round(F.col("wander"), 3).alias("wander_base_ii_mv"), python_round(F.col("height"), 2).alias("qrs_amp_mv"))
+
+
+def calibrated(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> DataFrame:
+    """The calibration of records from their samples. The signal is read twice."""
+    sampled = sinus_sampled(beats)
+    measures = G.beat_measures(signal, sampled.select("record_id", "k", "t_ms").distinct(), fs, mv, lengths)
+    return calibration(measures, sampled.drop("t_ms"), G.window_metrics(signal, fs, mv))
+
+
 def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> DataFrame:
     windows = G.window_metrics(signal, fs, mv)
     noise = G.noise_score(windows=windows)
     base = windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
-    amplitude = G.sinus_sample(beat=beats, stride=200, per_hour=150).withColumn("amplitude", F.lit(True))
-    sampled = amplitude.unionByName(G.sinus_sample(beat=beats, stride=400, per_hour=40).withColumn("amplitude", F.lit(False)))
+    sampled = sinus_sampled(beats)
     wanted = beats.filter("label <> 'N'").select("record_id", "k", "t_ms").unionByName(sampled.select("record_id", "k", "t_ms")).distinct()
     measures = G.beat_measures(signal, wanted, fs, mv, lengths)
     features = audit_features(beats, measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=R.rr(beat=beats)))
