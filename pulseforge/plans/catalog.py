@@ -234,15 +234,15 @@ def signal_plans() -> dict[str, Plan]:
 FS, MV = 125, 0.001747
 
 
-def _record(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _record(spark: SparkSession, sf_dir: str, **part: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The long records' beats, their made signal, and their lengths in samples."""
     beats = B.long_records.frame(spark, sf_dir).select("record_id", "k", "t_ms", "label")
     lengths = beats.groupBy("record_id").agg(F.expr(f"(max(t_ms) + 1000) * {FS} div 1000").alias("n_samples"))
-    return beats, synthetic.signal_of(beats, FS, MV), lengths
+    return beats, synthetic.signal_of(beats, FS, MV, **part), lengths
 
 
 def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.window_metrics(_record(spark, sf_dir)[1], FS, MV)
+    return G.window_metrics(_record(spark, sf_dir, leads=G.INDEPENDENT)[1], FS, MV)
 
 
 def heavy_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +252,12 @@ def heavy_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beats, signal, n = _record(spark, sf_dir)
+    beats, signal, n = _record(spark, sf_dir, leads=M.LEADS)
     return M.cluster(M.beat_windows(signal, beats, FS, MV, n))
 
 
 def qt_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beats, signal, n = _record(spark, sf_dir)
+    beats, signal, n = _record(spark, sf_dir, leads=(1,))
     return Q.qt_hours(signal, Q.sinus_beats(beat=beats), FS, MV, n)
 
 
@@ -285,7 +285,8 @@ def record_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.raw_window(_record(spark, sf_dir)[1], 1, 60 * FS, 70 * FS, FS)
+    # A source of stored records prunes to this lead and chunk by itself (see sources.scp).
+    return G.raw_window(_record(spark, sf_dir, leads=(1,), chunks=(0, 0))[1], 1, 60 * FS, 70 * FS, FS)
 
 
 def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,18 @@ from ..operators.signal import chunk_length
 HEIGHT = (0.8, 1.2, 0.5, -0.9, 0.3, 0.8, 0.4, 1.1, 1.5, 1.3, 1.0, 0.7)
 
 
-def signal_of(beats: DataFrame, fs: int = 125, mv: float = 0.001747, seed: int = 1) -> DataFrame:
-    """(record_id, lead, chunk, sample0, samples) up to a second past the last of beats (record_id, k, t_ms, label)."""
+def signal_of(beats: DataFrame, fs: int = 125, mv: float = 0.001747, seed: int = 1, leads: tuple[int, ...] = tuple(range(len(HEIGHT))), chunks: tuple[int, int] | None = None) -> DataFrame:
+    """(record_id, lead, chunk, sample0, samples) up to a second past the last of beats (record_id, k, t_ms, label), of some leads and the
+    chunks from the first to the last of two, where only those are read."""
     length = chunk_length(fs)
     chunk_ms = length * 1000 // fs
     span = beats.groupBy("record_id").agg(F.max("t_ms").alias("total_ms"))
     frame = span.select("record_id", "total_ms", F.explode(F.expr(f"sequence(0, cast((total_ms + 1000) div {chunk_ms} as int))")).alias("chunk"))
     near = beats.withColumn("chunk", F.explode(F.expr(f"sequence(cast(greatest(0, t_ms - 1000) div {chunk_ms} as int), cast((t_ms + 1000) div {chunk_ms} as int))")))
 
+    if chunks:
+        frame, near = (x.filter(F.col("chunk").between(*chunks)) for x in (frame, near))
+
     def draw(key: tuple, here: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(here):
             return pd.DataFrame(columns=["record_id", "lead", "chunk", "sample0", "samples"])
@@ -36,7 +40,8 @@ def signal_of(beats: DataFrame, fs: int = 125, mv: float = 0.001747, seed: int =
             wide, sign = (0.045, -1.2) if label == "V" else (0.016, 1.0)
             wave[i[inside]] += sign * np.exp(-0.5 * (s / wide) ** 2) + 0.25 * np.exp(-0.5 * ((s - 0.28) / 0.05) ** 2)
         rows = []
-        for lead, height in enumerate(HEIGHT):
+        for lead in leads:
+            height = HEIGHT[lead]
             noise = np.random.default_rng([seed, record, lead, chunk]).normal(0, 0.012, len(wave))
             rows.append((record, lead, chunk, chunk * length, np.rint((wave * height + noise) / mv).astype(np.int16)))
         return pd.DataFrame(rows, columns=["record_id", "lead", "chunk", "sample0", "samples"])
