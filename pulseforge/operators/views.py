@@ -21,6 +21,31 @@ summary = operator(
     """
 )
 
+#: The head of a report. records: record_id, start, sex, age. Whole days count as hours; device and software are names to print.
+header = operator(
+    """
+    SELECT r.record_id, CASE r.sex WHEN 'M' THEN 'муж.' WHEN 'F' THEN 'жен.' ELSE coalesce(r.sex, '') END AS sex_ru,
+           coalesce(concat(cast(r.age as string), CASE WHEN r.age % 10 = 1 AND r.age % 100 <> 11 THEN ' год' WHEN r.age % 10 BETWEEN 2 AND 4 AND r.age % 100 NOT BETWEEN 12 AND 14 THEN ' года' ELSE ' лет' END), '') AS age_ru,
+           date_format(r.start, 'dd.MM.yyyy HH:mm') AS begins, date_format(timestampadd(SECOND, s.total_ms div 1000, r.start), 'dd.MM.yyyy HH:mm') AS ends,
+           concat(cast(s.total_ms div 3600000 as string), ' ч ', cast(s.total_ms div 60000 % 60 as string), ' мин') AS duration,
+           '{device}' AS device, '{software}' AS software, replace(format_number(d.n + d.v + d.s, 0), ',', ' ') AS beats
+    FROM {records} r JOIN {span} s ON r.record_id = s.record_id JOIN {counted} d ON r.record_id = d.record_id
+    """,
+    """
+    SELECT r.record_id, CASE r.sex WHEN 'M' THEN 'муж.' WHEN 'F' THEN 'жен.' ELSE coalesce(r.sex, '') END AS sex_ru,
+           CASE WHEN r.age IS NULL THEN '' ELSE r.age || CASE WHEN r.age % 100 BETWEEN 11 AND 14 THEN ' лет' WHEN r.age % 10 = 1 THEN ' год' WHEN r.age % 10 IN (2, 3, 4) THEN ' года' ELSE ' лет' END END AS age_ru,
+           strftime(r.start, '%d.%m.%Y %H:%M') AS begins, strftime(r.start + to_seconds(s.total_ms // 1000), '%d.%m.%Y %H:%M') AS ends,
+           (s.total_ms // 3600000) || ' ч ' || (s.total_ms // 60000 % 60) || ' мин' AS duration,
+           '{device}' AS device, '{software}' AS software, replace(format('{:,}', CAST(d.n + d.v + d.s AS BIGINT)), ',', ' ') AS beats
+    FROM {records} r JOIN {span} s ON r.record_id = s.record_id JOIN {counted} d ON r.record_id = d.record_id
+    """,
+    device="12 отведений, 125 Гц",
+    software="pulseforge (проверка разметки)",
+)
+
+#: The records' beginnings and patients, which the driver's tables lack (fixed choices)
+stand_in_records = operator("SELECT record_id, cast('2024-01-01 08:15:00' as timestamp_ntz) AS start, CASE WHEN record_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 41 + record_id % 30 AS age FROM {beat} GROUP BY record_id", "SELECT record_id, TIMESTAMP '2024-01-01 08:15:00' AS start, CASE WHEN record_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 41 + record_id % 30 AS age FROM {beat} GROUP BY record_id")
+
 #: In which part of the day a family's beats mostly are (three fifths), for a record that starts at an hour of the day
 hours_note = operator(
     """

@@ -192,6 +192,7 @@ def review_plans() -> dict[str, Plan]:
             span=R.span.on(beat=merged), device=S.device_counts.on(beat=merged), audited=S.audited_counts.on(audit=effective), clean=S.clean_pct.on(noise=noise), pauses=S.pauses.on(rr=merged_rr, episode=episode), burden=burden,
             extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=merged)), day_night=R.day_night_hr.on(minutes=minutes), sleep_wake=R.sleep_wake_hr.on(minutes=asleep), pct=R.hr_pct.on(nn=R.nn_intervals.on(rr=merged_rr)),
         ),
+        "header": V.header.on(records=V.stand_in_records.on(beat=long), span=R.span.on(beat=merged), counted=S.device_counts.on(beat=merged)),
         "hours_note": V.hours_note.on(hours=S.template_hours.on(family=long_family, span=span)),
         "top_reason": V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_audit)),
         "verdict_ru": V.verdict_ru.on(audit=effective),
@@ -298,7 +299,26 @@ def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, made = review_plans(), {}
     get = lambda name: p[name].frame(spark, sf_dir, made)
-    return exports.export_json(get("export_beats"), get("ep_order"), get("verdict_counts"), get("criteria"))
+    summary, records = get("summary"), V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
+    filtered = R.malik_filter(R.nn_intervals.on(rr=R.rr.on(beat=p["merge_beats"])).frame(spark, sf_dir, made))
+    rates = summary.select("record_id", "hr_min", "min_at_s", "hr_max", "max_at_s", "night", "day", "sleep", "wake", "pct_over_100", "pct_under_50")
+    one = {
+        "record": summary.select("record_id", "duration_s", "beats", "clean_pct").join(records.select("record_id", "start"), "record_id"),
+        "patient": records.select("record_id", "sex", "age"),
+        "hr": rates.join(R.hr_mean(filtered=filtered).withColumnRenamed("hr", "mean"), "record_id", "left"),
+        "hrv": R.hrv(filtered=filtered),
+        "counts": summary.select("record_id", "device_n", "device_v", "device_s", "kept_v", "v_likely", "kept_s", "pauses_device", "pauses_real"),
+    }
+    edits = {"events": "event_context", "manual_labels": "latest_labels", "manual_quality": "live_spans"}
+    return exports.export_json(get("export_beats"), get("ep_order"), get("verdict_counts"), get("criteria"), one, {k: get(v) for k, v in edits.items()})
+
+
+def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, made = review_plans(), {}
+    get = lambda name: p[name].frame(spark, sf_dir, made)
+    filtered = R.malik_filter(R.nn_intervals.on(rr=R.rr.on(beat=p["merge_beats"])).frame(spark, sf_dir, made))
+    records = V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
+    return report.summary_rows(records, get("summary"), R.hrv(filtered=filtered), R.hr_mean(filtered=filtered), get("ep_order"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +334,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that no SQL form is given for
-KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections)}
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
 
 
 def plans() -> dict[str, Plan]:

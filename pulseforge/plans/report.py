@@ -1,11 +1,11 @@
-"""Sections of the written protocol, from one-row tables of a record. The sentences are fixed texts."""
+"""Sections and summary table of the written protocol, from one-row tables of a record. The sentences are fixed texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decimal_comma, plural
+from ..functions.text import clock, decimal_comma, plural, spaced
 
 
 def number(c: str | Column, digits: int = 0) -> Column:
@@ -13,24 +13,69 @@ def number(c: str | Column, digits: int = 0) -> Column:
     return F.when(value.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", value))
 
 
+def density(share: Column) -> Column:
+    """How dense ectopic beats are, by their share of all in percent."""
+    known = F.when(share < 0.1, "единичная").when(share < 1, "редкая").when(share < 10, "умеренно частая").when(share < 20, "частая").otherwise("очень частая")
+    return F.when(share.isNull(), "—").otherwise(known)
+
+
+def length(ms: Column) -> Column:
+    """Whole days count as hours."""
+    return F.concat(F.floor(ms / 3600000), F.lit(" ч "), F.floor(ms / 60000) % 60, F.lit(" мин"))
+
+
+def real_episodes(episodes: DataFrame) -> DataFrame:
+    """(record_id, pairs, groups, s_runs, longest) of the episodes that are no artifacts; longest: of the pauses, in ms."""
+    return episodes.filter("verdict <> 'artifact'").groupBy("record_id").agg(
+        F.count_if(F.expr("kind = 'v-run' and k1 - k0 = 1")).alias("pairs"), F.count_if(F.expr("kind = 'v-run' and k1 - k0 >= 2")).alias("groups"),
+        F.count_if(F.expr("kind = 's-run'")).alias("s_runs"), F.max(F.expr("case when kind = 'pause' then dur_ms end")).alias("longest"),
+    )
+
+
+def summary_rows(records: DataFrame, summary: DataFrame, hrv: DataFrame, mean: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(record_id, place, k, v, n): the lines of the summary table, a name, a value and a note each.
+
+    records: record_id, start. summary: see operators.views. A figure that a record lacks is a dash; counts it lacks are 0.
+    """
+    x = summary.join(records.select("record_id", "start"), "record_id")
+    for t in (hrv.drop("n"), mean, real_episodes(episodes)):
+        x = x.join(t, "record_id", "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    at = lambda c: F.coalesce(clock(F.col("start"), F.col(c) * 1000), F.lit("—"))
+    percent = lambda c: F.try_divide(100.0 * count(c), F.col("beats"))
+    circadian = F.try_divide(F.rint("day"), F.rint("night"))
+    worst = F.when(count("pauses_real") > 0, F.concat(F.lit("максимальная "), number(F.col("longest") / 1000, 1), F.lit(" с"))).otherwise("нет")
+    false = count("pauses_device") - count("pauses_real")
+    noisy = F.when(false > 0, F.concat(F.lit("; "), false, F.lit(" у прибора — помехи"))).otherwise("")
+    lines = [
+        ("Длительность записи", [length(F.col("duration_s") * 1000)], ["комплексов ", spaced(F.col("beats"))]),
+        ("ЧСС средняя / мин / макс", [number("hr"), " / ", number("hr_min"), " / ", number("hr_max"), " уд/мин"], ["мин. в ", at("min_at_s"), ", макс. в ", at("max_at_s")]),
+        ("ЧСС днём / ночью", [number("day"), " / ", number("night"), " уд/мин"], ["циркадный индекс ", number(circadian, 2)]),
+        ("Вариабельность (SDNN / RMSSD)", [number("sdnn"), " / ", number("rmssd"), " мс"], ["pNN50 ", number("pnn50", 1), "%"]),
+        ("Желудочковые экстрасистолы", [count("kept_v")], [number(percent("kept_v"), 2), "%, ", density(percent("kept_v")), "; парных ", count("pairs"), ", групповых ", count("groups")]),
+        ("Наджелудочковые экстрасистолы", [count("kept_s")], [number(percent("kept_s"), 2), "%, ", density(percent("kept_s")), "; групповых ", count("s_runs")]),
+        ("Паузы более 2 с", [count("pauses_real")], [worst, noisy]),
+        ("Чистый сигнал", [number("clean_pct", 1), "%"], ["по независимым каналам, окна по 2 с"]),
+    ]
+    text = lambda parts: decimal_comma(F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]))
+    table = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("k"), text(v).alias("v"), text(n).alias("n")) for i, (k, v, n) in enumerate(lines)])
+    return x.select("record_id", F.inline(table))
+
+
 def sections(span: DataFrame, device: DataFrame, audited: DataFrame, burden: DataFrame, episodes: DataFrame, hrv: DataFrame, mean: DataFrame, extremes: DataFrame, pct: DataFrame, pauses: DataFrame) -> DataFrame:
     """(record_id, rhythm, ventricular, brady)"""
-    runs = episodes.filter("verdict <> 'artifact'").groupBy("record_id").agg(
-        F.count_if(F.expr("kind = 'v-run' and k1 - k0 = 1")).alias("pairs"), F.count_if(F.expr("kind = 'v-run' and k1 - k0 >= 2")).alias("groups"), F.max(F.expr("case when kind = 'pause' then dur_ms end")).alias("longest")
-    )
     x = span.join(device.withColumnsRenamed({"v": "dev_v", "s": "dev_s", "n": "dev_n"}), "record_id").join(audited, "record_id", "left")
-    for t in (burden, runs, hrv.drop("n"), mean, extremes, pct, pauses):
+    for t in (burden, real_episodes(episodes), hrv.drop("n"), mean, extremes, pct, pauses):
         x = x.join(t, "record_id", "left")
     hours, minutes = F.expr("total_ms div 3600000"), F.expr("total_ms div 60000 % 60")
     beats, zero = F.col("dev_n") + F.col("dev_v") + F.col("dev_s"), F.lit(0)
-    density = F.when(F.col("v_burden") < 0.1, "единичная").when(F.col("v_burden") < 1, "редкая").when(F.col("v_burden") < 10, "умеренно частая").when(F.col("v_burden") < 20, "частая").otherwise("очень частая")
     lost = F.col("dev_v") - F.coalesce("v", zero)
     rhythm = F.concat(
         F.lit("Мониторирование длилось "), hours, F.lit(" ч "), F.lpad(minutes.cast("string"), 2, "0"), F.lit(" мин, проанализировано "), beats, F.lit(" комплексов. ЧСС средняя "), number("hr"), F.lit(", минимальная "), number("hr_min"), F.lit(", максимальная "), number("hr_max"),
         F.lit(" уд/мин. Тахикардия свыше 100 уд/мин "), number("pct_over_100", 1), F.lit("% времени, брадикардия ниже 50 уд/мин "), number("pct_under_50", 1), F.lit("%. SDNN "), number("sdnn"), F.lit(" мс, RMSSD "), number("rmssd"), F.lit(" мс, pNN50 "), number("pnn50", 1), F.lit("%."),
     )
     ventricular = F.concat(
-        F.lit("Желудочковая экстрасистолия "), density, F.lit(": "), F.coalesce("v_likely", zero), F.lit("–"), F.coalesce("v", zero), F.lit(" за сутки ("), number("v_burden", 2), F.lit("% комплексов). Парных "), F.coalesce("pairs", zero), F.lit(", групповых "), F.coalesce("groups", zero),
+        F.lit("Желудочковая экстрасистолия "), density(F.col("v_burden")), F.lit(": "), F.coalesce("v_likely", zero), F.lit("–"), F.coalesce("v", zero), F.lit(" за сутки ("), number("v_burden", 2), F.lit("% комплексов). Парных "), F.coalesce("pairs", zero), F.lit(", групповых "), F.coalesce("groups", zero),
         F.lit(". Прибор насчитал "), F.col("dev_v"), F.lit("; "), lost, F.lit(" "), plural(lost, "метка отклонена", "метки отклонены", "меток отклонены"), F.lit(" при проверке."),
     )
     real = F.coalesce("real", zero)

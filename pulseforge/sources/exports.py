@@ -98,13 +98,28 @@ def svg_text(path: str, record: Record, start_s: float = 0, dur_s: float = 10, l
     )
 
 
-def export_json(beats: DataFrame, episodes: DataFrame, counts: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(record_id, json): every beat with its label and the device's, episodes in order, verdict counts, criteria."""
-    held = lambda df, name, *cols: df.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
-    out = held(beats, "beats", "t_ms", "label", "device_label")
-    for df, name, cols in ((episodes, "episodes", ("id", "kind", "t_ms", "dur_ms", "verdict", "confidence", "title")), (counts, "verdicts", ("label", "verdict", "n")), (criteria, "criteria", ("key", "met", "value"))):
-        out = out.join(held(df, name, *cols), "record_id", "left")
-    return out.select("record_id", F.to_json(F.struct("beats", "episodes", "verdicts", "criteria")).alias("json"))
+def export_json(beats: DataFrame, episodes: DataFrame, counts: DataFrame, criteria: DataFrame, one: dict[str, DataFrame] | None = None, many: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(record_id, json): every beat with its label and the device's, episodes in order, verdict counts, criteria.
+
+    one: further tables of at most a row per record (the record, its patient, rates), objects under their names.
+    many: tables of any number of rows (diary, edits), arrays in the order of their columns, empty where a record has none.
+    """
+    lists = {
+        "beats": beats.select("record_id", "t_ms", "label", "device_label"),
+        "episodes": episodes.select("record_id", "id", "kind", "t_ms", "dur_ms", "verdict", "confidence", "title"),
+        "verdicts": counts.select("record_id", "label", "verdict", "n"),
+        "criteria": criteria.select("record_id", "key", "met", "value"),
+    } | (many or {})
+    parts = {}
+    for name, df in lists.items():
+        parts[name] = df.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "record_id"]))).alias(name))
+    out = parts.pop("beats")
+    for name, df in (one or {}).items():
+        out = out.join(df.select("record_id", F.struct(*[c for c in df.columns if c != "record_id"]).alias(name)), "record_id", "left")
+    for name, df in parts.items():
+        out = out.join(df, "record_id", "left")
+    held = [*(one or {}), "beats", *[F.coalesce(name, F.array()).alias(name) for name in parts]]
+    return out.select("record_id", F.to_json(F.struct(*held)).alias("json"))
 
 
 def base_key(n_bytes: int, modified: int, annotations: bytes, rules: int, gain: float | None = None, invert: bool = False) -> str:

@@ -14,7 +14,7 @@ def test_same_rows(spark, name):
     assert spark_rows(PLANS[name].frame(spark, SF)) == duck_rows(PLANS[name].sql(), SF)
 
 
-@pytest.mark.parametrize("name", ["beat_families", "qt_hours", "raw_window", "sections"])
+@pytest.mark.parametrize("name", ["beat_families", "qt_hours", "raw_window", "sections", "summary_rows", "export_json"])
 def test_kernels_give_rows(spark, name):
     assert catalog.KERNELS[name](spark, SF).columns
 
