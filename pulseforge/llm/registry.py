@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, cotraining, exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
+from . import chat_format, cotraining, decontamination, exact_dedup, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
 from .common import table
 
 
@@ -51,9 +51,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_url_filters": url_filters.ORACLE, "op9_quality_rules": repetition.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_url_filters": url_filters.ORACLE, "op9_quality_rules": repetition.ORACLE, "op13_decontamination": decontamination.ORACLE}
