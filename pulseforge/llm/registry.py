@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotraining, decontamination, exact_dedup, hard_negatives, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
+from . import chat_format, collocations, cotraining, decontamination, exact_dedup, hard_negatives, language_id, mixing, ngram_join, piece_codec, repetition, token_store, url_filters
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end")
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
@@ -62,8 +66,8 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id, op12_hard_negatives, op13_decontamination)}
+    return {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_sentencepiece, op4_ngram_jaccard_join, op5_url_filters, op6_token_output, op7_source_mixing, op8_quality_classifier, op9_quality_rules, op10_language_id, op11_phrase_mining, op12_hard_negatives, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_url_filters": url_filters.ORACLE, "op9_quality_rules": repetition.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_decontamination": decontamination.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_ngram_jaccard_join": ngram_join.ORACLE, "op5_url_filters": url_filters.ORACLE, "op9_quality_rules": repetition.ORACLE, "op11_phrase_mining": collocations.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_decontamination": decontamination.ORACLE}
