@@ -2,9 +2,10 @@
 
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's probability is the sum over all its
 segmentations into pieces, by the forward algorithm; a text's is the product over its words (runs of letters of any length,
-lower case). Expectation maximisation over the same lattices fits the probabilities to the word counts of about FIT_DOCS
-labelled documents per language (chosen by a hash of doc_id; the only sample), never of held-out ones; it learns from words of
-up to FIT_UNIT letters.
+lower case). Sums are scaled by GAIN per letter, so that none leaves the range of floats, whatever a word's length and letters.
+Expectation maximisation over the same lattices fits the probabilities to the word counts of about FIT_DOCS labelled documents
+per language (the only sample), never of held-out ones. They are chosen by a hash of the whole row, and of equal rows as many
+as their share says, so that the bound holds whatever ids or texts repeat.
 
 A text without a letter, or null, is `und` with score 0. Among equal languages the first in code point order is predicted.
 Without anything to learn from, all is `und`. doc_id may be null (then held out) or repeat; further columns are ignored.
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Growing, Interned, in_batches, map_arrow, slices
-from .lattice import SHORT, SPACE, Lattices, pieces_of, scaled_sums
+from .common import CACHE_WORDS, Growing, Interned, in_batches, map_arrow, slices, stored
+from .lattice import SHORT, SPACE, Lattices, Pieces, pieces_of, scaled_sums
 
 FIT_DOCS = 400
 ROUNDS = 3
 #: Words that a score speaks for: it is the posterior of as many average words of the text.
 SCORE_WORDS = 20
-FIT_UNIT = 47
 UNKNOWN = 1e-9
+#: Factor per letter in the sums of words of up to SHORT letters. No prefix has a sum above 1, and no piece or letter is below
+#: UNKNOWN: with it, sums of words lie between 1e-245 and 1e196.
+GAIN = 1e4
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -56,30 +59,69 @@ class Model:
         self.langs, self.probs, self.vocabulary, self.key = langs, probs, vocabulary, uuid.uuid4().hex
 
 
-def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) of docs(lang, text, times)."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
                 seen: Counter = Counter()
-                for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    seen.update((lang, u) for u in units(text) if len(u) <= FIT_UNIT)
+                for lang, text, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for u, n in Counter(units(text)).items():
+                        seen[lang, u] += n * times
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    return in_batches(docs.select(lang_col, text_col), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("lang", "text", "times"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def sampled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, fit_docs: int) -> DataFrame:
+    """(lang, text, times) of about fit_docs rows of each language: of n equal rows n times the language's share, rounded up or down by their hash."""
+    learn = docs.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, lang_col, text_col).alias("row"))
+    kinds = stored(learn.groupBy("lang", "row").agg(F.count("*").alias("n")), "language-rows")
+    share = F.lit(float(fit_docs)) / F.col("rows")
+    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) / float(1 << 40)
+    totals = kinds.groupBy("lang").agg(F.sum("n").alias("rows"))  # a row per language, as the model has a column
+    drawn = kinds.join(F.broadcast(totals), "lang").withColumn("times", F.floor(F.col("n") * F.least(share, F.lit(1.0)) + draw)).filter("times > 0").select("lang", "row", "times")
+    return learn.join(F.broadcast(drawn), ["lang", "row"]).groupBy("lang", "row", "times").agg(F.first("text").alias("text"))
+
+
+def edge_probabilities(x: Lattices, probs: np.ndarray) -> np.ndarray:
+    return probs[x.piece] * GAIN ** (x.end - x.start)[:, None]
+
+
+def expected_pieces(x: Lattices, weight: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words, by weight[word, language]; a gain is the same for all paths of a word."""
+    p, out = edge_probabilities(x, probs), np.zeros_like(probs)
+    alpha, beta = x.forward_sums(p), x.backward_sums(p)
+    for c in range(probs.shape[1]):
+        all_paths = alpha[x.length, c, np.arange(x.count)]
+        each = alpha[x.start, c, x.word] * p[:, c] * (beta[x.end, c, x.word] / all_paths[x.word])
+        out[:, c] = np.bincount(np.where(x.piece < 0, len(probs) - 1, x.piece), weights=each * weight[x.word, c], minlength=len(probs))
+    return out
+
+
+def expected_in_long(pieces: Pieces, word: str, weight: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """The same of one word of any length, by logarithms."""
+    edges, logs = pieces.edges(word), np.log(probs)
+    front, back = (np.full((len(word) + 1, probs.shape[1]), -np.inf) for _ in range(2))
+    front[0] = back[len(word)] = 0.0
+    for a, b, piece in sorted(edges, key=lambda e: e[1]):
+        front[b] = np.logaddexp(front[b], front[a] + logs[piece])
+    for a, b, piece in sorted(edges, key=lambda e: -e[0]):
+        back[a] = np.logaddexp(back[a], back[b] + logs[piece])
+    out = np.zeros_like(probs)
+    for a, b, piece in edges:
+        out[piece] += weight * np.exp(front[a] + logs[piece] + back[b] - front[len(word)])
+    return out
 
 
 def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model:
-    learn = docs.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    per = {r["lang"]: r["n"] for r in learn.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    langs = sorted(per)
+    counts = word_counts(sampled(docs, text_col, lang_col, id_col, fit_docs)).toPandas()
+    # A language whose rows drawn have no word has no column of its own.
+    langs = sorted(set(counts["lang"]))
     if not langs:
         return Model([], np.zeros((0, 0)), vocabulary)
-    share = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1e6
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col(lang_col) == lang) & (share < fit_docs / per[lang]))
-    counts = word_counts(learn.filter(chosen), text_col, lang_col).toPandas()
     pieces, column = pieces_of(vocabulary), {lang: k for k, lang in enumerate(langs)}
     words = sorted(set(counts["word"]))
     row = {w: k for k, w in enumerate(words)}
@@ -87,16 +129,14 @@ def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
     np.add.at(weights, (counts["word"].map(row).to_numpy(dtype=np.int64), counts["lang"].map(column).to_numpy(dtype=np.int64)), counts["n"].to_numpy(dtype=float))
     probs = np.full((pieces.size + 1, len(langs)), 1.0 / pieces.size)
     probs[-1] = UNKNOWN
-    parts = [(Lattices(pieces, [SPACE + w for w in words[a : a + 8192]]), weights[a : a + 8192]) for a in range(0, len(words), 8192)]
+    short = [k for k, w in enumerate(words) if len(w) < SHORT]
+    parts = [(Lattices(pieces, [SPACE + words[k] for k in short[a : a + 8192]]), weights[short[a : a + 8192]]) for a in range(0, len(short), 8192)]
     for _ in range(ROUNDS):
         expected = np.zeros_like(probs)
         for x, weight in parts:
-            p = probs[x.piece]
-            alpha, beta = x.forward_sums(p), x.backward_sums(p)
-            for c in range(len(langs)):
-                all_paths = alpha[x.length, c, np.arange(x.count)]
-                each = alpha[x.start, c, x.word] * p[:, c] * beta[x.end, c, x.word]
-                expected[:, c] += np.bincount(np.where(x.piece < 0, pieces.size, x.piece), weights=each * (weight[:, c] / np.maximum(all_paths, 1e-300))[x.word], minlength=pieces.size + 1)
+            expected += expected_pieces(x, weight, probs)
+        for k in sorted(set(range(len(words))) - set(short)):
+            expected += expected_in_long(pieces, SPACE + words[k], weights[k], probs)
         expected = expected[:-1]
         shared = expected.sum(axis=1, keepdims=True)
         # What a language lacks falls back on all languages' shares, and on a floor.
@@ -118,8 +158,8 @@ class _Scorer:
             part = words[a : a + 4096]
             long = [k for k, w in enumerate(part) if len(w) >= SHORT]
             x = Lattices(self.pieces, [SPACE + w if len(w) < SHORT else SPACE for w in part])
-            alpha = x.forward_sums(self.model.probs[x.piece])
-            logs = np.log(np.maximum(alpha[x.length, :, np.arange(x.count)], 1e-300))
+            alpha = x.forward_sums(edge_probabilities(x, self.model.probs))
+            logs = np.log(alpha[x.length, :, np.arange(x.count)]) - x.length[:, None] * np.log(GAIN)
             for k in long:
                 logs[k] = scaled_sums(self.pieces, SPACE + part[k], self.model.probs)
             letter = np.array([any(map(str.isalpha, w)) for w in part], float)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -120,6 +121,54 @@ def test_language_id_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
 
 
+def log_probability(pieces, word, probs):
+    """Of a word, by language, in logarithms from place to place."""
+    at = [[0.0] * probs.shape[1]] + [[-math.inf] * probs.shape[1] for _ in word]
+    for a, b, piece in sorted(pieces.edges(word), key=lambda e: e[1]):
+        for c in range(probs.shape[1]):
+            x, y = at[b][c], at[a][c] + math.log(probs[piece, c])
+            at[b][c] = max(x, y) + math.log1p(math.exp(min(x, y) - max(x, y)))
+    return np.array(at[-1])
+
+
+def test_predictions_against_plain_sums(spark):
+    """Words of 30 to 60 rare letters, and others, by the posterior that the model defines."""
+    langs = {"en": "the house and the garden were seen by them", "de": "und das Haus steht schön über der Straße", "zz": "ξενοδοχειο 你好世界 ありがとう"}
+    docs = documents(spark, [(k, text, lang, "s") for k, (lang, text) in enumerate(list(langs.items()) * 15)])
+    model = language_id.fit(docs, VOCABULARY)
+    assert model.langs == ["de", "en", "zz"]
+    rng, pieces = np.random.default_rng(3), pieces_of(VOCABULARY)
+    texts = ["".join(rng.choice(list("你好世界ありがとうξψωжщ"), n)) for n in (1, 20, 30, 35, 36, 40, 46, 47, 48, 49, 55, 60, 400)]
+    texts += ["the garden und Straße", "x" * 47, "ab " * 40, *(a + " " + b for a, b in zip(texts, texts[1:], strict=False))]
+    got, score = language_id.predicted(texts, model)
+    for text, lang, p in zip(texts, got, score, strict=True):
+        words = language_id.units(text)
+        logs = np.sum([log_probability(pieces, SPACE + w, model.probs) for w in words], axis=0)
+        logs = logs / len(words) * min(len(words), language_id.SCORE_WORDS)
+        odds = np.exp(logs - logs.max())
+        assert lang == model.langs[int(odds.argmax())] and abs(p - 1 / odds.sum()) < 1e-6
+
+
+def test_expected_pieces_of_long_words_are_those_of_short_ones():
+    pieces = pieces_of(VOCABULARY)
+    probs = np.random.default_rng(4).random((pieces.size + 1, 2)) * 1e-3
+    for word in ("straße", "你好ありがとうξψω" * 3):
+        weight = np.array([2.0, 3.0])
+        both = language_id.expected_pieces(Lattices(pieces, [SPACE + word]), weight[None], probs)
+        assert np.allclose(both, language_id.expected_in_long(pieces, SPACE + word, weight, probs))
+
+
+def test_language_sample_is_bounded(spark):
+    """A third of the rows shares one id, and a third are equal."""
+    ids = next(k for k in range(1, 50) if zlib.crc32(str(k).encode()) % 5), next(k for k in range(50, 99) if zlib.crc32(str(k).encode()) % 5)
+    rows = [(ids[0], f"some words {k} of many", "en", "a") for k in range(1000)] + [(ids[1], "all the same", "en", "a")] * 1000 + [(1000 + k, f"words {k} apart", "en", "a") for k in range(1200)]
+    drawn = language_id.sampled(documents(spark, rows), "text", "lang", "doc_id", 300).collect()
+    times = {"some": 0, "all": 0, "words": 0}
+    for r in drawn:
+        times[r["text"].split()[0]] += r["times"]
+    assert all(70 < n < 140 for n in times.values())
+
+
 def test_no_segmentation_is_listed_twice():
     """Whole table: all segmentations differ, none is better than one before, and long and short words follow one rule."""
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() + ["x" * 300, "ab%%%%% ci%%%", "y" * 49 + " " + "y" * 48]
