@@ -2,18 +2,21 @@
 
 One view sees a text's content: shares of its bytes and byte pairs (hashed) and some measures of its words and lines. The
 other sees what is known about the page besides: source, language, length. Each is a logistic model. In every round, each
-labels the unlabelled rows that it is most sure of, for the other to learn from; after the rounds each view is calibrated on
-labelled rows it never learned from, and the mean of both calibrated log odds scores every document.
-
-Fitting uses bounded samples, chosen by a hash of the row: about FIT_LABELLED labelled and FIT_POOL unlabelled rows (the
-documented bounds), whatever ids are null or repeated; rows that repeat are drawn as often as their share says. Every row is scored. Null text counts as empty; null source and language are values of their own. Rows
-that repeat a doc_id are scored each on its own. Without labels of both kinds all scores are 0.5. An empty table gives an
-empty table; further columns are ignored.
+scores all unlabelled rows and labels the PER_ROUND that it is most sure of, for the other to learn from; after the rounds
+each view is calibrated on labelled rows it never learned from, and the mean of both calibrated log odds scores every document.
+
+The models are fitted to about FIT_LABELLED labelled rows (the documented bound), chosen by a hash of the row, whatever ids
+are null or repeated; rows that repeat are drawn as often as their share says. The search for pseudo-labels covers every
+unlabelled row: their features are stored once, each task keeps its surest, and of those only the first PER_ROUND come back.
+Rows that are equal are one candidate; among equal scores the row hash decides. Null text counts as empty; null source and
+language are values of their own. Rows that repeat a doc_id are scored each on its own. Without labels of both kinds all scores
+are 0.5. An empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, map_arrow, stored, utf8
+from .common import BROADCAST_ROWS, in_batches, map_arrow, stored, utf8
 
-FIT_LABELLED, FIT_POOL, ROUNDS, PER_ROUND = 6000, 3000, 4, 150
+FIT_LABELLED, ROUNDS, PER_ROUND = 6000, 4, 150
 PAIRS = 512
 META = 64
-CONTENT = 256 + PAIRS + 8
+CONTENT = 256 + PAIRS + 7
 
 
 def content_features(texts: list[bytes | None]) -> np.ndarray:
@@ -42,8 +45,8 @@ def content_features(texts: list[bytes | None]) -> np.ndarray:
             out[k, 256 : 256 + PAIRS] = np.sqrt(np.bincount((pairs * np.uint32(2654435761)) >> np.uint32(23), minlength=PAIRS) / len(pairs))
         words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
         few = max(1, len(words))
-        out[k, -8:] = (
-            min(1, len(set(words)) / few), min(1, sum(map(len, words)) / few / 20), len(set(lines)) / max(1, len(lines)), np.log1p(len(words)) / 10,
+        out[k, -7:] = (
+            min(1, len(set(words)) / few), min(1, sum(map(len, words)) / few / 20), len(set(lines)) / max(1, len(lines)),
             text.count(b"http") / few, sum(text.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|")) / len(text), float(text.isupper()), 0,
         )
     return out
@@ -105,32 +108,42 @@ class Calibration:
         return self.a * x + self.b
 
 
+#: Rows that a round takes from the unlabelled ones: their hashes, content and metadata features, one row each.
+Taken = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def surest(logit: np.ndarray, row: np.ndarray, n: int, highest: bool) -> np.ndarray:
+    """Places of the n highest or lowest logits among distinct rows; of equal ones the smallest hash first."""
+    order = np.lexsort((row, -logit if highest else logit))
+    first = np.zeros(len(row), bool)
+    first[np.unique(row[order], return_index=True)[1]] = True
+    return order[first][:n]
+
+
 class CoTrained:
-    def __init__(self, content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND):
-        """label: 1, 0, or -1 for unlabelled rows."""
-        labelled = np.flatnonzero(label >= 0)
-        test = labelled[::4]
-        learn = np.setdiff1d(labelled, test)
-        self.views = None
+    def __init__(self, content: np.ndarray, meta: np.ndarray, label: np.ndarray, pick: Callable[[list[Logistic], int, int, np.ndarray], list[tuple[Taken, Taken]]], rounds: int = ROUNDS, per_round: int = PER_ROUND):
+        """label: 1 or 0. pick(models, low, up, gone) gives for each view the low rows with its lowest logits and the up with its
+        highest, of the unlabelled rows whose hashes are not in gone."""
+        test = np.arange(len(label))[::4]
+        learn = np.setdiff1d(np.arange(len(label)), test)
+        self.views, self.taken = None, []
         if len(np.unique(label[learn])) < 2 or len(np.unique(label[test])) < 2:
             return
-        pool = np.flatnonzero(label < 0)
         views = [content, meta]
-        taught = [(learn, label[learn].astype(float), np.ones(len(learn))) for _ in views]
-        share = label[learn].mean()
+        taught = [(v[learn], label[learn].astype(float), np.ones(len(learn))) for v in views]
+        up = max(1, round(per_round * float(label[learn].mean())))
+        gone = np.empty(0, np.int64)
         for r in range(rounds + 1):
-            models = [Logistic().fit(v[rows], y, w) for v, (rows, y, w) in zip(views, taught, strict=True)]
-            if r == rounds or not len(pool):
+            models = [Logistic().fit(*t) for t in taught]
+            if r == rounds:
                 break
-            chosen = []
-            for k, model in enumerate(models):
-                order = pool[np.argsort(model.logit(views[k][pool]), kind="stable")]
-                up = max(1, round(per_round * share))
-                low, high = order[: max(1, per_round - up)], order[-up:]
-                rows, y, w = taught[1 - k]
-                taught[1 - k] = (np.r_[rows, low, high], np.r_[y, np.zeros(len(low)), np.ones(len(high))], np.r_[w, np.full(len(low) + len(high), 0.3)])
-                chosen.append(np.r_[low, high])
-            pool = np.setdiff1d(pool, np.concatenate(chosen))
+            chosen = pick(models, max(1, per_round - up), up, gone)
+            self.taken.append([[part[0] for part in sides] for sides in chosen])
+            for k, (low, high) in enumerate(chosen):
+                x, y, w = taught[1 - k]
+                n = len(low[0]), len(high[0])
+                taught[1 - k] = (np.concatenate([x, low[2 - k], high[2 - k]]), np.r_[y, np.zeros(n[0]), np.ones(n[1])], np.r_[w, np.full(sum(n), 0.3)])
+            gone = np.unique(np.concatenate([gone, *(part[0] for sides in chosen for part in sides)]))
         self.views = [(m, Calibration().fit(m.logit(v[test]), label[test])) for m, v in zip(models, views, strict=True)]
 
     def scores(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +165,57 @@ def row_hash(*columns: str) -> Column:
     return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_labelled: int = FIT_LABELLED, fit_pool: int = FIT_POOL) -> CoTrained:
+FEATURES = "row long, content binary, meta binary"
+
+
+def features(rows: DataFrame, *more: str) -> DataFrame:
+    """row, more (longs), content and meta (float16) of rows(row, text, source, lang and more)."""
+
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        made = _features(b, 1, 2, 3)
+        return pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], *(pa.array([x.astype(np.float16).tobytes() for x in m], pa.binary()) for m in made)], names=["row", *more, "content", "meta"])
+
+    return map_arrow(rows.select("row", "text", "source", "lang", *more), step, ", ".join(["row long", *(f"{c} long" for c in more), "content binary", "meta binary"]))
+
+
+def wide(values: list[bytes], n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.float16).reshape(-1, n).astype(np.float32)
+
+
+def picker(pool: DataFrame) -> Callable[[list[Logistic], int, int, np.ndarray], list[tuple[Taken, Taken]]]:
+    """The search of CoTrained in a stored table of FEATURES."""
+
+    def pick(models: list[Logistic], low: int, up: int, gone: np.ndarray) -> list[tuple[Taken, Taken]]:
+        sides = [(view, high, n) for view in range(2) for high, n in ((0, low), (1, up))]
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(np.empty(0), np.empty(0, np.int64))] * len(sides)
+            for b in batches:
+                row = b.column(0).to_numpy().astype(np.int64)
+                some = np.flatnonzero(~np.isin(row, gone))
+                logits = [m.logit(wide(b.column(1 + k).to_pylist(), n))[some] for k, (m, n) in enumerate(zip(models, (CONTENT, META), strict=True))] if len(some) else [np.empty(0)] * 2
+                for k, (view, high, n) in enumerate(sides):
+                    logit, rows = np.r_[held[k][0], logits[view]], np.r_[held[k][1], row[some]]
+                    at = surest(logit, rows, n, bool(high))
+                    held[k] = logit[at], rows[at]
+            for (view, high, _), (logit, rows) in zip(sides, held, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), 2 * view + high, np.int32)), pa.array(logit), pa.array(rows)], names=["side", "logit", "row"])
+
+        found = in_batches(pool, best, "side int, logit double, row long").groupBy("side", "row").agg(F.min("logit").alias("logit"))
+        # A task gives what a side takes at most; of these, only hashes come back.
+        firsts = [[r["row"] for r in found.filter(F.col("side") == 2 * view + high).orderBy(F.col("logit").desc() if high else F.col("logit"), "row").limit(n).collect()] for view, high, n in sides]
+        wanted = sorted({row for rows in firsts for row in rows})
+        table = pool.filter(F.col("row").isin(wanted)).groupBy("row").agg(F.first("content").alias("content"), F.first("meta").alias("meta")).toPandas().set_index("row")
+        taken = []
+        for rows in firsts:
+            own = table.loc[rows]
+            taken.append((np.array(rows, np.int64), wide(own["content"].tolist(), CONTENT), wide(own["meta"].tolist(), META)))
+        return [(taken[0], taken[1]), (taken[2], taken[3])]
+
+    return pick
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_labelled: int = FIT_LABELLED) -> CoTrained:
     """docs: doc_id, text, source, lang; labels: doc_id and label_col (0 or 1)."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     rows = docs.select("doc_id", "text", "source", "lang", row_hash("doc_id", "text", "source", "lang").alias("row"))
@@ -162,23 +225,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_labe
     named = F.broadcast(named) if known.count() <= BROADCAST_ROWS else named
     kinds = rows.select("doc_id", "row", spread(F.col("row"))).join(named, ["doc_id", "spread"], "left").select(F.coalesce("label", F.lit(-1)).alias("label"), "row")
     kinds = stored(kinds.groupBy("label", "row").agg(F.count("*").alias("n")), "quality-rows")
-    per = {r["label"]: r["n"] for r in kinds.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    per = {r["label"]: r["n"] for r in kinds.filter("label >= 0").groupBy("label").agg(F.sum("n").alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in per.items():
-        share = F.when(F.col("label") == label, min(1.0, (fit_pool if label < 0 else fit_labelled / 2) / n)).otherwise(share)
-    # Of n equal rows n * share are drawn, rounded up or down by their hash: about as many rows as the bounds say, whatever repeats.
+        share = F.when(F.col("label") == label, min(1.0, fit_labelled / 2 / n)).otherwise(share)
+    # Of n equal rows n * share are drawn, rounded up or down by their hash: about as many rows as the bound says, whatever repeats.
     draw = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = kinds.withColumn("times", F.floor(F.col("n") * share + draw)).filter("times > 0").select("row", "label", "times")
+    drawn = kinds.filter("label >= 0").withColumn("times", F.floor(F.col("n") * share + draw)).filter("times > 0").select("row", F.col("label").cast("long").alias("label"), "times")
     texts = rows.join(F.broadcast(drawn), "row").groupBy("row", "label", "times").agg(F.first("text").alias("text"), F.first("source").alias("source"), F.first("lang").alias("lang"))
-
-    def step(b: pa.RecordBatch) -> pa.RecordBatch:
-        content, meta = _features(b, 1, 2, 3)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(5), pa.array([x.astype(np.float16).tobytes() for x in content], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in meta], pa.binary())], names=["row", "label", "times", "content", "meta"])
-
-    sample = map_arrow(texts.select("row", "text", "source", "lang", "label", "times"), step, "row long, label int, times long, content binary, meta binary").toPandas()
+    sample = features(texts, "label", "times").toPandas()
     sample = sample.loc[sample.index.repeat(sample["times"])].sort_values("row", key=lambda s: pd.util.hash_array(s.to_numpy())).reset_index(drop=True)
-    wide = lambda c, n: np.frombuffer(b"".join(sample[c]), np.float16).reshape(-1, n).astype(np.float32)
-    return CoTrained(wide("content", CONTENT), wide("meta", META), sample["label"].to_numpy(dtype=int))
+    unlabelled = rows.drop("doc_id") if not per else rows.join(named.withColumnRenamed("label", "_known"), "doc_id", "left_anti").drop("doc_id")
+    pick = None if sample.empty else picker(stored(features(unlabelled), "quality-pool"))
+    return CoTrained(wide(sample["content"].tolist(), CONTENT), wide(sample["meta"].tolist(), META), sample["label"].to_numpy(dtype=int), pick)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

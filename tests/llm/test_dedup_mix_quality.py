@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 from fractions import Fraction
@@ -186,17 +187,58 @@ def test_cotraining_samples_are_bounded(spark, monkeypatch):
     docs = documents(spark, rows)
     labels = spark.createDataFrame([(i, 1 if i == 7 else 0) for i in sorted({i for i in ids if i} - set(range(1500, 3000)))], "doc_id long, quality int")
     seen = []
-    monkeypatch.setattr(cotraining, "CoTrained", lambda content, meta, label: seen.append((label, meta)))
+    monkeypatch.setattr(cotraining, "CoTrained", lambda content, meta, label, pick: seen.append((label, meta)))
     for bound in (10**6, 0):
         monkeypatch.setattr(cotraining, "BROADCAST_ROWS", bound)
-        cotraining.fit(docs, labels, fit_labelled=300, fit_pool=200)
-    cotraining.fit(docs.repartition(9), labels, fit_labelled=300, fit_pool=200)
+        cotraining.fit(docs, labels, fit_labelled=300)
+    cotraining.fit(docs.repartition(9), labels, fit_labelled=300)
     for label, meta in seen:
         n = Counter(label.tolist())
-        assert 100 < n[1] < 200 and 100 < n[0] < 200 and 140 < n[-1] < 260
+        assert 100 < n[1] < 200 and 100 < n[0] < 200 and n[-1] == 0
         assert (label == seen[0][0]).all() and (meta == seen[0][1]).all()
-    cotraining.fit(docs, labels, fit_labelled=10**6, fit_pool=10**6)
-    assert Counter(seen[-1][0].tolist()) == {1: 1000, 0: 500, -1: 1500}
+    cotraining.fit(docs, labels, fit_labelled=10**6)
+    assert Counter(seen[-1][0].tolist()) == {1: 1000, 0: 500}
+
+
+def test_cotraining_rounds_search_all_unlabelled_rows(spark):
+    """The rounds' pseudo-labels, and the models they lead to, against a search in memory that sorts all rows."""
+    r = random.Random(3)
+    good, bad = "the house and garden were seen by them on a sunny day".split(), "$$$ click !!! ### WIN %%% now &&& ||| ***".split()
+    rows = []
+    for k in range(400):
+        some = r.choices(good, k=r.randrange(3, 40)) + r.choices(bad, k=r.randrange(0, 30) if k % 2 else 0)
+        rows.append((k if k % 5 else None, " ".join(some), r.choice(["en", "de"]), f"s{k % 2 if r.random() < 0.8 else 2}"))
+    rows += rows[300:330] * 3  # equal rows
+    docs = documents(spark, rows, 7)
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(120) if k % 5], "doc_id long, quality int")
+    model = cotraining.fit(docs, labels)
+    hashed = docs.select(cotraining.row_hash("doc_id", "text", "source", "lang").alias("row"), "text", "source", "lang", "doc_id").collect()
+    chars = lambda x: np.array([len((t.text or "").encode()) for t in x], float)
+    rounded = lambda m: m.astype(np.float16).astype(np.float32)
+    pool = [x for x in hashed if x.doc_id is None or x.doc_id >= 120]
+    content = rounded(cotraining.content_features([(x.text or "").encode() for x in pool]))
+    meta = rounded(cotraining.meta_features([x.source for x in pool], [x.lang for x in pool], chars(pool)))
+    hashes = [x.row for x in pool]
+
+    def pick(models, low, up, gone):
+        out = []
+        for k, m in enumerate(models):
+            logit = m.logit((content, meta)[k])
+            distinct = {h: (float(v), j) for j, (h, v) in enumerate(zip(hashes, logit, strict=True)) if h not in set(gone.tolist())}
+            lows, highs = (sorted(distinct, key=lambda h: (s * distinct[h][0], h))[:n] for s, n in ((1, low), (-1, up)))
+            out.append(tuple((np.array(x, np.int64), content[[distinct[h][1] for h in x]], meta[[distinct[h][1] for h in x]]) for x in (lows, highs)))
+        return out
+
+    known = {k: 1 - k % 2 for k in range(120) if k % 5}
+    sample = sorted((x for x in hashed if x.doc_id in known), key=lambda x: cotraining.pd.util.hash_array(np.array([x.row]))[0])
+    again = cotraining.CoTrained(
+        rounded(cotraining.content_features([x.text.encode() for x in sample])), rounded(cotraining.meta_features([x.source for x in sample], [x.lang for x in sample], chars(sample))), np.array([known[x.doc_id] for x in sample]), pick
+    )
+    assert len(model.taken) == cotraining.ROUNDS
+    sets = lambda taken: [[[sorted(part.tolist()) for part in sides] for sides in one] for one in taken]
+    assert sets(model.taken) == sets(again.taken)
+    for a, b in zip(model.scores(content, meta), again.scores(content, meta), strict=True):
+        assert np.allclose(a, b, atol=1e-4)
 
 
 def test_thresholds_are_fractions():
@@ -228,7 +270,15 @@ def test_cotraining_scores_against_plain_code():
     label = np.where(np.arange(400) < 200, r.integers(0, 2, 400), -1)
     truth = np.where(label >= 0, label, r.integers(0, 2, 400))
     content, meta = r.normal(truth[:, None], 1.0, (400, 5)), r.normal(truth[:, None], 1.2, (400, 3))
-    model = cotraining.CoTrained(content, meta, label, rounds=2, per_round=20)
+    known, rest = label >= 0, np.flatnonzero(label < 0)
+
+    def pick(models, low, up, gone):
+        part = lambda at: (rest[at], content[rest[at]], meta[rest[at]])
+        left = np.flatnonzero(~np.isin(rest, gone))
+        order = [left[np.argsort(m.logit(x[rest[left]]), kind="stable")] for m, x in zip(models, (content, meta), strict=True)]
+        return [(part(o[:low]), part(o[-up:])) for o in order]
+
+    model = cotraining.CoTrained(content[known], meta[known], label[known], pick, rounds=2, per_round=20)
     logits = []
     for (view, line), x in zip(model.views, (content, meta), strict=True):
         own = []
