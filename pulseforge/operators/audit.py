@@ -71,21 +71,22 @@ on_time = operator(
 #: audited beats in a row, all that are not open to this keep their state, and each open one takes that of the last of those.
 schedule_evidence = operator(
     """
-    SELECT record_id, k, t_ms, label, verdict AS before, CASE WHEN open AND state % 2 = 1 THEN 'on-schedule' ELSE verdict END AS verdict, CASE WHEN open AND state % 2 = 1 THEN 0.8e0 ELSE confidence END AS confidence
+    SELECT record_id, k, t_ms, label, family, family_n_frac, verdict AS before, CASE WHEN open AND state % 2 = 1 THEN 'on-schedule' ELSE verdict END AS verdict, CASE WHEN open AND state % 2 = 1 THEN 0.8e0 ELSE confidence END AS confidence
     FROM (SELECT *, max(CASE WHEN NOT open THEN 2 * k + CASE WHEN verdict IN ('likely', 'uncertain', 'manual') THEN 0 ELSE 1 END END) OVER (PARTITION BY record_id, island ORDER BY k ROWS UNBOUNDED PRECEDING) AS state
           FROM (SELECT a.*, o.on_time AND a.verdict IN ('likely', 'uncertain') AS open, a.k - row_number() OVER (PARTITION BY a.record_id ORDER BY a.k) AS island
                 FROM {audit} a JOIN {on_time} o ON a.record_id = o.record_id AND a.k = o.k) x) y
     """
 )
 
-#: Features need samples; these stand in for them where only beats are given (fixed functions of event_id).
+#: Features need samples; these stand in for them where only beats are given (fixed functions of event_id). which: of audited beats, or of all (true)
 stand_in_features = operator(
     """
     SELECT b.record_id, b.k, b.t_ms, b.label, b.rr_pre, b.rr_post, b.k = 0 AS edge, (30 + event_id % 100) / 100e0 AS amp_ratio, (event_id * 7 % 50) / 10e0 AS noise_ratio, (event_id % 40) / 100e0 AS noise_mv,
            1e0 AS ref_amp, (event_id * 3 % 11) / 20e0 AS win_noise, cast(60 + event_id * 13 % 220 as double) AS width_ms, 97e0 AS sinus_width, round((60 + event_id * 13 % 220) / 97e0, 2) AS width_ratio,
            round(b.rr_pre / r.rhythm, 2) AS prematurity
     FROM (SELECT record_id, k, t_ms, label, event_id, t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY k) AS rr_pre, lead(t_ms) OVER (PARTITION BY record_id ORDER BY k) - t_ms AS rr_post FROM {beat}) b
-    JOIN {rhythm} r ON b.record_id = r.record_id AND b.k = r.k WHERE b.label <> 'N'
-    """
+    JOIN {rhythm} r ON b.record_id = r.record_id AND b.k = r.k WHERE {which}
+    """,
+    which="b.label <> 'N'",
 )
 stand_in_families = operator("SELECT record_id, k, t_ms, label, CASE WHEN event_id % 29 = 0 THEN -1 ELSE cast(CASE label WHEN 'N' THEN event_id % 3 WHEN 'V' THEN 2 + event_id % 3 ELSE event_id % 5 END as bigint) END AS family FROM {beat}")

@@ -33,14 +33,16 @@ merge_beats = operator(
     """
 )
 
-#: Audits by merged beats: a manual label overrides the verdict.
+#: Audits by merged beats: a manual label overrides the verdict. audit: of the device's beats, with their families; features: of them
+#: and of the device's beats that a label by hand makes audited ones, which have no family then.
 effective_audits = operator(
     """
-    SELECT b.record_id, b.k, b.t_ms, b.label,
+    SELECT b.record_id, b.k, b.t_ms, b.label, coalesce(a.family, -1) AS family, a.family_n_frac, q.rr_pre, q.rr_post, CASE WHEN NOT q.edge THEN q.amp_ratio END AS amp_ratio, CASE WHEN NOT q.edge THEN q.noise_ratio END AS noise_ratio,
+           CASE WHEN NOT q.edge THEN q.width_ms END AS width_ms, CASE WHEN NOT q.edge THEN q.width_ratio END AS width_ratio, CASE WHEN NOT q.edge THEN q.prematurity END AS prematurity,
            CASE WHEN b.origin < 0 OR b.relabelled THEN CASE WHEN b.label IN ('V', 'S') THEN 'manual' WHEN b.label = 'N' THEN 'manual-N' ELSE 'manual-X' END ELSE a.verdict END AS verdict,
            CASE WHEN b.origin < 0 OR b.relabelled THEN 1e0 ELSE a.confidence END AS confidence,
            CASE WHEN b.origin < 0 THEN concat('добавлен вручную: ', b.label) WHEN b.relabelled THEN concat('ручная метка: ', b.label) END AS reason
-    FROM {beat} b LEFT JOIN {audit} a ON b.record_id = a.record_id AND b.origin = a.k
+    FROM {beat} b LEFT JOIN {audit} a ON b.record_id = a.record_id AND b.origin = a.k LEFT JOIN {features} q ON b.record_id = q.record_id AND b.origin = q.k
     WHERE b.origin < 0 OR b.relabelled OR a.k IS NOT NULL
     """
 )
@@ -113,7 +115,12 @@ beats_window = operator(
     dur_s=900,
 )
 
-edit_counts = operator("SELECT (SELECT count(*) FROM {labels}) AS manual, (SELECT count(*) FROM {inserted}) AS added, (SELECT count(*) FROM {spans}) AS quality_spans")
+edit_counts = operator(
+    """
+    SELECT record_id, cast(sum(manual) as bigint) AS manual, cast(sum(added) as bigint) AS added, cast(sum(quality_spans) as bigint) AS quality_spans
+    FROM (SELECT record_id, 0 AS manual, 0 AS added, 0 AS quality_spans FROM {span} UNION ALL SELECT record_id, 1, 0, 0 FROM {labels} UNION ALL SELECT record_id, 0, 1, 0 FROM {inserted} UNION ALL SELECT record_id, 0, 0, 1 FROM {spans}) x GROUP BY record_id
+    """
+)
 
 #: Edits of the one long record, by numbers in props (fixed choices)
 stand_in_labels = operator("SELECT record_id, t_ms, event_id AS seq, CASE pk % 20 WHEN 3 THEN 'N' WHEN 13 THEN CASE WHEN event_id % 4 = 0 THEN 'X' WHEN event_id % 4 = 1 THEN cast(NULL as string) ELSE 'V' END END AS label FROM {beat} WHERE pk % 10 = 3")
@@ -160,13 +167,31 @@ def set_report(reports: DataFrame, record_id: int, report: str | None) -> DataFr
     return kept if report is None else kept.unionByName(reports.sparkSession.createDataFrame([(record_id, report)], "record_id long, report string"))
 
 
-def add_event(diary: DataFrame, record_id: int, t_ms: int, text: str) -> DataFrame:
+def annotate(log: DataFrame, inserted: DataFrame, beats: DataFrame, record_id: int, k: int, label: str | None) -> tuple[DataFrame, DataFrame]:
+    """The label log and the inserted beats after a label for beat k of the merged beats: of a device's beat it is logged (None clears), of
+    an inserted one it replaces the label (None removes the beat)."""
+    beat = beats.filter((F.col("record_id") == record_id) & (F.col("k") == k)).select("t_ms", "origin").first()
+    if beat is None:
+        raise IndexError("the record has no such beat")
+    if beat["origin"] >= 0:
+        return set_label(log, record_id, beat["t_ms"], label), inserted
+    if label is not None and label not in LABELS:
+        raise ValueError(f"label must be one of {sorted(LABELS)}")
+    kept = inserted.filter((F.col("record_id") != record_id) | (F.col("t_ms") != beat["t_ms"]))
+    return log, kept if label is None else kept.unionByName(inserted.sparkSession.createDataFrame([(record_id, beat["t_ms"], label)], "record_id long, t_ms long, label string").select(inserted.columns))
+
+
+def add_event(diary: DataFrame, record_id: int, t_ms: int, text: str, total_ms: int | None = None) -> DataFrame:
+    """The diary with one more entry; its number is the record's next. total_ms: the record's length, beyond which no entry lies."""
+    if t_ms < 0 or total_ms is not None and t_ms > total_ms:
+        raise ValueError("the time lies outside the record")
+    own = diary.filter(F.col("record_id") == record_id)
     entry = diary.sparkSession.createDataFrame([(record_id, t_ms, text.strip()[:200])], "record_id long, t_ms long, text string")
-    return diary.unionByName(entry.crossJoin(diary.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))).select(diary.columns))
+    return diary.unionByName(entry.crossJoin(own.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))).select(diary.columns))
 
 
-def remove_event(diary: DataFrame, event_id: int) -> DataFrame:
-    return diary.filter(F.col("id") != event_id)
+def remove_event(diary: DataFrame, record_id: int, event_id: int) -> DataFrame:
+    return diary.filter((F.col("record_id") != record_id) | (F.col("id") != event_id))
 
 
 def set_template_label(log: DataFrame, members: DataFrame, label: str | None) -> DataFrame:

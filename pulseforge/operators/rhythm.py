@@ -135,7 +135,7 @@ day_night_hr = operator(
     SELECT record_id, round(avg(CASE WHEN hour < 6 THEN hr END), 4) AS night, round(avg(CASE WHEN hour >= 8 AND hour < 22 THEN hr END), 4) AS day
     FROM (SELECT record_id, hr, ((m * 60000 + 30000 + {start_ms}) div 3600000) % 24 AS hour FROM {minutes}) a GROUP BY record_id
     """,
-    start_ms=28800000,
+    start_ms=29700000,
 )
 
 af_screen = operator(

@@ -96,6 +96,7 @@ SPELLING = [
     (r"\bpercentile\(", "quantile_cont("),
     (r"\bbround\(", "round_even("),
     (r"\bexplode\(sequence\(", "unnest(generate_series("),
+    (r"\bexplode\(array\(([^()]*)\)\)", r"unnest([\1])"),
     (r"\bjoined_set\(([^()]*)\)", r"array_to_string(list_sort(list(DISTINCT \1)), ', ')"),
     (r"\bmillis\((\w+)\)", r"(epoch_us(\1) // 1000)"),
     (r"\bprop\((\w+)\)", r"CAST(json_extract_string(\1, '$.k') AS BIGINT)"),

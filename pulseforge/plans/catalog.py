@@ -98,7 +98,8 @@ def review_plans() -> dict[str, Plan]:
     long_shaped = A.family_evidence.on(audit=long_audit, family=long_family)
     long_timed = A.schedule_evidence.on(audit=long_shaped, on_time=A.on_time.on(rr=long_rr))
     merged = E.merge_beats.on(device=long, inserted=inserted, labels=labels)
-    effective = E.effective_audits.on(beat=merged, audit=long_timed)
+    all_features = A.stand_in_features.on(beat=long, rhythm=R.rhythm_ref.on(rr=long_rr), which="true")
+    effective = E.effective_audits.on(beat=merged, audit=long_timed, features=all_features)
     merged_rr = R.rr.on(beat=merged)
     gaps = X.long_intervals.on(rr=merged_rr)
     missing = X.missed_candidates.on(rr=merged_rr, context=R.rr_context.on(rr=merged_rr))
@@ -118,15 +119,28 @@ def review_plans() -> dict[str, Plan]:
     hours = S.hour_spine.on(span=span)
     per_minute = R.per_minute_counts.on(spine=R.minute_spine.on(span=span), beat=long)
     counts = S.verdict_counts.on(audit=effective)
-    cards = S.stats_cards.on(counts=counts)
-    score = S.family_score.on(family=long_family, audit=long_shaped)
-    long_shapes = S.morphologies.on(audit=long_shaped)
-    ranked = S.strip_rank.on(audit=long_shaped, features=long_features, morphologies=long_shapes, episode=episode)
-    mean = R.hr_mean.on(filtered=Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": nn}))
+    by_hand = S.hand_labels.on(family=long_family, labels=labels)
+    score = S.family_score.on(family=long_family, audit=long_timed, by_hand=by_hand)
+    families = S.family_summary.on(family=long_family, audit=long_timed)
+    long_shapes = S.morphologies.on(audit=effective)
+    ranked = S.strip_rank.on(audit=effective, morphologies=long_shapes, episode=episode)
+    # Variability is that of the device's labels, the mean rate that of the merged beats.
+    hrv = R.hrv.on(filtered=Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": nn}))
+    merged_nn = R.nn_intervals.on(rr=merged_rr)
+    mean = R.hr_mean.on(filtered=Folded(R.malik_filter, R.MALIK_RECURSIVE, {"nn": merged_nn}))
+    extremes = R.hr_extremes.on(windows=R.hr_windows.on(beat=merged))
+    sinus = S.strip_sinus.on(minutes=asleep, mean=mean, noise=noise)
+    totals = S.beat_totals.on(beat=merged)
+    edits = E.edit_counts.on(span=span, labels=labels, inserted=inserted, spans=spans)
+    overview = V.overview.on(minutes=minutes, counts=per_minute, audit=effective)
+    summary = V.summary.on(
+        span=span, device=S.device_counts.on(beat=long), total=totals, audited=S.audited_counts.on(audit=effective), clean=S.clean_pct.on(noise=noise), pauses=S.pauses.on(rr=merged_rr, episode=episode), burden=burden,
+        extremes=extremes, day_night=R.day_night_hr.on(minutes=minutes), sleep_wake=R.sleep_wake_hr.on(minutes=asleep), pct=R.hr_pct.on(nn=merged_nn),
+    )
+    hourly_sums = S.bin_sums.on(overview=overview, minutes=60)
     return {
         "audit_features": features,
         "audit_verdict": audit,
-        "audit_all": A.audit_verdict.on(features=features),
         "family_evidence": shaped,
         "on_time": timed,
         "schedule_evidence": A.schedule_evidence.on(audit=shaped, on_time=timed),
@@ -141,7 +155,7 @@ def review_plans() -> dict[str, Plan]:
         "export_beats": E.export_beats.on(beat=merged),
         "beat_info": E.beat_info.on(beat=merged, audit=effective),
         "beats_window": E.beats_window.on(beat=merged),
-        "edit_counts": E.edit_counts.on(labels=labels, inserted=inserted, spans=spans),
+        "edit_counts": edits,
         "noise_at": X.noise_at.on(interval=gaps, noise=noise),
         "ep_pause": pause,
         "ep_v_run": v_run,
@@ -164,39 +178,37 @@ def review_plans() -> dict[str, Plan]:
         "v_burden": burden,
         "morphologies": long_shapes,
         "vt_runs": vt,
-        "criteria": S.criteria.on(burden=burden, episode=episode, vt=vt, af=R.af_screen.on(nn=R.nn_intervals.on(rr=merged_rr))),
+        "criteria": S.criteria.on(burden=burden, episode=episode, vt=vt, af=R.af_screen.on(nn=merged_nn)),
         "density_class": S.density_class.on(burden=burden),
         "circadian_type": S.circadian_type.on(minutes=asleep, audit=effective),
         "hourly": S.hourly.on(hours=hours, beat=merged, minutes=asleep, audit=effective, episode=episode, noise=noise),
         "kept_in": S.kept_in.on(episode=episode, audit=effective),
-        "auto_strips": S.auto_strips.on(extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=merged)), episode=episode, ranked=ranked, diary=diary, span=span),
+        "auto_strips": S.auto_strips.on(sinus=sinus, extremes=extremes, minutes=asleep, episode=episode, ranked=ranked, diary=diary, span=span),
         "strip_rank": ranked,
-        "strip_sinus": S.strip_sinus.on(minutes=asleep, mean=mean, noise=noise),
+        "strip_sinus": sinus,
         "templates_list": S.templates_list.on(family=long_family, labels=labels),
         "template_hours": S.template_hours.on(family=long_family, span=span),
         "template_beats": S.template_beats.on(family=long_family),
-        "family_summary": S.family_summary.on(family=long_family, audit=long_audit),
+        "family_summary": families,
+        "hand_labels": by_hand,
         "family_sample": S.family_sample.on(family=long_family),
         "family_score": score,
         "bucket_counts": S.bucket_counts.on(score=score),
         "in_bucket": S.in_bucket.on(score=score),
-        "bin_sums": S.bin_sums.on(counts=per_minute),
-        "hourly_sums": S.bin_sums.on(counts=per_minute, minutes=60),
+        "bin_sums": S.bin_sums.on(overview=overview),
+        "hourly_sums": hourly_sums,
         "hr_bounds": S.hr_bounds.on(minutes=minutes),
         "night_minutes": S.night_minutes.on(minutes=minutes),
-        "peak_hour": S.peak_hour.on(hours=S.bin_sums.on(counts=per_minute, minutes=60)),
-        "stats_cards": cards,
-        "dumbbell": S.dumbbell.on(cards=cards),
-        "overview": V.overview.on(minutes=minutes, counts=per_minute, audit=effective),
-        "summary": V.summary.on(
-            span=R.span.on(beat=merged), device=S.device_counts.on(beat=merged), audited=S.audited_counts.on(audit=effective), clean=S.clean_pct.on(noise=noise), pauses=S.pauses.on(rr=merged_rr, episode=episode), burden=burden,
-            extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=merged)), day_night=R.day_night_hr.on(minutes=minutes), sleep_wake=R.sleep_wake_hr.on(minutes=asleep), pct=R.hr_pct.on(nn=R.nn_intervals.on(rr=merged_rr)),
-        ),
-        "header": V.header.on(records=V.stand_in_records.on(beat=long), span=R.span.on(beat=merged), counted=S.device_counts.on(beat=merged)),
+        "peak_hour": S.peak_hour.on(hours=hourly_sums),
+        "stats_cards": S.stats_cards.on(mean=mean, hrv=hrv, summary=summary, morphologies=long_shapes, counts=counts, edits=edits),
+        "dumbbell": S.dumbbell.on(summary=summary, episode=episode),
+        "overview": overview,
+        "summary": summary,
+        "header": V.header.on(records=V.stand_in_records.on(beat=long), span=span, counted=totals),
         "hours_note": V.hours_note.on(hours=S.template_hours.on(family=long_family, span=span)),
-        "top_reason": V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_audit)),
+        "top_reason": V.top_reason.on(summary=families),
         "verdict_ru": V.verdict_ru.on(audit=effective),
-        "verdict_text": V.verdict_text.on(score=score, reasons=V.top_reason.on(summary=S.family_summary.on(family=long_family, audit=long_shaped))),
+        "verdict_text": V.verdict_text.on(score=score, reasons=V.top_reason.on(summary=families)),
         "feat_rows": V.feat_rows.on(features=features),
         "hr_ticks": V.hr_ticks.on(bounds=S.hr_bounds.on(minutes=minutes)),
         "clamp_range": V.clamp_range.on(episode=episode, span=span),
@@ -296,40 +308,46 @@ def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ecg_window(signal, [0, 1, 6], 60, 10, FS, MV, calibrated(beats, signal, FS, MV, n))
 
 
+def _rates(spark: SparkSession, sf_dir: str, p: dict[str, Plan], made: dict) -> tuple[DataFrame, DataFrame]:
+    """Variability of the device's labels, and the mean rate of the merged beats."""
+    filtered = lambda beat: R.malik_filter(R.nn_intervals.on(rr=R.rr.on(beat=beat)).frame(spark, sf_dir, made))
+    return R.hrv(filtered=filtered(B.long_records)), R.hr_mean(filtered=filtered(p["merge_beats"]))
+
+
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, made = review_plans(), {}
     get = lambda name: p[name].frame(spark, sf_dir, made)
     summary, records = get("summary"), V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
-    filtered = R.malik_filter(R.nn_intervals.on(rr=R.rr.on(beat=p["merge_beats"])).frame(spark, sf_dir, made))
+    hrv, mean = _rates(spark, sf_dir, p, made)
     rates = summary.select("record_id", "hr_min", "min_at_s", "hr_max", "max_at_s", "night", "day", "sleep", "wake", "pct_over_100", "pct_under_50")
     one = {
         "record": summary.select("record_id", "duration_s", "beats", "clean_pct").join(records.select("record_id", "start"), "record_id"),
         "patient": records.select("record_id", "sex", "age"),
-        "hr": rates.join(R.hr_mean(filtered=filtered).withColumnRenamed("hr", "mean"), "record_id", "left"),
-        "hrv": R.hrv(filtered=filtered),
-        "counts": summary.select("record_id", "device_n", "device_v", "device_s", "kept_v", "v_likely", "kept_s", "pauses_device", "pauses_real"),
+        "hr": rates.join(mean.withColumnRenamed("hr", "mean"), "record_id", "left"),
+        "hrv": hrv,
+        "counts": summary.select("record_id", "device_n", "device_v", "device_s", "kept_v", "v_likely", "kept_s", "pauses_device", "pauses_real").join(get("edit_counts"), "record_id", "left"),
     }
     edits = {"events": "event_context", "manual_labels": "latest_labels", "manual_quality": "live_spans"}
-    return exports.export_json(get("export_beats"), get("ep_order"), get("verdict_counts"), get("criteria"), one, {k: get(v) for k, v in edits.items()})
+    many = {k: get(v) for k, v in edits.items()} | {"manual_added": get("merge_beats").filter("origin < 0").select("record_id", "t_ms", "label")}
+    return exports.export_json(get("export_beats"), get("ep_order"), get("verdict_counts"), get("criteria"), one, many)
 
 
 def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, made = review_plans(), {}
     get = lambda name: p[name].frame(spark, sf_dir, made)
-    filtered = R.malik_filter(R.nn_intervals.on(rr=R.rr.on(beat=p["merge_beats"])).frame(spark, sf_dir, made))
     records = V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
-    return report.summary_rows(records, get("summary"), R.hrv(filtered=filtered), R.hr_mean(filtered=filtered), get("ep_order"))
+    return report.summary_rows(records, get("summary"), *_rates(spark, sf_dir, p, made), get("ep_order"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = review_plans() | rhythm_plans()
-    get = lambda name: p[name].frame(spark, sf_dir)
-    long = B.long_records
-    nn = R.nn_intervals.on(rr=R.rr.on(beat=long))
-    filtered = R.malik_filter(nn.frame(spark, sf_dir))
+    p, made = review_plans(), {}
+    get = lambda name: p[name].frame(spark, sf_dir, made)
+    hrv, mean = _rates(spark, sf_dir, p, made)
+    of = lambda step: step.frame(spark, sf_dir, made)
+    merged = p["merge_beats"]
     return report.sections(
-        span=R.span.on(beat=long).frame(spark, sf_dir), device=S.device_counts.on(beat=long).frame(spark, sf_dir), audited=get("audited_counts"), burden=get("v_burden"), episodes=get("ep_order"), hrv=R.hrv(filtered=filtered), mean=R.hr_mean(filtered=filtered),
-        extremes=R.hr_extremes.on(windows=R.hr_windows.on(beat=long)).frame(spark, sf_dir), pct=R.hr_pct.on(nn=nn).frame(spark, sf_dir), pauses=get("pauses"),
+        span=of(R.span.on(beat=B.long_records)), device=of(S.device_counts.on(beat=B.long_records)), audited=get("audited_counts"), burden=get("v_burden"), episodes=get("ep_order"), hrv=hrv, mean=mean,
+        extremes=of(R.hr_extremes.on(windows=R.hr_windows.on(beat=merged))), pct=of(R.hr_pct.on(nn=R.nn_intervals.on(rr=R.rr.on(beat=merged)))), pauses=get("pauses"),
     )
 
 

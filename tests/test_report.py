@@ -39,7 +39,7 @@ def test_summary_rows(spark):
 def test_header(spark):
     records = spark.createDataFrame([(1, START, "M", 21), (2, START, "F", 112), (3, START, None, None)], "record_id long, start timestamp_ntz, sex string, age long")
     span = spark.createDataFrame([(i, 90061999) for i in (1, 2, 3)], "record_id long, total_ms long")
-    counted = spark.createDataFrame([(i, 99000, 200, 26) for i in (1, 2, 3)], "record_id long, n long, v long, s long")
+    counted = spark.createDataFrame([(i, 99226) for i in (1, 2, 3)], "record_id long, beats long")
     rows = {r.record_id: r for r in views.header(records=records, span=span, counted=counted).collect()}
     assert [(rows[i].sex_ru, rows[i].age_ru) for i in (1, 2, 3)] == [("муж.", "21 год"), ("жен.", "112 лет"), ("", "")]
     assert (rows[1].begins, rows[1].ends, rows[1].duration, rows[1].beats) == ("01.01.2024 23:30", "03.01.2024 00:31", "25 ч 1 мин", "99 226")
