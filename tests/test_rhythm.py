@@ -93,7 +93,7 @@ def test_schedule_evidence(spark):
     ks = sorted(r.sample(range(400), 300))
     verdicts = {k: r.choice(["likely", "uncertain", "noisy", "manual", "narrow", "likely", "uncertain"]) for k in ks}
     on = {k: r.random() < 0.7 for k in range(400)}
-    audit = spark.createDataFrame([(0, k, k, "S", v, 0.5) for k, v in verdicts.items()], "record_id long, k long, t_ms long, label string, verdict string, confidence double")
+    audit = spark.createDataFrame([(0, k, k, "S", 1, 0.5, v, 0.5) for k, v in verdicts.items()], "record_id long, k long, t_ms long, label string, family long, family_n_frac double, verdict string, confidence double")
     time = spark.createDataFrame([(0, k, v) for k, v in on.items()], "record_id long, k long, on_time boolean")
     assert {x["k"]: x["verdict"] for x in A.schedule_evidence(audit=audit, on_time=time).collect()} == cascade(verdicts, on)
 
