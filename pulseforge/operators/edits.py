@@ -68,6 +68,24 @@ touched_beats = operator(
     """
 )
 
+#: Features of the touched beats under the windows of noise as the spans leave them (the last window serves what lies beyond it);
+#: nothing else of a feature depends on spans, so no sample is read again. Stored windows have two decimals.
+reaudit_features = operator(
+    """
+    SELECT f.record_id, f.k, f.t_ms, f.label, f.rr_pre, f.rr_post, f.edge, f.amp_ratio, f.noise_ratio, f.noise_mv, f.ref_amp, round(n.sharp, 2) AS win_noise, f.width_ms, f.sinus_width, f.width_ratio, f.prematurity
+    FROM {features} f JOIN {touched} t ON f.record_id = t.record_id AND f.k = t.k JOIN (SELECT record_id, max(w) AS last_w FROM {noise} GROUP BY record_id) l ON f.record_id = l.record_id
+    JOIN {noise} n ON f.record_id = n.record_id AND n.w = least(f.t_ms div 2000, l.last_w)
+    """
+)
+
+#: Audits with those of the fresh ones in place of their own, by key
+replaced_audits = operator(
+    """
+    SELECT a.record_id, a.k, a.t_ms, a.label, a.family, a.family_n_frac, a.before, a.verdict, a.confidence FROM {audit} a LEFT JOIN {fresh} f ON a.record_id = f.record_id AND a.k = f.k WHERE f.k IS NULL
+    UNION ALL SELECT record_id, k, t_ms, label, family, family_n_frac, before, verdict, confidence FROM {fresh}
+    """
+)
+
 #: What the rhythm did within 120 s of each diary entry. The intervals that enter and leave the band count too. Entries and what
 #: is near them meet in stretches b of 120 s, counted from 120 s before the record; what lies in several counts in the first that both are in.
 event_context = operator(

@@ -3,9 +3,12 @@ k counting from 0 by time; every window runs over one record, which is what the
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .sql import operator
 
@@ -170,20 +173,120 @@ runs = operator(
 )
 
 
+#: Time that a segment of the Malik filter spans: with intervals above 300 ms it has 6000 of them at most.
+SEGMENT_MS = 1_800_000
+
+
+def far(v: np.ndarray | int, last: np.ndarray | int) -> np.ndarray | bool:
+    """Whether an interval is more than a fifth away from the last kept one."""
+    return abs(v - last) / last > 0.2
+
+
+def kept_after(nn: np.ndarray, last: int | None) -> tuple[np.ndarray, int | None]:
+    """Which of a segment's intervals are kept where last was the last kept before it, and the last kept after it.
+
+    Only where an interval is far from the one before does the fold have to look: from there to the next kept one.
+    """
+    kept, k, n = np.ones(len(nn), bool), 0, len(nn)
+    if not n:
+        return kept, last
+    jumps = np.r_[last is not None and far(nn[0], last), far(nn[1:], nn[:-1])]
+    at = np.flatnonzero(jumps)
+    while True:
+        i = np.searchsorted(at, k)
+        if i == len(at):
+            return kept, int(nn[-1])
+        k = int(at[i])
+        held = last if k == 0 else int(nn[k - 1])
+        off = far(nn[k:], held)
+        back = int(off.argmin()) if not off.all() else n - k
+        kept[k : k + back] = False
+        k += back
+        if k == n:
+            return kept, held
+        k += 1  # the interval at k is kept, whatever the one before was
+
+
+def ends_of(nn: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The last kept interval after a segment, by the last kept before it: one value once all agree."""
+    last = states
+    for j, v in enumerate(nn.tolist()):
+        last = np.where(far(v, last), last, v)
+        if (last == last[0]).all():
+            return np.array([kept_after(nn[j + 1 :], int(last[0]))[1]])
+    return last
+
+
+def in_segments(df: DataFrame, keys: list[str], run: Callable[[tuple, pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """run(key, rows in order of k) for each group of keys, whose rows one task streams: a group is as large as run's input, a task has any number of them."""
+    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *(["k"] if "k" in df.columns else []))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for x, y in zip([0, *new], [*new, b.num_rows], strict=True):
+                own = tuple(c[x] for c in columns)
+                if held and own != key:
+                    if (out := run(key, joined(held))) is not None:
+                        yield out
+                    held = []
+                key = own
+                held.append(b.slice(x, y - x))
+        if held and (out := run(key, joined(held))) is not None:
+            yield out
+
+    return sorted_rows.mapInArrow(stream, schema)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def malik_filter(nn: DataFrame) -> DataFrame:
-    """nn (record_id, k, t_ms, nn) with kept: no more than a fifth away from the last kept interval. A fold in time order, one record at a time."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("k")
-        kept, last = np.ones(len(frame), bool), None
-        for j, v in enumerate(frame["nn"].tolist()):
-            if last is not None and abs(v - last) > 0.2 * last and abs(v - last) / last > 0.2:
-                kept[j] = False
-            else:
-                last = v
-        return frame.assign(kept=kept)
-
-    return nn.select("record_id", "k", "t_ms", "nn").groupBy("record_id").applyInPandas(fold, "record_id long, k long, t_ms long, nn long, kept boolean")
+    """nn (record_id, k, t_ms, nn) with kept: no more than a fifth away from the last kept interval, in the order of k.
+
+    A fold in time order that no task makes of a whole record: segments of SEGMENT_MS are run from every state that may enter
+    them until all states agree; a scan over one row per segment then gives the state that does enter each, and each is run
+    once more from it. Of a record that lies in one segment, the state is known.
+    """
+    rows = nn.select("record_id", "k", "t_ms", "nn", F.expr(f"t_ms div {SEGMENT_MS}").alias("segment"))
+    bounds = nn.agg(F.min("nn"), F.max("nn")).first()
+    low, high = bounds[0] or 1, bounds[1] or 1
+    segments = rows.groupBy("record_id").agg(F.min("segment").alias("first"), F.max("segment").alias("final"))
+    # What comes after a record's last segment is of no use to anyone.
+    inner = rows.join(segments.filter("first < final"), "record_id").filter("segment < final")
+
+    def ends(key: tuple, b: pa.RecordBatch) -> pa.RecordBatch:
+        v = b.column("nn").to_numpy().astype(np.int64)
+        found = np.array([kept_after(v, None)[1]]) if b.column("first")[0].as_py() == key[1] else ends_of(v, np.arange(low, high + 1))
+        return pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in key] + [pa.array([found.tolist()], pa.list_(pa.int64()))], names=["record_id", "segment", "ends"])
+
+    def entering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record = state = None
+        for b in batches:
+            out = []
+            for r, s, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                state = e[0] if len(e) == 1 or r != record else e[state - low]
+                record = r
+                out.append((r, s, state))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["record_id", "after", "last"])
+
+    summaries = in_segments(inner.select("record_id", "segment", "k", "nn", "first"), ["record_id", "segment"], ends, "record_id long, segment long, ends array<long>")
+    passed = summaries.repartition("record_id").sortWithinPartitions("record_id", "segment").mapInArrow(entering, "record_id long, after long, last long")
+    # The state after a segment enters the record's next one that has intervals.
+    following = rows.select("record_id", "segment").distinct().withColumn("after", F.lag("segment").over(Window.partitionBy("record_id").orderBy("segment"))).filter("after is not null")
+    states = following.join(passed, ["record_id", "after"]).select("record_id", "segment", "last")
+
+    def fold(key: tuple, b: pa.RecordBatch) -> pa.RecordBatch:
+        kept, _ = kept_after(b.column("nn").to_numpy().astype(np.int64), b.column("last")[0].as_py())
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("record_id", "k", "t_ms", "nn")), pa.array(kept)], names=["record_id", "k", "t_ms", "nn", "kept"])
+
+    return in_segments(rows.join(states, ["record_id", "segment"], "left"), ["record_id", "segment"], fold, "record_id long, k long, t_ms long, nn long, kept boolean")
 
 
 #: The same fold step by step, for engines with recursive queries

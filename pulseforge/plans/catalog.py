@@ -21,7 +21,7 @@ from ..operators.sql import Plan, SqlOperator, Table, operator
 from ..sources import bindings as B
 from ..sources import exports, synthetic
 from . import report
-from .record import audited_record, calibrated
+from .record import audited_record, calibrated, reaudited
 
 
 class Folded(Plan):
@@ -96,10 +96,15 @@ def review_plans() -> dict[str, Plan]:
     long_features = A.stand_in_features.on(beat=long, rhythm=R.rhythm_ref.on(rr=long_rr))
     long_audit = A.audit_verdict.on(features=long_features)
     long_shaped = A.family_evidence.on(audit=long_audit, family=long_family)
-    long_timed = A.schedule_evidence.on(audit=long_shaped, on_time=A.on_time.on(rr=long_rr))
+    long_on_time = A.on_time.on(rr=long_rr)
+    long_timed = A.schedule_evidence.on(audit=long_shaped, on_time=long_on_time)
+    # Beats under quality spans are audited anew; the rest of the review sees these audits.
+    touched = E.touched_beats.on(beat=long, spans=spans)
+    fresh = A.family_evidence.on(audit=A.audit_verdict.on(features=E.reaudit_features.on(features=long_features, touched=touched, noise=noise)), family=long_family)
+    renewed = A.schedule_evidence.on(audit=E.replaced_audits.on(audit=long_timed, fresh=fresh), on_time=long_on_time)
     merged = E.merge_beats.on(device=long, inserted=inserted, labels=labels)
     all_features = A.stand_in_features.on(beat=long, rhythm=R.rhythm_ref.on(rr=long_rr), which="true")
-    effective = E.effective_audits.on(beat=merged, audit=long_timed, features=all_features)
+    effective = E.effective_audits.on(beat=merged, audit=renewed, features=all_features)
     merged_rr = R.rr.on(beat=merged)
     gaps = X.long_intervals.on(rr=merged_rr)
     missing = X.missed_candidates.on(rr=merged_rr, context=R.rr_context.on(rr=merged_rr))
@@ -149,7 +154,9 @@ def review_plans() -> dict[str, Plan]:
         "merge_beats": merged,
         "effective_audits": effective,
         "apply_quality": noise,
-        "touched_beats": E.touched_beats.on(beat=long, spans=spans),
+        "touched_beats": touched,
+        "fresh_audits": fresh,
+        "reaudited": renewed,
         "event_context": E.event_context.on(diary=diary, rr=merged_rr, audit=effective, episode=episode, noise=noise),
         "insertable": E.insertable.on(wanted=inserted, beat=long),
         "export_beats": E.export_beats.on(beat=merged),
@@ -261,7 +268,14 @@ def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heavy_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that depends on a record alone, up to audited labels: windows, noise, measures, families, evidence."""
     beats, signal, n = _record(spark, sf_dir)
-    return audited_record(beats, signal.persist(), FS, MV, n)  # made once for three kernels
+    return audited_record(beats, signal.persist(), FS, MV, n).audit  # made once for three kernels
+
+
+def record_reaudited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy pass under quality spans, from samples."""
+    beats, signal, n = _record(spark, sf_dir)
+    spans = E.live_spans(log=E.stand_in_spans.on(beat=B.long_records).frame(spark, sf_dir))
+    return reaudited(audited_record(beats, signal.persist(), FS, MV, n), spans)
 
 
 def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +366,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that no SQL form is given for
-KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, beat_families, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, record_reaudited, beat_families, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
 
 
 def plans() -> dict[str, Plan]:

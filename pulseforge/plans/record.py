@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import python_round
 from ..operators import audit as A
+from ..operators import edits as E
 from ..operators import morphology as M
 from ..operators import rhythm as R
 from ..operators import signal as G
@@ -56,7 +59,34 @@ def calibrated(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths:
     return calibration(measures, sampled.drop("t_ms"), G.window_metrics(signal, fs, mv))
 
 
-def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> DataFrame:
+@dataclass
+class HeavyPass:
+    """The tables that depend on records alone, which edits are applied to."""
+
+    beats: DataFrame  #: record_id, k, t_ms, label
+    noise: DataFrame  #: record_id, w, noise, sharp
+    features: DataFrame  #: of the audited beats
+    family: DataFrame  #: record_id, k, t_ms, label, family
+    on_time: DataFrame  #: record_id, k, t_ms, label, on_time
+    audit: DataFrame  #: record_id, k, t_ms, label, family, family_n_frac, before, verdict, confidence
+
+
+def reaudited(base: HeavyPass, spans: DataFrame) -> DataFrame:
+    """base.audit under live quality spans (record_id, seq, t0_ms, t1_ms, v).
+
+    Beats that spans touch, and their neighbours, are audited anew, with the evidence of their families; then the schedule runs
+    over the records that have any. All other records keep their rows. A span that is taken back leaves base.audit as it was.
+    """
+    touched = E.touched_beats(beat=base.beats, spans=spans)
+    noise = E.apply_quality(noise=base.noise, spans=spans)
+    fresh = A.family_evidence(audit=A.audit_verdict(features=E.reaudit_features(features=base.features, touched=touched, noise=noise)), family=base.family)
+    changed = touched.select("record_id").distinct()
+    own = lambda df, how="left_semi": df.join(changed, "record_id", how)
+    again = A.schedule_evidence(audit=E.replaced_audits(audit=own(base.audit), fresh=fresh), on_time=own(base.on_time))
+    return own(base.audit, "left_anti").unionByName(again)
+
+
+def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> HeavyPass:
     windows = G.window_metrics(signal, fs, mv)
     noise = G.noise_score(windows=windows)
     base = windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
@@ -66,4 +96,5 @@ def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, leng
     features = audit_features(beats, measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=R.rr(beat=beats)))
     family = M.cluster(M.beat_windows(signal, beats, fs, mv, lengths))
     shaped = A.family_evidence(audit=A.audit_verdict(features=features), family=family)
-    return A.schedule_evidence(audit=shaped, on_time=A.on_time(rr=R.rr(beat=beats)))
+    on_time = A.on_time(rr=R.rr(beat=beats))
+    return HeavyPass(beats, noise, features, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time))

@@ -76,6 +76,44 @@ def test_against_loops(spark, seed):
     assert len(median) == len(gaps) - 16
 
 
+def plain_malik(nn):
+    kept, last = [], None
+    for v in nn:
+        kept.append(last is None or abs(v - last) / last <= 0.2)
+        last = v if kept[-1] else last
+    return kept
+
+
+def test_malik_filter_of_long_records(spark, monkeypatch):
+    """Records of many segments, one whose states never agree in a segment, one without intervals for a while, and short ones."""
+    monkeypatch.setattr(R, "SEGMENT_MS", 20_000)
+    r = random.Random(9)
+    made = {0: [r.choice([500, 560, 610, 700, 900, 1400]) for _ in range(900)], 1: [r.choice([400, 1900]) for _ in range(300)], 2: [800], 3: [r.randrange(301, 2000) for _ in range(500)]}
+    made[4] = [600] * 20 + [1000] * 200 + [650] * 3
+    rows, want = [], {}
+    for record, nn in made.items():
+        t = np.cumsum(nn) + np.where(np.arange(len(nn)) > len(nn) // 2, 90_000 * record, 0)
+        rows += [(record, k, int(x), v) for k, (x, v) in enumerate(zip(t, nn, strict=True))]
+        want |= {(record, k): x for k, x in enumerate(plain_malik(nn))}
+    got = R.malik_filter(spark.createDataFrame(rows, "record_id long, k long, t_ms long, nn long").repartition(5)).collect()
+    assert {(x["record_id"], x["k"]): x["kept"] for x in got} == want and len(got) == len(rows)
+    assert 0 < sum(want.values()) < len(want)
+    assert R.malik_filter(spark.createDataFrame([], "record_id long, k long, t_ms long, nn long")).collect() == []
+
+
+def test_segments_of_the_malik_filter():
+    r = random.Random(2)
+    for _ in range(300):
+        nn = np.array([r.choice([400, 470, 480, 481, 600, 1100, 1321]) for _ in range(r.randrange(1, 12))])
+        states = np.arange(301, 2000)
+        ends = R.ends_of(nn, states)
+        for last in (301, 400, 555, 1099, 1999):
+            kept, end = R.kept_after(nn, last)
+            plain = plain_malik([last, *nn.tolist()])
+            assert kept.tolist() == plain[1:] and end == [last, *nn.tolist()][max(k for k, ok in enumerate(plain) if ok)]
+            assert (ends[0] if len(ends) == 1 else ends[last - 301]) == end
+
+
 def cascade(verdicts, timed):
     """The schedule's evidence beat by beat: verdicts by index, changed from left to right."""
     out = dict(verdicts)
