@@ -1,4 +1,6 @@
-"""Exports: CSV rows, NPY, EDF+ and SVG files as bytes, JSON of a whole record, a keyed cache of what edits do not touch."""
+"""Exports: CSV rows, NPY, EDF+ and SVG files as bytes, JSON of a whole record, a keyed cache of what edits do not touch.
+
+The functions that take a path read one local file; sources.files writes the same bytes for any number of records, from chunks."""
 
 from __future__ import annotations
 
@@ -27,6 +29,10 @@ def npy_bytes(path: str, record: Record, start_s: float = 0, dur_s: float | None
     return out.getvalue()
 
 
+#: What recorded the signal, and the leads, as the header names them
+RECORDER, LIMB_LEAD, CHEST_LEAD = "Holter_ECG", "Holter limb lead", "Holter chest lead, position not verified"
+
+
 def edf_head(record: Record, seconds: int, fs: int) -> bytes:
     """Header of EDF+C with one-second records. Widths and texts are fixed values of the format; signal fields lie field by field."""
     n, card, lsb = len(record.leads), record.patient, record.avm_nv / 1e6
@@ -36,7 +42,7 @@ def edf_head(record: Record, seconds: int, fs: int) -> bytes:
     text = {
         "version": (8, "0"),
         "patient": (80, " ".join((str(card.get("patient_id", "X")), str(card.get("sex", "X")), edf_date(card.get("dob")), name or "X"))),
-        "recording": (80, f"Startdate {edf_date(card.get('acq_date'), '01-JAN-1985')} X X LabTech_EC-12H"),
+        "recording": (80, f"Startdate {edf_date(card.get('acq_date'), '01-JAN-1985')} X X {RECORDER}"),
         "date": (8, f"{day}.{month}.{year[2:]}"),
         "time": (8, began[11:].replace(":", ".")),
         "bytes": (8, str(256 * (n + 1))),
@@ -45,10 +51,9 @@ def edf_head(record: Record, seconds: int, fs: int) -> bytes:
         "length": (8, "1"),
         "signals": (4, str(n)),
     }
-    chest = "Holter chest; order unverified; with --invert ascending V1..V6 fits, else V6..V1"
     signals = {
         "label": (16, record.leads),
-        "transducer": (80, ["Holter limb" if i < len(LIMB) else chest for i in range(n)]),
+        "transducer": (80, [LIMB_LEAD if i < len(LIMB) else CHEST_LEAD for i in range(n)]),
         "unit": (8, ["mV"] * n),
         "least": (8, [f"{-32768 * lsb:.4f}"] * n),
         "most": (8, [f"{32767 * lsb:.4f}"] * n),
@@ -80,13 +85,17 @@ def edf_bytes(path: str, record: Record, start_s: float = 0, dur_s: float | None
 def svg_text(path: str, record: Record, start_s: float = 0, dur_s: float = 10, leads: list[str] | None = None, mm_s: float = 25, mm_mv: float | None = None, px: float = 3.0, row_mm: float = 20) -> str:
     """A strip on millimetre paper in user units of a millimetre: a lane per lead around its median, all at one gain that fits them."""
     pick = [record.leads.index(name) for name in leads or record.leads]
-    x = read_mv(path, record, start_s, dur_s)[pick]
+    return strip(read_mv(path, record, start_s, dur_s)[pick], [record.leads[c] for c in pick], record.fs, start_s, dur_s, mm_s, mm_mv, px, row_mm)
+
+
+def strip(x: np.ndarray, names: list[str], fs: float, start_s: float = 0, dur_s: float = 10, mm_s: float = 25, mm_mv: float | None = None, px: float = 3.0, row_mm: float = 20) -> str:
+    """The strip of samples x in mV, leads by samples."""
     x = x - np.median(x, axis=1, keepdims=True)
     gain = mm_mv or 0.45 * row_mm / max(float(np.abs(x).max(initial=0)), 1e-3)
-    width, height = dur_s * mm_s, row_mm * len(pick)
-    at = np.arange(x.shape[1]) / record.fs * mm_s
+    width, height = dur_s * mm_s, row_mm * len(names)
+    at = np.arange(x.shape[1]) / fs * mm_s
     lanes = []
-    for row, (name, y) in enumerate(zip((record.leads[c] for c in pick), x, strict=True)):
+    for row, (name, y) in enumerate(zip(names, x, strict=True)):
         dots = " ".join(map("{:.2f},{:.2f}".format, at, row_mm * (row + 0.5) - y * gain))
         lanes.append(f'<polyline class="trace" points="{dots}"/><text x="1" y="{row_mm * row + 4:g}">{name}</text>')
     return (
