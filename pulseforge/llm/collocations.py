@@ -19,12 +19,12 @@ candidates, the result is empty. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, in_batches, running_sums, slices, stored, utf8
 
 LEAST, LONGEST, COVER, TOP, FACTOR = 30, 4, 80, 2000, 2_000_000
-#: Words that a task counts before it sends them; keys of a block; keys aimed at in a range; keys between two of the sample.
-HELD_WORDS, BLOCK_KEYS, RANGE_KEYS, SAMPLE_KEYS = 200_000, 1_000_000, 1_000_000, 1024
+#: Counts of words that a task holds before it sums and sends them; keys of a block; keys aimed at in a range; keys between two of the sample.
+HELD_WORDS, BLOCK_KEYS, RANGE_KEYS, SAMPLE_KEYS = 400_000, 500_000, 500_000, 512
 
 #: Ends of pieces become line feeds, tabs spaces, A-Z a-z; a full stop is then free to stand for an end.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
@@ -58,20 +58,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, word, n) of texts(lang, text), summed by each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
+        seen: dict[str, list[pa.StructArray]] = {}
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, c in seen.items():
-                c.pop(END, None)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+            for lang, parts in seen.items():
+                whole = pa.Table.from_arrays([pa.chunked_array([p.field(c) for p in parts]) for c in (0, 1)], names=["word", "n"]).group_by("word").aggregate([("n", "sum")])
+                for b in whole.filter(pc.not_equal(whole["word"], END)).to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(b.num_rows, np.int64))), b["word"].cast(pa.string()), b["n_sum"]], names=["lang", "word", "n"])
             seen.clear()
 
         for batch in batches:
             for b in slices(batch):
                 for lang, some in by_language(b):
-                    seen.setdefault(lang, Counter()).update(some)
-                if sum(map(len, seen.values())) > HELD_WORDS:
+                    seen.setdefault(lang, []).append(pa.array(some, pa.binary()).value_counts())
+                    size += len(seen[lang][-1])
+                if size > HELD_WORDS:
                     yield from rows()
+                    size = 0
         yield from rows()
 
     return in_batches(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -145,15 +149,19 @@ def blocks(numbered: DataFrame, numbers: Callable[[pa.RecordBatch], Iterator[np.
 
 def with_dictionary(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Blocks of texts(lang, text) by a dictionary (lang, word, id) of a size to be broadcast."""
-    rows = dictionary.select("lang", "word", "id").toArrow()
-    by_lang: dict[str, dict[bytes, int]] = {}
-    for lang, word, number in zip(rows["lang"].to_pylist(), rows["word"].cast(pa.binary()).to_pylist(), rows["id"].to_pylist(), strict=True):
-        by_lang.setdefault(lang, {})[word] = number
-    sent = texts.sparkSession.sparkContext.broadcast(by_lang)
+    rows = dictionary.select("lang", "word", "id").orderBy("lang").toArrow()
+    langs, word, number = rows["lang"].to_pylist(), rows["word"].combine_chunks().cast(pa.binary()), rows["id"].to_numpy()
+    ends = [k for k in range(1, len(langs) + 1) if k == len(langs) or langs[k] != langs[k - 1]]
+    # Arrow's strings and a number each: a worker holds no object per word.
+    sent = texts.sparkSession.sparkContext.broadcast({langs[a]: (word.slice(a, b - a), np.r_[number[a:b], 0]) for a, b in zip([0, *ends], ends, strict=False)})
+    none = pa.array([], pa.binary()), np.zeros(1, np.int64)
 
     def numbers(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for lang, some in by_language(b):
-            yield np.fromiter(map(sent.value.get(lang, {}).get, some, repeat(0)), np.int64, len(some))
+            known, ids = sent.value.get(lang, none)
+            coded = pa.array(some, pa.binary()).dictionary_encode()
+            at = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy()
+            yield ids[at][coded.indices.to_numpy()]
 
     return blocks(texts, numbers)
 
