@@ -61,7 +61,7 @@ class Plan:
         if id(self) not in made:
             inputs = {k: p.frame(spark, sf_dir, made, readers) if isinstance(p, Plan) else p.frame(spark, sf_dir, made) for k, p in self.inputs.items()}
             made[id(self)] = self.made(inputs)
-            if readers.get(id(self), 0) >= 3:
+            if readers.get(id(self), 0) >= 2:
                 made[id(self)] = made[id(self)].persist()
         return made[id(self)]
 

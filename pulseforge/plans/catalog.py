@@ -283,6 +283,13 @@ def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster(M.beat_windows(signal, beats, FS, MV, n))
 
 
+def family_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families with their counts and mean waves, from samples."""
+    beats, signal, n = _record(spark, sf_dir)
+    base = audited_record(beats, signal.persist(), FS, MV, n)
+    return M.family_views(base.family, base.audit, base.windows, FS)
+
+
 def qt_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats, signal, n = _record(spark, sf_dir, leads=(1,))
     return Q.qt_hours(signal, Q.sinus_beats(beat=beats), FS, MV, n)
@@ -366,7 +373,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that no SQL form is given for
-KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, record_reaudited, beat_families, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, record_reaudited, beat_families, family_views, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
 
 
 def plans() -> dict[str, Plan]:

@@ -66,6 +66,7 @@ class HeavyPass:
     beats: DataFrame  #: record_id, k, t_ms, label
     noise: DataFrame  #: record_id, w, noise, sharp
     features: DataFrame  #: of the audited beats
+    windows: DataFrame  #: record_id, k, t_ms, label, window
     family: DataFrame  #: record_id, k, t_ms, label, family
     on_time: DataFrame  #: record_id, k, t_ms, label, on_time
     audit: DataFrame  #: record_id, k, t_ms, label, family, family_n_frac, before, verdict, confidence
@@ -94,7 +95,8 @@ def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, leng
     wanted = beats.filter("label <> 'N'").select("record_id", "k", "t_ms").unionByName(sampled.select("record_id", "k", "t_ms")).distinct()
     measures = G.beat_measures(signal, wanted, fs, mv, lengths)
     features = audit_features(beats, measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=R.rr(beat=beats)))
-    family = M.cluster(M.beat_windows(signal, beats, fs, mv, lengths))
+    shapes = M.beat_windows(signal, beats, fs, mv, lengths)
+    family = M.cluster(shapes)
     shaped = A.family_evidence(audit=A.audit_verdict(features=features), family=family)
     on_time = A.on_time(rr=R.rr(beat=beats))
-    return HeavyPass(beats, noise, features, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time))
+    return HeavyPass(beats, noise, features, shapes, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time))

@@ -88,7 +88,7 @@ def test_spans_are_replayed(spark):
     b, f = frame(beats, "record_id long, k long, t_ms long, label string"), frame([tuple(x.values()) for x in features], kinds)
     fam, n = frame(family, "record_id long, k long, t_ms long, label string, family long"), frame(noise, "record_id long, w long, noise double, sharp double")
     on_time = A.on_time(rr=R.rr(beat=b))
-    base = HeavyPass(b, n, f, fam, on_time, A.schedule_evidence(audit=A.family_evidence(audit=A.audit_verdict(features=f), family=fam), on_time=on_time).cache())
+    base = HeavyPass(b, n, f, fam, fam, on_time, A.schedule_evidence(audit=A.family_evidence(audit=A.audit_verdict(features=f), family=fam), on_time=on_time).cache())
     spans = E.live_spans(log=frame(log, "record_id long, seq long, t0_ms long, t1_ms long, v string"))
     before = {(x["record_id"], x["k"]): x["verdict"] for x in base.audit.collect()}
     after = {(x["record_id"], x["k"]): x["verdict"] for x in reaudited(base, spans).collect()}
