@@ -5,13 +5,16 @@ The functions that take a path read one local file; sources.files writes the sam
 from __future__ import annotations
 
 import io
+import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import edf_date, transliterate
+from ..operators.store import checkpointed
 from .scp import LIMB, Record, read_lead, read_mv, window
 
 
@@ -144,3 +147,25 @@ def cached(spark: SparkSession, folder: str, name: str, key: str, make) -> DataF
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cached_records(spark: SparkSession, folder: str, name: str, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of a table for records under their keys; keys: record_id, key (see base_key), a row per record.
+
+    make(record_id rows) gives the table for records, with record_id; it is called once for all those that are not held under their key,
+    and for these alone. Rows of a call lie in a folder of their own; the keys are written after them, so that a call that fails has
+    made nothing known. A record whose rows are none is held as such. Rows under former keys stay and are not read.
+    """
+    base, hadoop = f"{folder}/{name}", spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = "record_id long, key string, made string"
+    known = spark.read.schema(held).parquet(f"{base}/keys") if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/keys/_SUCCESS")) else spark.createDataFrame([], held)
+    missing = checkpointed(keys.select("record_id", "key").join(known, ["record_id", "key"], "left_anti"))
+    if missing.take(1):
+        made = uuid.uuid4().hex
+        make(missing.select("record_id")).write.parquet(f"{base}/rows/made={made}")
+        missing.withColumn("made", F.lit(made)).write.mode("append").parquet(f"{base}/keys")
+        known = spark.read.schema(held).parquet(f"{base}/keys")
+    # Two calls at once may both have made a record; one of them counts.
+    wanted = keys.join(known, ["record_id", "key"]).groupBy("record_id").agg(F.min("made").alias("made"))
+    return spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").withColumn("made", F.col("made").cast("string")).join(wanted, ["record_id", "made"], "left_semi").drop("made")
