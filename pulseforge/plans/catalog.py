@@ -268,14 +268,14 @@ def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heavy_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that depends on a record alone, up to audited labels: windows, noise, measures, families, evidence."""
     beats, signal, n = _record(spark, sf_dir)
-    return audited_record(beats, signal.persist(), FS, MV, n).audit  # made once for three kernels
+    return audited_record(beats, signal, FS, MV, n).audit
 
 
 def record_reaudited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heavy pass under quality spans, from samples."""
     beats, signal, n = _record(spark, sf_dir)
     spans = E.live_spans(log=E.stand_in_spans.on(beat=B.long_records).frame(spark, sf_dir))
-    return reaudited(audited_record(beats, signal.persist(), FS, MV, n), spans)
+    return reaudited(audited_record(beats, signal, FS, MV, n), spans)
 
 
 def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,7 @@ def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 def family_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families with their counts and mean waves, from samples."""
     beats, signal, n = _record(spark, sf_dir)
-    base = audited_record(beats, signal.persist(), FS, MV, n)
+    base = audited_record(beats, signal, FS, MV, n)
     return M.family_views(base.family, base.audit, base.windows, FS)
 
 

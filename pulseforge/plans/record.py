@@ -13,6 +13,7 @@ from ..operators import edits as E
 from ..operators import morphology as M
 from ..operators import rhythm as R
 from ..operators import signal as G
+from ..operators.store import checkpointed
 
 
 def audit_features(beats: DataFrame, measures: DataFrame, sampled: DataFrame, noise: DataFrame, noise_base: DataFrame, rhythm: DataFrame) -> DataFrame:
@@ -70,6 +71,7 @@ class HeavyPass:
     family: DataFrame  #: record_id, k, t_ms, label, family
     on_time: DataFrame  #: record_id, k, t_ms, label, on_time
     audit: DataFrame  #: record_id, k, t_ms, label, family, family_n_frac, before, verdict, confidence
+    calibration: DataFrame | None = None  #: what checks of a record's signal are held against, see calibration
 
 
 def reaudited(base: HeavyPass, spans: DataFrame) -> DataFrame:
@@ -87,16 +89,23 @@ def reaudited(base: HeavyPass, spans: DataFrame) -> DataFrame:
     return own(base.audit, "left_anti").unionByName(again)
 
 
+def scanned(beats: DataFrame, sampled: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> G.Scanned:
+    """One pass over the samples: windows, measures of audited and sampled beats, shapes of all."""
+    places, windows = [G.INDEPENDENT.index(lead) for lead in M.LEADS], M.windows_of(fs, mv)
+    flagged = beats.select("record_id", "k", "t_ms", "label").join(sampled.select("record_id", "k", F.lit(True).alias("sampled")).distinct(), ["record_id", "k"], "left")
+    flagged = flagged.withColumn("wanted", F.coalesce("sampled", F.lit(False)) | (F.col("label") != "N"))
+    return G.one_scan(signal, flagged, fs, mv, lengths, lambda x, start, t, n: windows(x[places], start, t, n))
+
+
 def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> HeavyPass:
-    windows = G.window_metrics(signal, fs, mv)
-    noise = G.noise_score(windows=windows)
-    base = windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
     sampled = sinus_sampled(beats)
-    wanted = beats.filter("label <> 'N'").select("record_id", "k", "t_ms").unionByName(sampled.select("record_id", "k", "t_ms")).distinct()
-    measures = G.beat_measures(signal, wanted, fs, mv, lengths)
-    features = audit_features(beats, measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=R.rr(beat=beats)))
-    shapes = M.beat_windows(signal, beats, fs, mv, lengths)
-    family = M.cluster(shapes)
+    scan = scanned(beats, sampled, signal, fs, mv, lengths)
+    noise = G.noise_score(windows=scan.windows)
+    base = scan.windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
+    rr = R.rr(beat=beats)
+    features = audit_features(beats, scan.measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=rr))
+    family = checkpointed(M.cluster(scan.shapes))
     shaped = A.family_evidence(audit=A.audit_verdict(features=features), family=family)
-    on_time = A.on_time(rr=R.rr(beat=beats))
-    return HeavyPass(beats, noise, features, shapes, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time))
+    on_time = A.on_time(rr=rr)
+    limits = calibration(scan.measures, sampled.drop("t_ms"), scan.windows)
+    return HeavyPass(beats, noise, features, scan.shapes, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time), limits)
