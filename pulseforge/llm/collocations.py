@@ -116,6 +116,17 @@ def big_endian(columns: list[np.ndarray], size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
+def squeezed(keys: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """Sorted keys and their counts, compressed: the first halves as differences, which are mostly zero."""
+    k1, k2, n = keys
+    return [pa.compress(x.astype("<u8").tobytes(), "zstd", asbytes=True) for x in (np.diff(k1, prepend=np.uint64(0)), k2, n)]
+
+
+def loosened(size: int, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d1, k2, n = (np.frombuffer(pa.decompress(x, 8 * size, "zstd", asbytes=True), "<u8") for x in raw)
+    return np.cumsum(d1, dtype=np.uint64), k2, n.astype(np.int64)
+
+
 BLOCK = "n_keys long, k1 binary, k2 binary, n binary, sample array<binary>"
 
 
@@ -127,9 +138,7 @@ def blocks(numbered: DataFrame, numbers: Callable[[pa.RecordBatch], Iterator[np.
         k1, k2, n = run_lengths(k1, k2, np.ones(len(k1), np.int64))
         some = slice(SAMPLE_KEYS // 2 if len(k1) > SAMPLE_KEYS // 2 else 0, None, SAMPLE_KEYS)
         sample = pa.ListArray.from_arrays(pa.array([0, len(k1[some])], pa.int32()), big_endian([k1[some], k2[some]], 16))
-        # Differences of the sorted halves are mostly zero, and compress.
-        packed = [np.diff(k1, prepend=np.uint64(0)).astype("<u8"), k2.astype("<u8"), n.astype("<i8")]
-        return pa.RecordBatch.from_arrays([pa.array([len(k1)], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in packed), sample], names=["n_keys", "k1", "k2", "n", "sample"])
+        return pa.RecordBatch.from_arrays([pa.array([len(k1)], pa.int64()), *(pa.array([p], pa.binary()) for p in squeezed((k1, k2, n))), sample], names=["n_keys", "k1", "k2", "n", "sample"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -202,16 +211,16 @@ def phrase_counts(made: DataFrame, least: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw1, raw2, raw_n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k1, k2, n = np.cumsum(np.frombuffer(raw1, "<u8"), dtype=np.uint64), np.frombuffer(raw2, "<u8"), np.frombuffer(raw_n, "<i8")
+            for size, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k1, k2, n = loosened(size, raw)
                 low, high = np.searchsorted(k1, bounds[:, 0], "left"), np.searchsorted(k1, bounds[:, 0], "right")
                 cuts = [0, *(a + int(np.searchsorted(k2[a:b], x, "left")) for a, b, x in zip(low.tolist(), high.tolist(), bounds[:, 1], strict=True)), len(k1)]
                 for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if a < b:
-                        columns = [np.diff(k1[a:b], prepend=np.uint64(0)).tobytes(), k2[a:b].tobytes(), n[a:b].tobytes()]
-                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["range", "k1", "k2", "n"])
+                        columns = [pa.array([r], pa.int64()), pa.array([b - a], pa.int64()), *(pa.array([c], pa.binary()) for c in squeezed((k1[a:b], k2[a:b], n[a:b])))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["range", "n_keys", "k1", "k2", "n"])
 
-    def counted(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         k1, k2, n = run_lengths(*(np.concatenate([p[c] for p in parts]) for c in range(3)))
         third = k2 >> np.uint64(32)
         prefixes = [(k1, None, np.ones(len(k1), bool)), (k1, third, third > 0), (k1, k2, (k2 & np.uint64(0xFFFFFFFF)) > 0)]
@@ -228,16 +237,16 @@ def phrase_counts(made: DataFrame, least: int) -> DataFrame:
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
-            for r, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, size, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r != at and held:
                     yield from counted(held)
                     held = []
                 at = r
-                held.append([np.cumsum(np.frombuffer(raw[0], "<u8"), dtype=np.uint64), np.frombuffer(raw[1], "<u8"), np.frombuffer(raw[2], "<i8")])
+                held.append(loosened(size, raw))
         if held:
             yield from counted(held)
 
-    parts = in_batches(made.select("k1", "k2", "n"), split, "range long, k1 binary, k2 binary, n binary")
+    parts = in_batches(made.select("n_keys", "k1", "k2", "n"), split, "range long, n_keys long, k1 binary, k2 binary, n binary")
     runs = in_batches(parts.repartition("range").sortWithinPartitions("range"), merged, "key binary, a long")
     return runs.groupBy("key").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
