@@ -36,7 +36,7 @@ from .components import components
 
 BAND_RATIO = Fraction(4, 3)
 #: Rows that a task gathers before it folds them tile by tile.
-FOLD_ROWS = 1_000_000
+FOLD_ROWS = 400_000
 #: Members of a tile that are compared in one piece.
 TILE_BLOCK = 512
 
