@@ -18,10 +18,11 @@ from ..operators import signal as G
 from ..operators import summary as S
 from ..operators import views as V
 from ..operators.sql import Plan, SqlOperator, Table, operator
+from ..operators.store import checkpointed
 from ..sources import bindings as B
 from ..sources import exports, synthetic
 from . import report
-from .record import audited_record, calibrated, reaudited
+from .record import audited_record, calibrated, reaudited, recomputed
 
 
 class Folded(Plan):
@@ -283,6 +284,15 @@ def beat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster(M.beat_windows(signal, beats, FS, MV, n))
 
 
+def record_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All episodes under the reviewer's edits, from samples: no stand-in but the edits."""
+    beats, signal, n = _record(spark, sf_dir)
+    long = B.long_records
+    labels, inserted, spans = (x.frame(spark, sf_dir) for x in (E.latest_labels.on(log=E.stand_in_labels.on(beat=long)), E.stand_in_inserted.on(beat=long), E.live_spans.on(log=E.stand_in_spans.on(beat=long))))
+    signal = checkpointed(signal)  # a record at rest, which is read by chunks
+    return recomputed(audited_record(beats, signal, FS, MV, n), signal, labels, inserted, spans, FS, MV, n).episodes
+
+
 def family_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families with their counts and mean waves, from samples."""
     beats, signal, n = _record(spark, sf_dir)
@@ -373,7 +383,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that no SQL form is given for
-KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, record_reaudited, beat_families, family_views, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
+KERNELS = {f.__name__: f for f in (window_metrics, heavy_pass, record_reaudited, record_episodes, beat_families, family_views, qt_hours, calibration, interval_checks, record_pauses, raw_window, ecg_window, export_json, sections, summary_rows)}
 
 
 def plans() -> dict[str, Plan]:

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 from ..functions.text import python_round
 from ..operators import audit as A
 from ..operators import edits as E
+from ..operators import episodes as X
 from ..operators import morphology as M
 from ..operators import rhythm as R
 from ..operators import signal as G
 from ..operators.store import checkpointed
 
 
-def audit_features(beats: DataFrame, measures: DataFrame, sampled: DataFrame, noise: DataFrame, noise_base: DataFrame, rhythm: DataFrame) -> DataFrame:
-    """Features of audited beats from measures (record_id, k, edge, amp, width, noise_mv) of them and of sampled sinus beats
+def audit_features(beats: DataFrame, measures: DataFrame, sampled: DataFrame, noise: DataFrame, noise_base: DataFrame, rhythm: DataFrame, which: DataFrame | None = None) -> DataFrame:
+    """Features of audited beats (which: of these instead) from measures (record_id, k, edge, amp, width, noise_mv) of them and of sampled sinus beats
     (record_id, k, h, amplitude: whether it counts for the hour's amplitude, else for the sinus width)."""
     known = sampled.join(measures.filter("not edge"), ["record_id", "k"])
     hours = known.filter("amplitude").groupBy("record_id", "h").agg(F.percentile("amp", 0.5).alias("ref_amp"))
     widths = known.filter("not amplitude").groupBy("record_id").agg(F.percentile("width", 0.5).alias("sinus_width"))
     last = hours.groupBy("record_id").agg(F.max("h").alias("last_h"))
     rr = R.rr(beat=beats)
-    near = rr.selectExpr("record_id", "k", "t_ms", "label", "rr as rr_post", "lag(rr) over (partition by record_id order by k) as rr_pre").filter("label <> 'N'")
+    near = rr.selectExpr("record_id", "k", "t_ms", "label", "rr as rr_post", "lag(rr) over (partition by record_id order by k) as rr_pre")
+    near = near.filter("label <> 'N'") if which is None else near.join(which.select("record_id", "k"), ["record_id", "k"], "left_semi")
     near = near.join(last, "record_id", "left").withColumn("h", F.least(F.expr("t_ms div 3600000"), F.col("last_h")))
     x = near.join(measures, ["record_id", "k"]).join(hours, ["record_id", "h"], "left").join(widths, "record_id", "left").join(noise_base, "record_id", "left").join(rhythm, ["record_id", "k"], "left")
     windows = noise.groupBy("record_id").agg(F.max("w").alias("last_w"))
@@ -72,6 +74,7 @@ class HeavyPass:
     on_time: DataFrame  #: record_id, k, t_ms, label, on_time
     audit: DataFrame  #: record_id, k, t_ms, label, family, family_n_frac, before, verdict, confidence
     calibration: DataFrame | None = None  #: what checks of a record's signal are held against, see calibration
+    known: tuple[DataFrame, ...] = ()  #: what features are made of besides a beat's own: measures, sampled beats, noise base, rhythm
 
 
 def reaudited(base: HeavyPass, spans: DataFrame) -> DataFrame:
@@ -103,9 +106,50 @@ def audited_record(beats: DataFrame, signal: DataFrame, fs: int, mv: float, leng
     noise = G.noise_score(windows=scan.windows)
     base = scan.windows.filter(F.col("ch") == 1).groupBy("record_id").agg((F.percentile("hf", 0.5) + 1e-6).alias("noise_base"))
     rr = R.rr(beat=beats)
-    features = audit_features(beats, scan.measures, sampled.drop("t_ms"), noise, base, R.rhythm_ref(rr=rr))
+    rhythm = R.rhythm_ref(rr=rr)
+    features = audit_features(beats, scan.measures, sampled.drop("t_ms"), noise, base, rhythm)
     family = checkpointed(M.cluster(scan.shapes))
     shaped = A.family_evidence(audit=A.audit_verdict(features=features), family=family)
     on_time = A.on_time(rr=rr)
     limits = calibration(scan.measures, sampled.drop("t_ms"), scan.windows)
-    return HeavyPass(beats, noise, features, scan.shapes, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time), limits)
+    return HeavyPass(beats, noise, features, scan.shapes, family, on_time, A.schedule_evidence(audit=shaped, on_time=on_time), limits, (scan.measures, sampled.drop("t_ms"), base, rhythm))
+
+
+def around(signal: DataFrame, beats: DataFrame, fs: int) -> DataFrame:
+    """The chunks that beats lie in, and their neighbours."""
+    length = G.chunk_length(fs)
+    near = beats.select("record_id", F.explode(F.expr(f"sequence(cast(floor(t_ms * {fs} / 1000 / {length}) as int) - 1, cast(floor(t_ms * {fs} / 1000 / {length}) as int) + 1)")).alias("chunk")).distinct()
+    return signal.join(near, ["record_id", "chunk"], "left_semi")
+
+
+@dataclass
+class Edited:
+    """What a reviewer's edits make of a record."""
+
+    beats: DataFrame  #: merged: record_id, k, t_ms, origin, device_label, label, relabelled
+    noise: DataFrame
+    audit: DataFrame  #: effective, by the merged beats' k
+    episodes: DataFrame
+
+
+def recomputed(base: HeavyPass, signal: DataFrame, labels: DataFrame, inserted: DataFrame, spans: DataFrame, fs: int, mv: float, lengths: DataFrame | int) -> Edited:
+    """labels: record_id, t_ms, label; inserted: record_id, t_ms, label; spans: record_id, seq, t0_ms, t1_ms, v. Of the samples only the
+    chunks are read that hold relabelled sinus beats, long intervals or intervals that a missed beat would explain."""
+    noise = E.apply_quality(noise=base.noise, spans=spans)
+    merged = checkpointed(E.merge_beats(device=base.beats, inserted=inserted, labels=labels))
+    # A sinus beat with a label by hand is audited, too: for its measures, as the label decides the verdict.
+    by_hand = base.beats.filter("label = 'N'").join(labels.select("record_id", "t_ms"), ["record_id", "t_ms"], "left_semi").select("record_id", "k", "t_ms")
+    measures, sampled, noise_base, rhythm = base.known
+    more = measures.unionByName(G.beat_measures(around(signal, by_hand, fs), by_hand.join(measures, ["record_id", "k"], "left_anti"), fs, mv, lengths))
+    features = base.features.unionByName(audit_features(base.beats, more, sampled, noise, noise_base, rhythm, by_hand))
+    audit = checkpointed(E.effective_audits(beat=merged, audit=reaudited(base, spans), features=features))
+    rr = checkpointed(R.rr(beat=merged))
+    gaps, missing = X.long_intervals(rr=rr), X.missed_candidates(rr=rr, context=R.rr_context(rr=rr))
+    both = gaps.unionByName(missing)
+    checks = checkpointed(G.interval_checks(signal, both.join(base.calibration, "record_id"), fs, mv, "qrs_amp_mv", "noise_base_ii_mv").select("record_id", "k", "gap_bad", "gap_reason", "missed"))
+    noise_at = X.noise_at(interval=both, noise=noise)
+    episodes = X.ep_order(
+        pause=X.ep_pause(interval=gaps, noise_at=noise_at, checks=checks), v_run=X.ep_v_run(audit=audit), v_run_rejected=X.ep_v_run_rejected(audit=audit), s_run=X.ep_s_run(audit=audit, sinus=X.sinus_before(rr=rr)),
+        missed=X.ep_missed(interval=missing, noise_at=noise_at, checks=checks), noise=X.ep_noise(noise=noise),
+    )
+    return Edited(merged, noise, audit, episodes)

@@ -37,7 +37,7 @@ def signal_of(beats: DataFrame, fs: int = 125, mv: float = 0.001747, seed: int =
             i = int(at) + reach
             inside = (i >= 0) & (i < len(wave))
             s = (i[inside] - at) / fs
-            wide, sign = (0.045, -1.2) if label == "V" else (0.016, 1.0)
+            wide, sign = (0.028, -1.2) if label == "V" else (0.016, 1.0)
             wave[i[inside]] += sign * np.exp(-0.5 * (s / wide) ** 2) + 0.25 * np.exp(-0.5 * ((s - 0.28) / 0.05) ** 2)
         rows = []
         for lead in leads:

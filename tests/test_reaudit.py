@@ -7,7 +7,8 @@ import numpy as np
 from pulseforge.operators import audit as A
 from pulseforge.operators import edits as E
 from pulseforge.operators import rhythm as R
-from pulseforge.plans.record import HeavyPass, reaudited
+from pulseforge.plans.record import HeavyPass, audited_record, reaudited, recomputed
+from pulseforge.sources import synthetic
 
 KEPT = ("likely", "uncertain", "manual")
 
@@ -111,3 +112,35 @@ def test_spans_are_replayed(spark):
         want = schedule(first | fresh, times, labels) if again else first
         assert {k: v for (rec, k), v in after.items() if rec == record} == want
         assert (want != first) == (record < 2)
+
+
+def test_episodes_from_samples(spark):
+    """A record with a silent pause, a beat that the device missed, a pair, a run that it made up, and edits of all kinds."""
+    fs, mv = 125, 0.001747
+    drawn = [(400 + 800 * k, "V" if k in (100, 101) else "N") for k in range(700) if k not in (300, 301, 302)]
+    drawn = [(t - {100: 300, 101: 600}.get(k, 0), label) for k, (t, label) in enumerate(drawn)]
+    frame = lambda rows: spark.createDataFrame([(0, k, t, label) for k, (t, label) in enumerate(rows)], "record_id long, k long, t_ms long, label string")
+    signal = synthetic.signal_of(frame(drawn), fs, mv).cache()
+    n = int(signal.filter("lead = 0").selectExpr("sum(size(samples))").first()[0])
+    missed = 400 + 800 * 500
+    device = [(t, "V" if 450 <= (t - 400) / 800 < 454 and label == "N" else label) for t, label in drawn if t != missed]  # one QRS has no label, four sinus beats have a wrong one
+    base = audited_record(frame(device), signal, fs, mv, n)
+    none = {"labels": "record_id long, t_ms long, label string", "inserted": "record_id long, t_ms long, label string", "spans": "record_id long, seq long, t0_ms long, t1_ms long, v string"}
+    edits = lambda **rows: {k: spark.createDataFrame(rows.get(k, []), v) for k, v in none.items()}
+
+    def found(**rows):
+        e = recomputed(base, signal, **edits(**rows), fs=fs, mv=mv, lengths=n)
+        return {(r["kind"], r["t_ms"], r["verdict"]) for r in e.episodes.collect()}, e
+
+    pause, gap = 400 + 800 * 299, missed - 800
+    plain, _ = found()
+    assert ("pause", pause, "review") in plain and ("missed", gap, "review") in plain
+    assert any(k == "v-run" and v != "artifact" and abs(t - (400 + 800 * 100)) < 800 for k, t, v in plain)
+    assert ("v-run", 400 + 800 * 450, "artifact") in plain  # three or more rejected in a row
+    hand = [(0, 400 + 800 * k, "V") for k in (600, 601, 602)] + [(0, 400 + 800 * 450, "N")]
+    edited, e = found(labels=hand, inserted=[(0, missed, "N")], spans=[(0, 1, pause - 1000, pause + 5000, "noise"), (0, 2, 40_000, 80_000, "noise")])
+    assert ("pause", pause, "artifact") in edited and not any(k == "missed" for k, *_ in edited)
+    assert any(k == "noise" and t == 40_000 for k, t, _ in edited) and any(k == "v-run" and t == 400 + 800 * 600 for k, t, _ in edited)
+    audit = {r["t_ms"]: r for r in e.audit.collect()}
+    relabelled = audit[400 + 800 * 600]
+    assert relabelled["verdict"] == "manual" and relabelled["noise_ratio"] is not None and relabelled["width_ms"] > 0 and relabelled["family"] == -1
