@@ -3,6 +3,7 @@ and of the sinus schedule. A label still counts as ectopic with verdict likely,
 
 from __future__ import annotations
 
+from .rhythm import beside, middle
 from .sql import operator
 
 KEPT = "('likely', 'uncertain', 'manual')"
@@ -57,14 +58,23 @@ family_evidence = operator(
 
 #: Whether a beat comes on time by the sinus schedule: a whole number of median N-N intervals (of the last five) after the last N.
 on_time = operator(
-    """
+    f"""
     SELECT record_id, k, t_ms, label, coalesce(abs(gap - greatest(1, cycles) * median) <= 0.1e0 * median, false) AS on_time
     FROM (SELECT b.record_id, b.k, b.t_ms, b.label, s.median, cast(b.t_ms - s.t_ms as double) AS gap, bround((b.t_ms - s.t_ms) / s.median, 0) AS cycles
+          FROM (SELECT record_id, k, t_ms, label, max(CASE WHEN label = 'N' THEN k END) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j FROM {{rr}}) b
+          LEFT JOIN (SELECT record_id, k, t_ms, {middle('v')} AS median
+                     FROM (SELECT record_id, k, t_ms, sort_array(array_compact({beside('v', 1, 5)})) AS v
+                           FROM (SELECT record_id, k, t_ms, CASE WHEN label = 'N' AND next_label = 'N' THEN cast(rr as double) END AS v FROM {{rr}}) x) y) s
+          ON b.record_id = s.record_id AND b.j = s.k) y
+    """,
+    """
+    SELECT record_id, k, t_ms, label, coalesce(abs(gap - greatest(1, cycles) * median) <= 0.1e0 * median, false) AS on_time
+    FROM (SELECT b.record_id, b.k, b.t_ms, b.label, s.median, cast(b.t_ms - s.t_ms as double) AS gap, round_even((b.t_ms - s.t_ms) / s.median, 0) AS cycles
           FROM (SELECT record_id, k, t_ms, label, max(CASE WHEN label = 'N' THEN k END) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j FROM {rr}) b
-          LEFT JOIN (SELECT record_id, k, t_ms, percentile(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS median
+          LEFT JOIN (SELECT record_id, k, t_ms, quantile_cont(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS median
                      FROM (SELECT record_id, k, t_ms, CASE WHEN label = 'N' AND next_label = 'N' THEN cast(rr as double) END AS v FROM {rr}) x) s
           ON b.record_id = s.record_id AND b.j = s.k) y
-    """
+    """,
 )
 
 #: A kept label on time whose neighbour before is rejected is rejected as on schedule, which may reject the next one. Along

@@ -3,6 +3,7 @@ noise windows (record_id, w, noise, sharp) of 2 s; k0 and k1 are an episode's fi
 
 from __future__ import annotations
 
+from .rhythm import beside, middle
 from .sql import operator
 
 COLUMNS = "record_id, kind, kind_seq, t_ms, dur_ms, k0, k1, verdict, confidence, title"
@@ -52,7 +53,8 @@ ep_v_run_rejected = operator(
 
 #: Median N-N interval of the five that end two beats before each beat, as a sinus rate
 sinus_before = operator(
-    "SELECT record_id, k, percentile(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 6 PRECEDING AND 2 PRECEDING) AS median FROM (SELECT record_id, k, CASE WHEN label = 'N' AND next_label = 'N' THEN cast(rr as double) END AS v FROM {rr}) a"
+    f"SELECT record_id, k, {middle('v')} AS median FROM (SELECT record_id, k, sort_array(array_compact({beside('v', 2, 6)})) AS v FROM (SELECT record_id, k, CASE WHEN label = 'N' AND next_label = 'N' THEN cast(rr as double) END AS v FROM {{rr}}) a) b",
+    "SELECT record_id, k, quantile_cont(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 6 PRECEDING AND 2 PRECEDING) AS median FROM (SELECT record_id, k, CASE WHEN label = 'N' AND next_label = 'N' THEN cast(rr as double) END AS v FROM {rr}) a",
 )
 
 ep_s_run = operator(

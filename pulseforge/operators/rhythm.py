@@ -25,20 +25,36 @@ rr = operator(
 
 nn_intervals = operator("SELECT record_id, k, t_ms, rr AS nn FROM {rr} WHERE label = 'N' AND next_label = 'N' AND rr > {low} AND rr < {high}", low=MIN_RR, high=MAX_RR)
 
+
+
+def beside(column: str, first: int, last: int) -> str:
+    """The column first to last rows before a row of its record, as an array (after it where negative). Frames that slide over sorted rows
+    are built anew for each row; these are taken from the rows' places."""
+    return f"array({', '.join(f'lag({column}, {i}) OVER (PARTITION BY record_id ORDER BY k)' for i in range(first, last + 1) if i)})"
+
+
+def middle(values: str) -> str:
+    """The median of a sorted array, null of an empty one."""
+    return f"CASE WHEN size({values}) > 0 THEN ({values}[(size({values}) - 1) div 2] + {values}[size({values}) div 2]) / 2e0 END"
+
+
 rhythm_ref = operator(
+    f"""
+    SELECT record_id, k, round(coalesce({middle('near')}, {middle('far')}), 4) AS rhythm
+    FROM (SELECT record_id, k, sort_array(array_compact(slice(v, 1, 5))) AS near, sort_array(array_compact(v)) AS far
+          FROM (SELECT record_id, k, {beside('v', 2, 20)} AS v FROM (SELECT record_id, k, CASE WHEN label = 'N' AND next_label = 'N' THEN rr END AS v FROM {{rr}}) a) b) c
+    """,
     """
-    SELECT record_id, k, round(coalesce(percentile(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 6 PRECEDING AND 2 PRECEDING),
-           percentile(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 20 PRECEDING AND 2 PRECEDING)), 4) AS rhythm
+    SELECT record_id, k, round(coalesce(quantile_cont(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 6 PRECEDING AND 2 PRECEDING),
+           quantile_cont(v, 0.5) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 20 PRECEDING AND 2 PRECEDING)), 4) AS rhythm
     FROM (SELECT record_id, k, CASE WHEN label = 'N' AND next_label = 'N' THEN rr END AS v FROM {rr}) a
-    """
+    """,
 )
 
 rr_context = operator(
-    """
+    f"""
     SELECT record_id, k, (v[7] + v[8]) / 2e0 AS median
-    FROM (SELECT record_id, k, sort_array(concat(collect_list(rr) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING),
-                 collect_list(rr) OVER (PARTITION BY record_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING))) AS v FROM {rr} WHERE rr IS NOT NULL) a
-    WHERE size(v) = 16
+    FROM (SELECT record_id, k, sort_array(v) AS v FROM (SELECT record_id, k, array_compact({beside('rr', -8, 8)}) AS v FROM {{rr}} WHERE rr IS NOT NULL) a WHERE size(v) = 16) b
     """,
     """
     SELECT record_id, k, (v[8] + v[9]) / 2e0 AS median
