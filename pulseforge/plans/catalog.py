@@ -255,10 +255,23 @@ def signal_plans() -> dict[str, Plan]:
 FS, MV = 125, 0.001747
 
 
+#: Signals at rest, by data folder (see store_signal); where there is none, a query draws its own.
+STORED: dict[str, str] = {}
+
+
+def store_signal(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes the long records' signal by lead, which later queries on sf_dir read: a lead's files, and of these the row groups of chunks."""
+    signal = _record(spark, sf_dir)[1]
+    signal.repartition("record_id").sortWithinPartitions("lead", "record_id", "chunk").write.option("parquet.block.size", 8 << 20).partitionBy("lead").parquet(folder)
+    STORED[sf_dir] = folder
+
+
 def _record(spark: SparkSession, sf_dir: str, **part: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The long records' beats, their made signal, and their lengths in samples."""
+    """The long records' beats, their made signal (or a stored one), and their lengths in samples."""
     beats = B.long_records.frame(spark, sf_dir).select("record_id", "k", "t_ms", "label")
     lengths = beats.groupBy("record_id").agg(F.expr(f"(max(t_ms) + 1000) * {FS} div 1000").alias("n_samples"))
+    if sf_dir in STORED:
+        return beats, spark.read.parquet(STORED[sf_dir]).select("record_id", "lead", "chunk", "sample0", "samples"), lengths
     return beats, synthetic.signal_of(beats, FS, MV, **part), lengths
 
 
