@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import checkpointed
+
 
 class SqlOperator:
     """{name} in the text stands for an input. Calling the operator with DataFrames gives a lazy DataFrame."""
@@ -56,13 +58,14 @@ class Plan:
         return self.operator(**frames, **self.values)
 
     def frame(self, spark: SparkSession, sf_dir: str, made: dict | None = None, readers: dict | None = None) -> DataFrame:
-        """Lazy; a step that three or more others read is persisted, as it would be computed for each (clearCache frees it)."""
+        """A step that three or more others read is written once (see checkpointed), as it would be computed for each, and its plan
+        planned anew within theirs; the rest is lazy."""
         made, readers = {} if made is None else made, self.readers({}) if readers is None else readers
         if id(self) not in made:
             inputs = {k: p.frame(spark, sf_dir, made, readers) if isinstance(p, Plan) else p.frame(spark, sf_dir, made) for k, p in self.inputs.items()}
             made[id(self)] = self.made(inputs)
             if readers.get(id(self), 0) >= 3:
-                made[id(self)] = made[id(self)].persist()
+                made[id(self)] = checkpointed(made[id(self)])
         return made[id(self)]
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:
