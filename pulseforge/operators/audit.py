@@ -93,7 +93,7 @@ stand_in_features = operator(
     """
     SELECT b.record_id, b.k, b.t_ms, b.label, b.rr_pre, b.rr_post, b.k = 0 AS edge, (30 + event_id % 100) / 100e0 AS amp_ratio, (event_id * 7 % 50) / 10e0 AS noise_ratio, (event_id % 40) / 100e0 AS noise_mv,
            1e0 AS ref_amp, (event_id * 3 % 11) / 20e0 AS win_noise, cast(60 + event_id * 13 % 220 as double) AS width_ms, 97e0 AS sinus_width, round((60 + event_id * 13 % 220) / 97e0, 2) AS width_ratio,
-           round(b.rr_pre / r.rhythm, 2) AS prematurity
+           round(b.rr_pre / r.rhythm + 1e-9, 2) AS prematurity
     FROM (SELECT record_id, k, t_ms, label, event_id, t_ms - lag(t_ms) OVER (PARTITION BY record_id ORDER BY k) AS rr_pre, lead(t_ms) OVER (PARTITION BY record_id ORDER BY k) - t_ms AS rr_post FROM {beat}) b
     JOIN {rhythm} r ON b.record_id = r.record_id AND b.k = r.k WHERE {which}
     """,

@@ -61,12 +61,12 @@ class Plan:
         """A step that three or more others read is written once (see checkpointed), as it would be computed for each, and its plan
         planned anew within theirs; the rest is lazy."""
         made, readers = {} if made is None else made, self.readers({}) if readers is None else readers
-        if id(self) not in made:
+        if self not in made:  # the plan itself is the key, so that it lives as long as its table
             inputs = {k: p.frame(spark, sf_dir, made, readers) if isinstance(p, Plan) else p.frame(spark, sf_dir, made) for k, p in self.inputs.items()}
-            made[id(self)] = self.made(inputs)
+            made[self] = self.made(inputs)
             if readers.get(id(self), 0) >= 3:
-                made[id(self)] = checkpointed(made[id(self)])
-        return made[id(self)]
+                made[self] = checkpointed(made[self])
+        return made[self]
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: self.frame(spark, sf_dir)
