@@ -37,9 +37,10 @@ circadian_type = operator(
     f"""
     SELECT m.record_id, CASE WHEN beats = 0 THEN '' WHEN r > 2 THEN 'ночной' WHEN r < 0.5e0 THEN 'дневной' ELSE 'смешанный' END AS circadian
     FROM (SELECT m.record_id, sum(n) AS beats, (sum(CASE WHEN asleep THEN n ELSE 0 END) / cast(greatest(1, count_if(asleep)) as double)) / greatest(1e-9, sum(CASE WHEN asleep THEN 0 ELSE n END) / cast(greatest(1, count_if(NOT asleep)) as double)) AS r
-          FROM (SELECT s.record_id, s.m, s.asleep, coalesce(c.n, 0) AS n FROM {{minutes}} s LEFT JOIN (SELECT record_id, t_ms div 60000 AS m, count(*) AS n FROM {{audit}} WHERE label = 'V' AND {KEPT} GROUP BY record_id, t_ms div 60000) c
+          FROM (SELECT s.record_id, s.m, s.asleep, coalesce(c.n, 0) AS n FROM {{minutes}} s LEFT JOIN (SELECT record_id, t_ms div 60000 AS m, count(*) AS n FROM {{audit}} WHERE label = '{{label}}' AND {KEPT} GROUP BY record_id, t_ms div 60000) c
                 ON s.record_id = c.record_id AND s.m = c.m) m GROUP BY m.record_id) m
-    """
+    """,
+    label="V",
 )
 
 #: Calendar hours of a record that starts start_ms after midnight: the first may be short, those under a minute are left out.

@@ -387,11 +387,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, made = review_plans(), {}
     get = lambda name: p[name].frame(spark, sf_dir, made)
     hrv, mean = _rates(spark, sf_dir, p, made)
-    of = lambda step: step.frame(spark, sf_dir, made)
-    merged = p["merge_beats"]
+    circadian = p["circadian_type"]
+    minutes = circadian.inputs["minutes"].frame(spark, sf_dir, made)
+    circadian_s = S.circadian_type(minutes=minutes, audit=get("effective_audits"), label="S")
+    records = V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
     return report.sections(
-        span=of(R.span.on(beat=B.long_records)), device=of(S.device_counts.on(beat=B.long_records)), audited=get("audited_counts"), burden=get("v_burden"), episodes=get("ep_order"), hrv=hrv, mean=mean,
-        extremes=of(R.hr_extremes.on(windows=R.hr_windows.on(beat=merged))), pct=of(R.hr_pct.on(nn=R.nn_intervals.on(rr=R.rr.on(beat=merged)))), pauses=get("pauses"),
+        records, get("summary"), mean, hrv, minutes, get("ep_order"), get("morphologies"), get("circadian_type"), circadian_s, get("kept_in"), get("criteria"), Q.qt_summary(qt_hours(spark, sf_dir)), get("event_context"), get("edit_counts")
     )
 
 
