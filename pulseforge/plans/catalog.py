@@ -352,6 +352,14 @@ def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ecg_window(signal, [0, 1, 6], 60, 10, FS, MV, calibrated(beats, signal, FS, MV, n))
 
 
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[dict[str, Plan], dict, Callable[[str], DataFrame]]:
+    """The review's plans, their tables as they are made, and a getter by name. What most of the others read is written first."""
+    p, made = review_plans(), {}
+    for name in ("merge_beats", "apply_quality", "effective_audits", "ep_order", "summary"):
+        made[p[name]] = checkpointed(p[name].frame(spark, sf_dir, made))
+    return p, made, lambda name: p[name].frame(spark, sf_dir, made)
+
+
 def _rates(spark: SparkSession, sf_dir: str, p: dict[str, Plan], made: dict) -> tuple[DataFrame, DataFrame]:
     """Variability of the device's labels, and the mean rate of the merged beats."""
     filtered = lambda beat: R.malik_filter(R.nn_intervals.on(rr=R.rr.on(beat=beat)).frame(spark, sf_dir, made))
@@ -359,8 +367,7 @@ def _rates(spark: SparkSession, sf_dir: str, p: dict[str, Plan], made: dict) ->
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, made = review_plans(), {}
-    get = lambda name: p[name].frame(spark, sf_dir, made)
+    p, made, get = _reviewed(spark, sf_dir)
     summary, records = get("summary"), V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
     hrv, mean = _rates(spark, sf_dir, p, made)
     rates = summary.select("record_id", "hr_min", "min_at_s", "hr_max", "max_at_s", "night", "day", "sleep", "wake", "pct_over_100", "pct_under_50")
@@ -377,15 +384,13 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, made = review_plans(), {}
-    get = lambda name: p[name].frame(spark, sf_dir, made)
+    p, made, get = _reviewed(spark, sf_dir)
     records = V.stand_in_records.on(beat=B.long_records).frame(spark, sf_dir)
     return report.summary_rows(records, get("summary"), *_rates(spark, sf_dir, p, made), get("ep_order"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, made = review_plans(), {}
-    get = lambda name: p[name].frame(spark, sf_dir, made)
+    p, made, get = _reviewed(spark, sf_dir)
     hrv, mean = _rates(spark, sf_dir, p, made)
     circadian = p["circadian_type"]
     minutes = circadian.inputs["minutes"].frame(spark, sf_dir, made)
