@@ -64,8 +64,12 @@ class Plan:
         if self not in made:  # the plan itself is the key, so that it lives as long as its table
             inputs = {k: p.frame(spark, sf_dir, made, readers) if isinstance(p, Plan) else p.frame(spark, sf_dir, made) for k, p in self.inputs.items()}
             made[self] = self.made(inputs)
-            if readers.get(id(self), 0) >= 3:
-                made[self] = checkpointed(made[self])
+        return self.written(made) if readers.get(id(self), 0) >= 3 else made[self]
+
+    def written(self, made: dict) -> DataFrame:
+        """The step's table in made, written if it was not yet."""
+        if ("written", self) not in made:
+            made["written", self] = made[self] = checkpointed(made[self])
         return made[self]
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:

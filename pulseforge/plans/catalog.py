@@ -356,7 +356,8 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[dict[str, Plan], dict,
     """The review's plans, their tables as they are made, and a getter by name. What most of the others read is written first."""
     p, made = review_plans(), {}
     for name in ("merge_beats", "apply_quality", "effective_audits", "ep_order", "summary"):
-        made[p[name]] = checkpointed(p[name].frame(spark, sf_dir, made))
+        p[name].frame(spark, sf_dir, made)
+        p[name].written(made)
     return p, made, lambda name: p[name].frame(spark, sf_dir, made)
 
 

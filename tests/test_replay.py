@@ -19,8 +19,11 @@ KEPT = ("likely", "uncertain", "manual")
 def replay(spark):
     """The inputs as rows, and the effective audits made of them one beat after another."""
     p, made = catalog.review_plans(), {}
-    rows = lambda plan: [r.asDict() for r in plan.frame(spark, SF, made).collect()]
     merge, effective = p["merge_beats"], p["effective_audits"]
+    for name in ("merge_beats", "effective_audits", "ep_order", "summary"):
+        p[name].frame(spark, SF, made)
+        p[name].written(made)
+    rows = lambda plan: [r.asDict() for r in plan.frame(spark, SF, made).collect()]
     beats = sorted(rows(B.long_records), key=lambda b: (b["record_id"], b["k"]))
     labels = {(r["record_id"], r["t_ms"]): r["label"] for r in rows(merge.inputs["labels"])}
     inserted = rows(merge.inputs["inserted"])
