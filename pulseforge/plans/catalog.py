@@ -320,13 +320,13 @@ def qt_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats, signal, n = _record(spark, sf_dir)
-    return calibrated(beats, signal.persist(), FS, MV, n)
+    return calibrated(beats, checkpointed(signal), FS, MV, n)
 
 
 def interval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the signal says of long intervals, held against each record's own calibration."""
     beats, signal, n = _record(spark, sf_dir)
-    signal = signal.persist()
+    signal = checkpointed(signal)
     long = R.rr(beat=beats).filter("rr > 2000").select("record_id", "k", "t_ms", "rr").join(calibrated(beats, signal, FS, MV, n), "record_id")
     return G.interval_checks(signal, long, FS, MV, "qrs_amp_mv", "noise_base_ii_mv")
 
@@ -334,7 +334,7 @@ def interval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pauses from samples: calibration, noise of windows and checks of the signal, with no stand-in."""
     beats, signal, n = _record(spark, sf_dir)
-    signal = signal.persist()
+    signal = checkpointed(signal)
     gaps = X.long_intervals(rr=R.rr(beat=beats))
     noise = G.noise_score(windows=G.window_metrics(signal, FS, MV))
     checks = G.interval_checks(signal, gaps.join(calibrated(beats, signal, FS, MV, n), "record_id"), FS, MV, "qrs_amp_mv", "noise_base_ii_mv")
@@ -348,7 +348,7 @@ def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ecg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats, signal, n = _record(spark, sf_dir)
-    signal = signal.persist()
+    signal = checkpointed(signal)
     return G.ecg_window(signal, [0, 1, 6], 60, 10, FS, MV, calibrated(beats, signal, FS, MV, n))
 
 
