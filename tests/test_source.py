@@ -40,3 +40,15 @@ def test_no_samples_are_shuffled(spark):
     beats = spark.createDataFrame([(0, k, 400 + 800 * k, "N") for k in range(20)], "record_id long, k long, t_ms long, label string")
     plan = S.beat_measures(synthetic.source_of(beats, FS, MV), beats, FS, MV, 2000)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "samples array" not in plan and "samples#" not in plan.replace("n_samples#", "")
+
+
+def test_segments_are_joined_where_they_lie(spark):
+    """The vectors of families are shuffled once: a join by record moves the other side alone."""
+    from pulseforge.operators.store import laid_out
+
+    rows = spark.range(100).selectExpr("id % 7 as record_id", "id as k").groupBy("record_id").agg({"k": "max"})
+    held = laid_out(rows)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and held.count() == 7
+    other = spark.range(7).withColumnRenamed("id", "record_id").hint("shuffle_hash")
+    plan = held.join(other, "record_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
