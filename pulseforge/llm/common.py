@@ -141,7 +141,7 @@ class Interned(dict):
         self.old, self.total = {}, 0
         self.forget()
 
-    def numbers(self, words: list) -> np.ndarray:
+    def numbers(self, words: list | pa.Array) -> np.ndarray:
         if Interned.active is not self:
             Interned.release()
             Interned.active = self
@@ -150,10 +150,10 @@ class Interned(dict):
         elif len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        if not words:
+        if not len(words):
             return np.empty(0, np.int64)
-        coded = pa.array(words).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        coded = (words if isinstance(words, pa.Array) else pa.array(words)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         unknown = [w for w in distinct if w not in self]
         if self.old:
             again = [w for w in unknown if w in self.old]

@@ -65,18 +65,26 @@ _kinds[[*b'!"#$%&()*+,-./:;=?@[]^_`{}~']] = 2
 _kinds[[*b" \t\n\v\f\r"]] = 4
 
 
-def apart(texts: list[bytes | None]) -> list[bytes]:
-    """texts with other ids for none: A-Z in lower case, and a space before a run of marks between a letter and white space, where
-    the tokenizer cuts anyway. So far fewer words are different."""
+def spaced_out(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts with other ids for none, and where each text ends: A-Z in lower case, white space after each, and a space before a
+    run of marks between a letter and white space, where the tokenizer cuts anyway. So far fewer words are different."""
     joined = np.frombuffer(b"".join((t or b"") + b"\n" for t in texts).lower(), np.uint8)
     kind = _kinds[joined]
     begin = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
     others = np.flatnonzero(kind != 2)
     begin = begin[kind[others[np.searchsorted(others, begin)]] == 4]
     ends = np.cumsum([len(t or b"") + 1 for t in texts])
-    ends = (ends + np.searchsorted(begin, ends)).tolist()
-    spaced = np.insert(joined, begin, 32).tobytes()
-    return [spaced[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return np.insert(joined, begin, 32), ends + np.searchsorted(begin, ends)
+
+
+def words_of(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words between white space of all texts, in order, and how many each text has; no object is made of a word."""
+    spaced, ends = spaced_out(texts)
+    inside = np.concatenate([[False], _kinds[spaced] != 4, [False]])
+    starts, stops = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(spaced[inside[1:-1]])])
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 class WordEncoder:
@@ -127,9 +135,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with end_id after each text, and how many each text has."""
-        found = [t.split() for t in apart(texts)]
-        words = self.words.numbers([w for f in found for w in f])
-        sizes = np.array([len(f) for f in found], np.int64)
+        found, sizes = words_of(texts)
+        words = self.words.numbers(found)
         lengths, at = self.size.data[words], self.at.data[words]
         doc = np.repeat(np.arange(len(texts)), sizes)
         counts = np.bincount(doc, weights=lengths, minlength=len(texts)).astype(np.int64) + 1
