@@ -52,3 +52,26 @@ def test_segments_are_joined_where_they_lie(spark):
     other = spark.range(7).withColumnRenamed("id", "record_id").hint("shuffle_hash")
     plan = held.join(other, "record_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_chunks_stay_dealt_and_sampled_beats_are_measured_once(spark):
+    """Small rows whose work is large: as many tasks as were asked for, though the chunks lie in as many partitions as a shuffle has by default."""
+    beats = spark.createDataFrame([(r, k, 400 + 800 * k, "N") for r in range(9) for k in range(30)], "record_id long, k long, t_ms long, label string")
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        source = synthetic.source_of(beats, FS, MV)
+        assert S.window_metrics(source, FS, MV, (1,)).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+        plan = P.calibrated(beats, source, FS, MV, 3000)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroups" not in plan and plan.count("FlatMapGroups") == 1
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_leads_drawn_together_are_those_drawn_alone(spark):
+    beats = spark.createDataFrame([(0, k, 400 + 797 * k, "V" if k % 3 else "N") for k in range(30)], "record_id long, k long, t_ms long, label string")
+    source = synthetic.source_of(beats, FS, MV)
+    row = source.chunks.toPandas().iloc[0].to_dict()
+    both = source.read(row, (1, 6), 100, 2000)
+    assert both.shape == (2, 1900) and (both == [source.read(row, (lead,), 100, 2000)[0] for lead in (1, 6)]).all() and both.any()
