@@ -17,6 +17,7 @@ which the vocabulary's own rules cut too: ASCII white space, and before marks th
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -57,6 +58,30 @@ def plain_letters(word: str) -> bool:
     return word.isascii() and word.isalpha() or max(word) < "\u0250" and word.isalpha() and word.lower().isalpha()
 
 
+#: The rule of words under which bare_of holds
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def bare_of_rules(rules: dict) -> bool:
+    """Whether a tokenizer's rules leave words of letters a-z as they are."""
+    first, second = ((rules.get(name) or {}).get(f"{kind}s", []) for name, kind in (("normalizer", "normalizer"), ("pre_tokenizer", "pretokenizer")))
+    if [x["type"] for x in first] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in second] != ["Split", "ByteLevel"]:
+        return False
+    return first[1]["pattern"] == {"Regex": r"\s+"} and second[0]["pattern"] == {"Regex": WORD_RULE} and not second[1]["add_prefix_space"]
+
+
+def bare_of(file: str):
+    """The tokenizer of a file without its rules: its model alone. None if they are not such that words of letters a-z need none."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    with open(file, encoding="utf-8") as f:
+        if not bare_of_rules(json.load(f)):
+            return None
+    bare = Tokenizer.from_file(file)
+    bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+    return bare
+
+
 #: 1: a letter a-z, 2: a character whose runs the tokenizer's rules take as one word, 4: white space; apostrophes are of none, nor
 #: the characters of the vocabulary's special tokens.
 _kinds = np.zeros(256, np.uint8)
@@ -95,22 +120,23 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.bare = bare_of(file) or self.tokenizer
         self.at, self.size, self.ids = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
         self.words = Interned(self.fill, lambda: [x.clear() for x in (self.at, self.size, self.ids)])
 
     def fill(self, words: list[bytes]) -> None:
         """Words go to the tokenizer as texts of many words. A word of plain letters is one word to the tokenizer too, which numbers
-        them; of the other words, where an id comes from tells whose it is."""
+        them, and one of letters a-z needs none of its rules; of the other words, where an id comes from tells whose it is."""
         for a in range(0, len(words), 20_000):
             plain = [w.decode("utf-8", "replace") for w in words[a : a + 20_000]]
-            single = np.fromiter(map(plain_letters, plain), bool, len(plain))
-            kinds = [(np.flatnonzero(single), self.numbered), (np.flatnonzero(~single), self.located)]
-            order, sizes = np.concatenate([rows for rows, _ in kinds]), np.zeros(len(plain), np.int64)
+            kind = np.fromiter((0 if w.isascii() and w.isalpha() and w.islower() else 1 if plain_letters(w) else 2 for w in plain), np.int8, len(plain))
+            kinds = [(np.flatnonzero(kind == k), *how) for k, how in enumerate([(self.bare, self.numbered), (self.tokenizer, self.numbered), (self.tokenizer, self.located)])]
+            order, sizes = np.concatenate([rows for rows, *_ in kinds]), np.zeros(len(plain), np.int64)
             flat: list[np.ndarray] = []
-            for rows, owners in kinds:
+            for rows, tokenizer, owners in kinds:
                 for at in range(0, len(rows), TEXT_WORDS):
                     part = rows[at : at + TEXT_WORDS]
-                    flat.append(np.array(self.tokens(owners, [plain[k] for k in part], part, sizes), np.uint32))
+                    flat.append(np.array(self.tokens(tokenizer, owners, [plain[k] for k in part], part, sizes), np.uint32))
             ends = self.ids.n + np.cumsum(sizes[order])
             places = np.empty(len(plain), np.int64)
             places[order] = ends - sizes[order]
@@ -118,9 +144,10 @@ class WordEncoder:
             self.size.extend(sizes)
             self.ids.extend(np.concatenate(flat))
 
-    def tokens(self, owners, words: list[str], rows: np.ndarray, sizes: np.ndarray) -> list[int]:
+    @staticmethod
+    def tokens(tokenizer, owners, words: list[str], rows: np.ndarray, sizes: np.ndarray) -> list[int]:
         """The ids of words; sizes[rows] becomes how many each has."""
-        made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        made = tokenizer.encode(" ".join(words), add_special_tokens=False)
         sizes[rows] = np.bincount(owners(made, words), minlength=len(words))
         return made.ids
 

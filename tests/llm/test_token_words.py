@@ -20,3 +20,20 @@ def test_numbers_of_an_array_are_those_of_a_list():
     one, other = (Interned(lambda _: None, lambda: None) for _ in range(2))
     assert one.numbers(words).tolist() == other.numbers(pa.array(words)).tolist() == [0, 1, 0, 2]
     Interned.release()
+
+
+def test_words_of_letters_need_no_rules():
+    """The model alone gives words of letters a-z the ids that the whole tokenizer gives them; a file with other rules has no such short way."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = T.default_tokenizer()
+    words = ["a", "the", "ing", "straightforwardness", "xqzjk", "s", "ll", "haanth", "x" * 3000, "tionnted"]
+    text = " ".join(words)
+    bare, whole = (t.encode(text, add_special_tokens=False) for t in (T.bare_of(file), Tokenizer.from_file(file)))
+    assert bare.ids == whole.ids and bare.word_ids == whole.word_ids
+    with open(file, encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = {"type": "Lowercase"}
+    assert T.bare_of_rules(rules) is False and T.bare_of_rules(json.loads(Tokenizer.from_file(file).to_str())) is True
