@@ -12,3 +12,10 @@ def test_a_run_in_one_place_has_no_finite_rate(spark):
     assert [r["title"] for r in X.ep_v_run_rejected(audit=audit).collect()] == ["«ЖЭС ×3, inf/мин»"]
     sinus = spark.createDataFrame([(2, 0, 800.0)], "record_id long, k long, median double")
     assert [(r["verdict"], r["title"]) for r in X.ep_s_run(audit=audit, sinus=sinus).collect()] == [("review", "НЖЭС ×3, inf/мин")]
+
+
+def test_a_sinus_rhythm_of_no_time_is_faster_than_any_run(spark):
+    rows = [(2, k, 7000 + 500 * k, "S", "likely", 0.8) for k in range(3)] + [(3, k, 7000, "S", "likely", 0.8) for k in range(3)]
+    audit = spark.createDataFrame(rows, "record_id long, k long, t_ms long, label string, verdict string, confidence double")
+    sinus = spark.createDataFrame([(2, 0, 0.0), (3, 0, 0.0)], "record_id long, k long, median double")
+    assert [(r["verdict"], r["title"]) for r in X.ep_s_run(audit=audit, sinus=sinus).orderBy("record_id").collect()] == [("artifact", "«НЖТ ×3, 120/мин»"), ("review", "НЖЭС ×3, inf/мин")]
