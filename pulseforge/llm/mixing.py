@@ -132,7 +132,10 @@ def with_room(draws: DataFrame, targets: list[tuple[int, float, int]], block_wor
         more = min(max(0, room[k] - extra[k]), left)
         extra[k] += more
         left -= more
-    rows = [(int(r), int(n)) for (r, _, _), n in zip(targets, extra, strict=True) if n]
+    if not extra.any():
+        return draws
+    # An Arrow table goes to the JVM as it is; rows would start a second set of Python workers, which stay beside the first.
+    rows = pa.table({"rank": pa.array([r for r, _, _ in targets], pa.int32()), "drawn": pa.array(extra)}).filter(pa.array(extra > 0))
     last = draws.agg((F.max("shard") + 1).alias("shard"))  # one row
     added = draws.sparkSession.createDataFrame(rows, "rank int, drawn long").crossJoin(F.broadcast(last))
     return draws.unionByName(added.select("shard", "rank", "drawn"))
@@ -150,14 +153,15 @@ def mixed_slots(draws: DataFrame, blocks: DataFrame, seed: int, max_epochs: int
     pieces = numbered.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("drawn") - 1, F.lit(4096)))).repartition(tasks, "shard", "rank", "at")
     slots = pieces.withColumn("slot", F.explode(F.sequence("at", F.least(F.col("at") + 4095, F.col("drawn") - 1))))
 
-    @F.pandas_udf("long")
-    def block_at(rank: pd.Series, number: pd.Series, blocks: pd.Series) -> pd.Series:
-        n, size = number.to_numpy(), blocks.to_numpy()
-        kinds, where = np.unique(np.stack([rank.to_numpy(), n // size]), axis=1, return_inverse=True)
+    # Not a column's function: what filters its column (a join does, for nulls) would call it once more in the same task.
+    def placed(b: pa.RecordBatch) -> pa.RecordBatch:
+        rank, number, size = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 5))
+        kinds, where = np.unique(np.stack([rank, number // size]), axis=1, return_inverse=True)
         keys = np.array([seed_of(seed, int(r), int(e)) for r, e in kinds.T], np.uint64)
-        return pd.Series(permuted(n % size, size, keys[where.ravel()]))
+        block = permuted(number % size, size, keys[where.ravel()])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(block)], names=["shard", "slot", "rank", "block"])
 
-    return slots.select("shard", "slot", "rank", block_at("rank", F.col("first") + F.col("slot"), F.col("blocks")).alias("block"))
+    return map_arrow(slots.select("shard", "slot", "rank", (F.col("first") + F.col("slot")).alias("number"), "blocks"), placed, "shard long, slot long, rank int, block long")
 
 
 class Mix:

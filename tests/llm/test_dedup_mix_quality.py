@@ -257,6 +257,29 @@ def test_slots_beyond_a_sources_room_are_drawn_again(spark):
     assert len(slots) == 80 and max(Counter((s["rank"], s["block"]) for s in slots).values()) <= 2
 
 
+def test_slots_take_one_python_worker_a_task(spark):
+    """Blocks of slots by plain code, from plans in which no stage asks two Python workers at once and none comes of Python rows."""
+    draws = spark.sql("SELECT * FROM VALUES (0L, 0, 30L), (0L, 1, 10L), (1L, 0, 25L), (1L, 1, 15L) AS t(shard, rank, drawn)")
+    blocks = spark.range(2).selectExpr("cast(id AS int) AS rank", "if(id = 0, 25L, 100L) AS blocks")
+    roomy = mixing.with_room(draws, [(0, 1600.0, 25), (1, 900.0, 100)], 32, 2)
+    slots = mixing.mixed_slots(roomy, blocks, 1)
+    pieces = spark.range(200).selectExpr("cast(id % 2 AS int) AS rank", "id div 2 AS block", "0 AS part", "id AS pos", "32L AS words", "0L AS word0")
+    made = mixing.Mix(None, pieces, slots)
+    for df in (made.taken(), made.pieces()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("MapInArrow|EvalPython|MapInPandas", plan)) == 1
+    assert "ExistingRDD" not in roomy._jdf.queryExecution().executedPlan().toString()
+    want, first = [], Counter()
+    for shard, rank, drawn in [(0, 0, 30), (0, 1, 10), (1, 0, 20), (1, 1, 15), (2, 1, 5)]:
+        size = (25, 100)[rank]
+        for slot in range(drawn):
+            epoch, at = divmod(first[rank] + slot, size)
+            block = mixing.permuted(np.array([at]), np.array([size]), np.array([mixing.seed_of(1, rank, epoch)], np.uint64))
+            want.append((shard, slot, rank, int(block[0])))
+        first[rank] += drawn
+    assert sorted(map(tuple, slots.collect())) == sorted(want)
+
+
 def test_repetition_of_very_long_texts():
     """Counts of a text of two million characters, whose repeats are known."""
     line = " ".join(f"w{k}" for k in range(200_000))
